@@ -1,0 +1,358 @@
+"""Each operator against a brute-force version, and on odd rows."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from vertexflow.llm import decontaminate, language, licenses, line_dedup, near_dup, packing, quality, queries, token_counts, token_files, topk
+
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    (1, None, "en"), (2, "", None), (3, " ", "en"), (4, "a  b\n\n c \n", "fr"), (5, "one <|endoftext|> two\x00three  <|endoftext|>", "en"),
+    (6, "ÀÉ ﬁ Å ό ́x\x1cy\x85z 12 345, don't. it's", "de"), (7, "word " * 5000, "en"), (7, "word " * 5000, "en"), (None, "null id text here", None), (9, "MIT License! mit  license", "en"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeats, and columns with the names that operators use inside."""
+    extra = ["id", "bucket", "words", "n", "label", "line", "place", "hit", "ids", "_doc", "x", "salt"]
+    rows = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    return rows.withColumns({c: F.lit("clash") for c in extra})
+
+
+def documents(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def rows(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_token_counts(spark, small, odd, which):
+    docs = odd if which == "odd" else documents(spark, small)
+    t = Tokenizer.from_file(BYTE)
+    want = Counter((k, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 1024) for k, x in texts(docs))
+    assert rows(token_counts.count_tokens(docs, BYTE), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+
+
+def test_whole_tokens_are_proved():
+    t, whole = Tokenizer.from_file(BYTE), sorted(token_counts.whole_tokens(BYTE))
+    assert len(whole) > 40_000
+    assert all(len(e.ids) == 1 for e in t.encode_batch(whole, add_special_tokens=False))
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_token_files_round_trip(spark, small, odd, tmp_path, which):
+    docs = odd if which == "odd" else documents(spark, small)
+    t = Tokenizer.from_file(BYTE)
+    token_files.write_token_files(spark, docs, BYTE, str(tmp_path / "f"))
+    got = sorted(token_files.read_token_files(spark, str(tmp_path / "f")).collect(), key=lambda r: r["start"])
+    ids = sorted(((k is not None, k or 0), np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4").tobytes()) for k, x in texts(docs))
+    start = 0
+    assert len(got) == len(ids)
+    for r, ((known, k), x) in zip(got, ids):
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (k if known else None, start, len(x) // 4, zlib.crc32(x), x)
+        start += len(x) // 4
+
+
+def test_variable_length_coding():
+    v = np.random.default_rng(1).integers(0, 2**32, 1001, dtype=np.uint64).astype(np.uint32) >> np.random.default_rng(2).integers(0, 32, 1001).astype(np.uint32)
+    for n in (0, 1, 3, 4, 1001):
+        control, data = token_files.pack_values(v[:n])
+        assert len(control) == -(-n // 4) and (token_files.unpack_values(control, data, n) == v[:n]).all()
+
+
+@pytest.mark.parametrize("which", ["small", "odd"])
+def test_packing(spark, small, odd, which):
+    docs = odd if which == "odd" else documents(spark, small)
+    t, want = Tokenizer.from_file(WORD), Counter()
+    for k, x in texts(docs):
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4")
+        want.update((k, i, at, len(p := ids[at : at + 2048]), zlib.crc32(p.tobytes())) for i, at in enumerate(range(0, len(ids), 2048)))
+    out = packing.pack(spark, docs, WORD).cache()
+    assert rows(out, "doc_id", "piece", "start", "length", "ids_crc32") == want
+    by = {}
+    for r in out.collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for slots in by.values():
+        slots.sort()
+        assert slots[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(slots, slots[1:])) and sum(n for _, n in slots) <= 2048
+    assert len(by) <= 1.05 * -(-sum(k[3] * n for k, n in want.items()) // 2048) + 1
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 101, 3000).tolist()
+    plan = packing.plan_best_fit(dict(Counter(lengths)), 100)
+    space = []
+    for x in sorted(lengths, reverse=True):
+        fits = [i for i, s in enumerate(space) if s >= x]
+        if fits:
+            space[min(fits, key=space.__getitem__)] -= x
+        else:
+            space.append(100 - x)
+    assert max(f + n for _, _, n, f, _ in plan) == len(space)
+    assert Counter(x for x, _, n, *_ in plan for _ in range(n)) == Counter(lengths)
+
+
+def brute_components(docs, k, percent):
+    sets = {}
+    for key, x in docs:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", x.encode().translate(near_dup._LOWER))
+        sets[key] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    up = {key: key for key in sets}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    keys = [key for key in sorted(sets) if sets[key]]
+    index = {}
+    for key in keys:
+        for other in {o for s in sets[key] for o in index.get(s, ())}:
+            both = len(sets[key] & sets[other])
+            if 100 * both >= percent * (len(sets[key]) + len(sets[other]) - both):
+                a, b = root(key), root(other)
+                up[max(a, b)] = min(a, b)
+        for s in sets[key]:
+            index.setdefault(s, []).append(key)
+    return {key: (len(sets[key]), root(key), root(key) == key) for key in sets}
+
+
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, small, k, percent):
+    base = documents(spark, small).select("doc_id", "text")
+    rng, more = np.random.default_rng(5), []
+    for key, x in texts(base)[:25]:  # chains of edits
+        words = x.split(" ")
+        for step in range(6):
+            words = list(words)
+            words[rng.integers(len(words))] = f"edit{step}"
+            more.append((1000 + 10 * len(more), " ".join(words)))
+    docs = base.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(spark, docs, k, percent).collect()}
+    assert got == brute_components(texts(docs), k, percent)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd):
+    got = rows(near_dup.near_duplicates(spark, odd, 3, 85), "doc_id", "component_id", "kept")
+    assert got == Counter([(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (7, 7, True), (7, 7, True), (None, None, True), (9, 9, True)])
+
+
+def test_super_minhash_estimates_and_stops_exactly():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)
+    both = [a, np.concatenate([a[:300], b])]
+    sizes = np.array([400, 400, 1])
+    h = near_dup.super_minhash(np.concatenate([*both, b[:1]]), sizes, 100)
+    assert abs((h[0] == h[1]).mean() - 0.6) < 0.13
+    assert sorted(np.floor(h[2])) == list(range(100))  # one element takes every rank once
+    alone = near_dup.super_minhash(both[0], sizes[:1], 100)
+    assert (alone[0] == h[0]).all()
+
+
+def brute_contaminated(docs, items):
+    out = {}
+    split = re.compile(r"[^\W_]+")
+    items = [(i, split.findall(x.lower())) for i, x in items]
+    for key, x in docs:
+        w, found = split.findall(x.lower()), []
+        for i, t in items:
+            span = min(12, len(t))
+            if len(t) >= 7 and any(sum(a == b for a, b in zip(w[p : p + span], t[q : q + span])) >= 0.8 * span for q in range(len(t) - span + 1) for p in range(len(w) - span + 1) if w[p] == t[q] or w[p + 1] == t[q + 1] or w[p + 2] == t[q + 2]):
+                found.append(i)
+        out[key] = sorted(found)
+    return out
+
+
+def test_decontamination(spark, small):
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    base = [(k, x) for k, x in texts(documents(spark, small)) if len(x) < 1500][:60]
+    planted = []
+    for i, (key, x) in enumerate(bench[:20]):
+        w = x.split()
+        for p in range(3, len(w), 8):
+            w[p] = "swapped"
+        planted.append((5000 + i, f"some words before {' '.join(w)} and after"))
+    docs = base + planted
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = decontaminate.contaminated(spark, frame, spark.createDataFrame([*bench, (None, "x"), (77, None), (78, "")], "item_id long, text string"))
+    got = {r["doc_id"]: r["items"] or [] for r in out.collect()}
+    assert got == brute_contaminated(docs, bench)
+    assert all(got[k] for k, _ in planted)
+
+
+def test_decontamination_of_odd_rows(spark, odd):
+    bench = spark.createDataFrame([(1, "word " * 12)], "item_id long, text string")
+    got = rows(decontaminate.contaminated(spark, odd, bench), "doc_id", "contaminated")
+    assert got == Counter((k, k == 7) for k, *_ in ODD)
+
+
+def test_licenses(spark, small, odd):
+    for docs in (documents(spark, small), odd):
+        want = Counter()
+        for k, x in texts(docs):
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
+            at = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+            want[(k, len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({b for _, b in at})))] += 1
+        out = licenses.scan_licenses(spark, docs)
+        assert rows(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
+        for r in out.collect():
+            assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_license_templates(spark):
+    docs = [(i, f"Some code. {notice.upper()} -- etc") for i, (_, _, notice) in enumerate(licenses.TEMPLATES)] + [(99, "the person is free to use this software")] * 40
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[99] == [""]
+    assert all(label in got[i] for i, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
+def brute_lines(docs):
+    def norm(x):
+        return re.sub(r"\s+", " ", x.lower()).strip(" ")
+
+    def shingles(x):
+        return {x[i : i + 9] for i in range(len(x) - 8)} if len(x) >= 9 else {x}
+
+    lines = [(k, p, norm(x)) for k, t in sorted(docs) for p, x in enumerate(t.split("\n")) if norm(x)]
+    sets, up = [shingles(x) for *_, x in lines], list(range(len(lines)))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    drop = {lines[i][:2] for i in range(len(lines)) if root(i) != i}
+    return {k: "\n".join(x for p, x in enumerate(t.split("\n")) if (k, p) not in drop) for k, t in docs}
+
+
+def test_line_dedup(spark, small):
+    docs = texts(documents(spark, small))[:25]
+    extra = []
+    for k, t in docs[:12]:
+        lines = t.split("\n")
+        long = max(lines, key=len)
+        extra.append((k + 500, f"Fresh {k}\n{long[:-1]}\n\n{long.upper()}!\n{'x' * (k % 4)}"))
+    docs = docs + extra
+    out = line_dedup.drop_repeated_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    got, want = {r["doc_id"]: r["text"] for r in out.collect()}, brute_lines(docs)
+    same = sum(got[k] == want[k] for k in want)
+    assert set(got) == set(want) and same >= 0.97 * len(want)  # banding misses a few pairs near the threshold
+    assert all(len(got[k]) >= len(want[k]) for k in want)
+
+
+def test_line_dedup_of_odd_rows(spark, odd):
+    got = Counter((r["doc_id"], r["text"], r["n_dropped"], r["bucket"]) for r in line_dedup.drop_repeated_lines(spark, odd).collect())
+    assert got == Counter((k, t, 0, "clash") for k, t, _ in ODD)
+
+
+def test_top_k(spark, small):
+    v = spark.read.parquet(f"{small}/embeddings.parquet")
+    bad = spark.createDataFrame([(100_000, None), (100_050, [None] * 64), (None, [0.1] * 64), (100_100, [float("nan")] * 64), (100_150, [float("inf")] * 64), (100_200, []), (50, None)], "vec_id long, embedding array<float>")
+    ties = v.limit(30).withColumn("vec_id", F.col("vec_id") + 50_001)
+    every = v.select("vec_id", "embedding").unionByName(ties.select("vec_id", "embedding")).unionByName(bad)
+    data = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], np.float64))) for r in every.where("vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))").collect()]
+    want = Counter()
+    for q, x in data:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for i, y in data if i != q)[:5]
+            want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    for block in (4096, 4):
+        out = topk.top_k(spark, every, F.col("vec_id") % 50 == 0, 5, query_block=block)
+        assert rows(out, "query_id", "rank", "vec_id", "score") == want
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(0)
+    net = language.ByteGru(["a", "b", "c"], 4, 1)
+    net.w = {k: v.astype(np.float64) * 0.7 for k, v in net.w.items()}
+    windows, labels = rng.integers(1, 255, (5, 9)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    windows[2, 5:] = 0
+    net.w["x"][:, 0] = 0
+
+    def loss():
+        p, _ = net.probabilities(windows)
+        mask = windows.T != 0
+        return -(np.log(p[:, np.arange(5), labels]) * mask).sum() / mask.sum()
+
+    g = net.gradients(windows, labels)
+    for k in ("u", "v", "c", "x"):
+        at = (0, int(windows[0, 0]), 3) if k == "x" else tuple(0 for _ in net.w[k].shape)
+        old, eps = net.w[k][at], 1e-3
+        net.w[k][at] = old + eps
+        up = loss()
+        net.w[k][at] = old - eps
+        down = loss()
+        net.w[k][at] = old
+        assert abs((up - down) / (2 * eps) - g[k][at]) < 2e-3
+
+
+def test_language_held_out(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    got = queries.op6_language(spark, sf).join(docs, "doc_id").where("held_out")
+    right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 200 and right > 0.97
+    net = language.train(odd, F.lit(True))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark, odd, net).collect()}
+    assert [got[k] for k in (1, 2, 3)] == ["und"] * 3 and got[7] != "und"
+    assert language.train(odd.limit(0), F.lit(True)) is None
+
+
+def test_quality_held_out(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = [(r["quality"], r["score"], r["predicted"]) for r in queries.op1_quality(spark, sf).join(labels, "doc_id").where("held_out").collect()]
+    good, bad = [s for y, s, _ in got if y], [s for y, s, _ in got if not y]
+    assert np.mean([a > b for a in good for b in bad]) > 0.95
+    assert np.mean([p for y, _, p in got if y]) > 0.97
+    scores = quality.score_quality(spark, odd, labels.limit(0), F.lit(True))
+    assert rows(scores, "doc_id", "score") == Counter((k, 0.5) for k, *_ in ODD)
+
+
+def test_discriminant_is_a_gaussian_log_density():
+    rng = np.random.default_rng(0)
+    x = [rng.normal(m, s, (500, 3)) for m, s in ((0, 1), (1, 2))]
+    n = np.array([500.0, 500.0])
+    d = quality.Discriminant.fit(n, np.stack([a.sum(0) for a in x]), np.stack([a.T @ a for a in x]), 0, 0)
+    p = rng.normal(0, 2, (10, 3))
+    dense = []
+    for a in x:
+        c, m = np.cov(a.T, bias=True) + 1e-6 * np.eye(3), a.mean(0)
+        dense.append(-0.5 * (np.linalg.slogdet(c)[1] + np.einsum("ij,jk,ik->i", p - m, np.linalg.inv(c), p - m)))
+    assert np.allclose(d.score(p), 1 / (1 + np.exp(dense[0] - dense[1])))
+
+
+def test_empty_tables(spark, odd):
+    none = odd.limit(0)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for out in (
+        token_counts.count_tokens(none, BYTE), packing.pack(spark, none, WORD), near_dup.near_duplicates(spark, none), decontaminate.contaminated(spark, none, bench), licenses.scan_licenses(spark, none),
+        line_dedup.drop_repeated_lines(spark, none), topk.top_k(spark, spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0), language.predict(spark, none, None),
+    ):
+        assert out.count() == 0
+    assert not rows(decontaminate.contaminated(spark, odd, bench).where("contaminated"), "doc_id")
+
+
+def test_empty_token_files(spark, odd, tmp_path):
+    token_files.write_token_files(spark, odd.limit(0), BYTE, str(tmp_path / "f"))
+    assert token_files.read_token_files(spark, str(tmp_path / "f")).count() == 0
