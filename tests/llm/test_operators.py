@@ -166,7 +166,7 @@ def test_super_minhash_estimates_and_stops_exactly():
 
 def brute_contaminated(docs, items):
     out = {}
-    split = re.compile(r"[^\W_]+")
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     items = [(i, split.findall(x.lower())) for i, x in items]
     for key, x in docs:
         w, found = split.findall(x.lower()), []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .store import Store
 
 #: Members of a bucket that are compared with all its other members in one round.
-PIVOTS = 16
+PIVOTS = 256
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -44,39 +44,67 @@ def connected(store: Store, links: DataFrame, a: str = "a", b: str = "b") -> Dat
         edges, before, state = after, state, _state(after)
         if state == before:
             break
+        store.release()
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def link_buckets(store: Store, buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = PIVOTS) -> DataFrame:
-    """(id, component) over the links that ``verify`` confirms among ids that share a bucket.
+def unique_counts(sets: DataFrame) -> DataFrame:
+    """(id, u): how many elements of each (id, elements) no other row has; ids without any are left out."""
+    rows = sets.select("id", F.explode("elements").alias("e"))
+    alone = rows.groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    return alone.groupBy("id").agg(F.count("*").cast("int").alias("u"))
 
-    ``buckets`` has (bucket, id), each once. A round compares each bucket's members with one
-    pivot (the first round) or one for each of up to ``pivots`` components, never a member with
-    one of its own component, and sets the pivots aside: all their pairs are then decided. It
-    ends when no bucket spans two components, so no link is lost, and a bucket of copies costs a
-    row for each member. ``verify`` gets distinct (a, b), a < b, and returns the linked ones.
+
+def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity: Callable[[DataFrame], DataFrame], percent: int, pivots: int = PIVOTS) -> DataFrame:
+    """(id, component) over links with a Jaccard similarity of ``percent`` / 100 among ids that share a bucket.
+
+    ``buckets`` has (bucket, id), each once; ``sizes`` has (id, n, u): a set's size and how many of
+    its elements are in no other set (0 if that isn't known); ``similarity`` gets distinct (a, b),
+    a < b, and returns (a, b, j). A round compares each bucket's members with one pivot (the first
+    round: the member with the smallest unique share) or with one of each of up to ``pivots``
+    components, never a member with one of its own component, and sets the pivots aside: all their
+    pairs are then decided. It ends when no bucket spans two components.
+
+    Pairs that cannot be links aren't compared. Both sets' unique elements lie outside the
+    intersection, which bounds the similarity from above; and as 1 - Jaccard is a metric, two
+    members whose distances to the first pivot differ by more than 1 - ``percent`` / 100 are too far apart.
     """
-    rest, labels, first = buckets, None, True
+    t, first = percent / 100, True
+    members = buckets.join(sizes, "id").where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)
+    rest, labels = members.select("bucket", "id", "n", "u", F.lit(None).cast("double").alias("d")), None
     while True:
-        labelled = rest.withColumn("label", F.col("id")) if labels is None else rest.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+        labelled = rest.withColumn("label", F.col("id")) if labels is None else rest.join(labels, "id", "left").select("bucket", "id", "n", "u", "d", F.coalesce("component", "id").alias("label"))
         labelled = store.put(labelled, "labelled")
         spans = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         active = labelled.join(spans, "bucket", "left_semi")
-        leaders = active.groupBy("bucket", "label").agg(F.min("id").alias("pivot"))
-        order = Window.partitionBy("bucket").orderBy("label")
-        leaders = leaders.withColumn("n", F.row_number().over(order)).where(F.col("n") <= (1 if first else pivots))
-        leaders = store.put(leaders.select("bucket", F.col("label").alias("of"), "pivot"), "leaders")
-        pairs = active.join(leaders, "bucket").where("label <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = store.put(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
+        best = F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "n", "u", "d")).alias("p")
+        leaders = active.groupBy("bucket").agg(best).select("bucket", F.col("p.id").alias("of"), "p") if first else active.groupBy("bucket", F.col("label").alias("of")).agg(best)
+        if not first:
+            order = Window.partitionBy("bucket").orderBy("of")
+            leaders = leaders.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots)
+        leaders = store.put(leaders.select("bucket", "of", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"), F.col("p.d").alias("pd")), "leaders")
+        shared = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
+        possible = (F.col("label") != F.col("of")) & (shared * 100 >= (shared + F.col("u") + F.col("pu")) * percent) & (shared * 100 >= F.greatest("n", "pn") * percent)
+        possible = possible & F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - t + 1e-9, F.lit(True))
+        met = active.join(leaders.withColumnRenamed("bucket", "of_bucket"), (F.col("bucket") == F.col("of_bucket")) & possible)
+        pairs = store.put(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+        if first and pairs.isEmpty() or not first and leaders.isEmpty():
             return labels if labels is not None else buckets.select("id", F.col("id").alias("component")).limit(0)
-        found = store.put(verify(pairs), "links").select("a", "b")
-        if labels is not None:
-            found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        labels = store.put(connected(store, found), "labels")
-        rest = store.put(active.join(leaders, (active["bucket"] == leaders["bucket"]) & (active["id"] == leaders["pivot"]), "left_anti").select("bucket", "id"), "rest")
-        store.drop(labelled)
-        store.drop(leaders)
-        store.drop(pairs)
+        scored = store.put(similarity(pairs), "scored")
+        found = scored.where(F.col("j") >= t - 1e-12).select("a", "b")
+        if not (none := found.isEmpty()):
+            if labels is not None:
+                found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+            labels = store.put(connected(store, found), "labels")
+        if first:
+            own = active.drop("d").join(leaders.select("bucket", "pivot"), "bucket").where("id <> pivot")
+            apart = scored.select("a", "b", (1 - F.col("j")).alias("d"))
+            rest = own.join(apart, (F.least("id", "pivot") == F.col("a")) & (F.greatest("id", "pivot") == F.col("b")), "left").select("bucket", "id", "n", "u", "d")
+        else:
+            rest = active.join(leaders.select(F.col("bucket").alias("of_bucket"), "pivot"), (F.col("bucket") == F.col("of_bucket")) & (F.col("id") == F.col("pivot")), "left_anti").select("bucket", "id", "n", "u", "d")
+        rest = store.put(rest, "rest")
+        for old in (labelled, leaders, pairs, scored):
+            store.drop(old)
+        store.release()
         first = False

@@ -29,19 +29,19 @@ BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case words; every character beyond ASCII counts as a letter."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def _seeds(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
     """One row for each seed: keys, pos (of its first word) and seed."""
     offsets = sorted({o for m in MASKS for o in m})
     last = max(offsets)
-    enough = rows.where(F.size(words) > last)
-    n = F.size(words) - last
-    # the longest mask must fit; the last words stand under shorter ones and belong to hits before
-    zipped = F.arrays_zip(*(F.slice(words, o + 1, n).alias(f"w{o}") for o in offsets))
-    flat = enough.select(*keys, zipped.alias("z")).select(*keys, F.posexplode("z").alias("pos", "w"))
-    seeds = F.array(*(F.xxhash64(F.lit(i), *(F.col(f"w.w{o}") for o in m)) for i, m in enumerate(MASKS)))
+    n = F.size("h") - last
+    hashed = rows.where(F.size(words) > last).select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"), *(F.slice("h", o + 1, n).alias(f"w{o}") for o in offsets))
+    flat = hashed.select(*keys, F.inline(zipped))
+    seeds = F.array(*(F.xxhash64(F.lit(i), *(f"w{o}" for o in m)) for i, m in enumerate(MASKS)))
     return flat.select(*keys, "pos", F.explode(seeds).alias("seed"))
 
 

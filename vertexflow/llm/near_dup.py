@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, small_batches
-from .components import link_buckets
+from .components import link_buckets, unique_counts
 from .store import Store
 
 BANDS, ROWS = 20, 5
@@ -120,9 +120,9 @@ def _sets(docs: DataFrame, words: int, kind: str) -> DataFrame:
         for batch in batches:
             for part in small_batches(batch, 128):
                 sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "elements"])
 
-    return docs.mapInArrow(run, f"id {kind}, shingles array<long>")
+    return docs.mapInArrow(run, f"id {kind}, elements array<long>")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,15 +141,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(few, "id", "left_semi")
     sets = store.put(_sets(texts, words, kind), "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    def similarity(pairs: DataFrame) -> DataFrame:
+        one = sets.select(F.col("id").alias("a"), F.col("elements").alias("sa"))
+        two = sets.select(F.col("id").alias("b"), F.col("elements").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        sized = pairs.join(one, "a").where(F.size("sa") > 0).join(two, "b")
-        near = F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent
-        return sized.where(near).withColumn("both", both).where(F.col("both") * 100 >= (F.size("sa") + F.size("sb") - F.col("both")) * percent).select("a", "b").distinct()
+        met = pairs.join(one, "a").where(F.size("sa") > 0).join(two, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("n"))
+        return met.groupBy("a", "b").agg(F.max(F.col("both") / (F.col("n") - F.col("both"))).alias("j"))
 
-    labels = link_buckets(store, buckets, verify).withColumnRenamed("id", "rep")
+    sizes = sets.groupBy("id").agg(F.max(F.size("elements")).alias("n")).join(unique_counts(sets), "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    labels = link_buckets(store, buckets, store.put(sizes, "sizes"), similarity, percent).withColumnRenamed("id", "rep")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     grouped = signed.select("id", "n_shingles", "k1", "k2").join(classes.join(labels, "rep", "left"), ["k1", "k2"], "left")
     owned = grouped.select(F.col("id"), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))

@@ -6,6 +6,7 @@ any executor, is computed once and is read back column by column.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -48,3 +49,8 @@ class Store:
         """Delete a table that no later plan reads."""
         fs, at = self._hadoop(df._stored_at)
         fs.delete(at, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
