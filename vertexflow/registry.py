@@ -1,4 +1,5 @@
 """Queries and their SQL, by name."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
