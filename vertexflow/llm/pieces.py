@@ -12,7 +12,7 @@ import os
 import re
 
 #: Pieces that a worker keeps; beyond, it only looks up, and starts anew once as many have missed.
-CACHE = 600_000
+CACHE = 900_000
 
 _RUN = re.compile(r"\s\s|\x00")
 
@@ -60,7 +60,23 @@ class PieceEncoder:
         return [next(whole) if pieces is None else self.join(map(get, pieces)) for pieces in split]
 
     def _encode(self, pieces: list[str]) -> dict:
-        return dict(zip(pieces, self._encode_all(pieces)))
+        """Values of new pieces; a line end before a word and marks after it are tokens of their own, so only new words reach the library."""
+        parts = {p: self._parts(p) for p in pieces}
+        wanted = list({x for p in parts.values() for x in p if x not in self.known})
+        new = dict(zip(wanted, self._encode_all(wanted)))
+        look = _Both(self.known, new)
+        return {p: look[x[0]] if len(x) == 1 else self.join(look[y] for y in x) for p, x in parts.items()} | new
+
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        word = piece.rstrip(".,;:!?")
+        if self.drops_space and word.isascii():
+            tail, word = piece[len(word) :], word.lower()
+        else:
+            tail = piece[len(word) :]
+        if not word or not word[-1].isalpha():
+            return (piece,)
+        head = ("\n",) if word[0] == "\n" and word[1:2].isalpha() else ()
+        return (*head, word[len(head) :], *([tail] if tail else []))
 
     def _encode_all(self, texts: list[str]) -> list:
         # runs that span pieces (special strings hold no space) and empties need no care here

@@ -58,27 +58,35 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of every whole text and ``end_id``, as little-endian unsigned 32-bit integers."""
-    end = np.uint32(end_id).tobytes()
+    """(doc_id, n_tokens, ids): the ids of every whole text and ``end_id``, as little-endian unsigned integers of ``id_width(path)``."""
+    kind = id_width(path)
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches):
-        encoder = PieceEncoder(path, drops_space, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+        encoder = PieceEncoder(path, drops_space, lambda ids: np.array(ids, kind).tobytes(), b"".join)
         for batch in batches:
             for part in small_batches(batch):
                 ids = [x + end for x in encoder.values([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary")
 
 
-def rank_table(ids: DataFrame) -> np.ndarray:
+def id_width(path: str) -> str:
+    """Two bytes for the temporary ids of a vocabulary that they can count, else four."""
+    from .pieces import load
+
+    return "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def rank_table(ids: DataFrame, kind: str) -> np.ndarray:
     """Ids by falling frequency (ties: smaller id), over all documents; its length is at most the vocabulary's."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                n = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 total, n = (n, total) if len(n) > len(total) else (total, n)
                 total[: len(n)] += n
         at = np.flatnonzero(total)
@@ -93,7 +101,8 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     store = Store(spark, "token-ids")
     kind = docs.schema[id_col].dataType.simpleString()
     ids = store.put(encode_ids(docs, tokenizer_path, end_id, id_col, text_col), "ids")
-    order = rank_table(ids)
+    width = id_width(tokenizer_path)
+    order = rank_table(ids, width)
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank)
@@ -111,7 +120,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
                 shard = shard.as_py()
                 keys.append(k.as_py())
                 counts.append(n.as_py())
-                values.append(np.frombuffer(x.as_buffer(), "<u4"))
+                values.append(np.frombuffer(x.as_buffer(), width))
                 held += counts[-1]
                 if held >= BLOCK_TOKENS:
                     yield flush()
@@ -120,7 +129,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
             yield flush()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(n, id_col, "ids").sortWithinPartitions(id_col, "ids").select(id_col, "n_tokens", "ids", F.spark_partition_id().alias("shard"))
+    ordered = ids.repartitionByRange(n, id_col).sortWithinPartitions(id_col, "ids").select(id_col, "n_tokens", "ids", F.spark_partition_id().alias("shard"))
     ordered.mapInArrow(blocks, f"shard int, block long, doc_ids array<{kind}>, counts array<long>, control binary, data binary").write.parquet(f"{out_path}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank long, id long").coalesce(1).write.parquet(f"{out_path}/ranks")
     store.drop(ids)
