@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Store
@@ -49,62 +49,78 @@ def connected(store: Store, links: DataFrame, a: str = "a", b: str = "b") -> Dat
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def unique_counts(sets: DataFrame) -> DataFrame:
-    """(id, u): how many elements of each (id, elements) no other row has; ids without any are left out."""
-    rows = sets.select("id", F.explode("elements").alias("e"))
-    alone = rows.groupBy("e").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-    return alone.groupBy("id").agg(F.count("*").cast("int").alias("u"))
+def _apart(x: Column, y: Column, longs: int) -> Column:
+    """Bits in which two odd sketches differ: never more than the elements that only one of the sets has."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, longs)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
 
 
-def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity: Callable[[DataFrame], DataFrame], percent: int, pivots: int = PIVOTS) -> DataFrame:
-    """(id, component) over links with a Jaccard similarity of ``percent`` / 100 among ids that share a bucket.
+def one_row(sets: DataFrame) -> DataFrame:
+    """(id, n, s) of sets (id, n, s); s is null for an id with several sets, which no bound may then rule out."""
+    return sets.groupBy("id").agg(F.max("n").alias("n"), F.when(F.count("*") == 1, F.first("s")).alias("s"))
+
 
-    ``buckets`` has (bucket, id), each once; ``sizes`` has (id, n, u): a set's size and how many of
-    its elements are in no other set (0 if that isn't known); ``similarity`` gets distinct (a, b),
-    a < b, and returns (a, b, j). A round compares each bucket's members with one pivot (the first
-    round: the member with the smallest unique share) or with one of each of up to ``pivots``
-    components, never a member with one of its own component, and sets the pivots aside: all their
-    pairs are then decided. It ends when no bucket spans two components.
+def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity: Callable[[DataFrame], DataFrame], percent: int, longs: int, pivots: int = PIVOTS) -> DataFrame:
+    """(id, component) over links with a Jaccard similarity of ``percent`` / 100 among ids that share a bucket.
 
-    Pairs that cannot be links aren't compared. Both sets' unique elements lie outside the
-    intersection, which bounds the similarity from above; and as 1 - Jaccard is a metric, two
-    members whose distances to the first pivot differ by more than 1 - ``percent`` / 100 are too far apart.
+    ``buckets`` has (bucket, id), each once; ``sizes`` has (id, n, s): a set's size and its odd
+    sketch, ``longs`` 64-bit words in which every element flips the bit that its hash names;
+    ``similarity`` gets distinct (a, b), a < b, and returns (a, b, j). A round compares each
+    bucket's members with one pivot (the first round: the member that meets most others over all
+    its buckets) or with one of each of up to ``pivots`` components, never a member with one of
+    its own component, and sets the pivots aside: all their pairs are then decided. It ends when
+    no bucket spans two components.
+
+    Pairs that cannot be links aren't compared. Sets of n and m elements are linked only if at most
+    (n + m) * (100 - percent) / (100 + percent) elements are in one of them alone, and their
+    sketches differ in no more bits than that; and as 1 - Jaccard is a metric, two members whose
+    distances to the first pivot differ by more than 1 - ``percent`` / 100 are too far apart.
     """
-    t, first = percent / 100, True
-    members = buckets.join(sizes, "id").where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent)
-    rest, labels = members.select("bucket", "id", "n", "u", F.lit(None).cast("double").alias("d")), None
+    t, first, labels = percent / 100, True, None
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("members"))
+    central = buckets.join(full, "bucket").groupBy("id").agg(F.sum("members").alias("w"))
+    rest = buckets.join(central, "id").select("bucket", "id", "w", F.lit(None).cast("double").alias("d"))
+
+    def possible(n, s, m, r):
+        most = (n + m) * (100 - percent)
+        return F.coalesce((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_apart(s, r, longs) * (100 + percent) <= most), F.lit(True))
+
     while True:
-        labelled = rest.withColumn("label", F.col("id")) if labels is None else rest.join(labels, "id", "left").select("bucket", "id", "n", "u", "d", F.coalesce("component", "id").alias("label"))
+        labelled = rest.withColumn("label", F.col("id")) if labels is None else rest.join(labels, "id", "left").select("bucket", "id", "w", "d", F.coalesce("component", "id").alias("label"))
         labelled = store.put(labelled, "labelled")
         spans = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         active = labelled.join(spans, "bucket", "left_semi")
-        best = F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "n", "u", "d")).alias("p")
-        leaders = active.groupBy("bucket").agg(best).select("bucket", F.col("p.id").alias("of"), "p") if first else active.groupBy("bucket", F.col("label").alias("of")).agg(best)
-        if not first:
-            order = Window.partitionBy("bucket").orderBy("of")
+        best = F.min(F.struct((-F.col("w")).alias("far"), "id")).alias("p")
+        if first:
+            leaders = store.put(active.groupBy("bucket").agg(best).select("bucket", F.col("p.id").alias("pivot")), "leaders")
+            met = active.join(leaders, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+            one, two = sizes.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("s").alias("as")), sizes.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"))
+            pairs = store.put(met.join(one, "a").join(two, "b").where(possible(F.col("an"), F.col("as"), F.col("bn"), F.col("bs"))).select("a", "b"), "pairs")
+        else:
+            active = store.put(active.join(sizes, "id"), "active")
+            leaders = active.groupBy("bucket", F.col("label").alias("of")).agg(F.min(F.struct((-F.col("w")).alias("far"), "id", "n", "s", "d")).alias("p"))
+            order = Window.partitionBy("bucket").orderBy("p.far", "of")
             leaders = leaders.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots)
-        leaders = store.put(leaders.select("bucket", "of", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"), F.col("p.d").alias("pd")), "leaders")
-        shared = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
-        possible = (F.col("label") != F.col("of")) & (shared * 100 >= (shared + F.col("u") + F.col("pu")) * percent) & (shared * 100 >= F.greatest("n", "pn") * percent)
-        possible = possible & F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - t + 1e-9, F.lit(True))
-        met = active.join(leaders.withColumnRenamed("bucket", "of_bucket"), (F.col("bucket") == F.col("of_bucket")) & possible)
-        pairs = store.put(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
-        if first and pairs.isEmpty() or not first and leaders.isEmpty():
-            return labels if labels is not None else buckets.select("id", F.col("id").alias("component")).limit(0)
+            leaders = store.put(leaders.select(F.col("bucket").alias("of_bucket"), "of", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.d").alias("pd")), "leaders")
+            if leaders.isEmpty():
+                return labels if labels is not None else buckets.select("id", F.col("id").alias("component")).limit(0)
+            near = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - t + 1e-9, F.lit(True))
+            can = (F.col("label") != F.col("of")) & (near | F.col("s").isNull() | F.col("ps").isNull()) & possible(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
+            met = active.join(leaders, (F.col("bucket") == F.col("of_bucket")) & can)
+            pairs = store.put(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
         scored = store.put(similarity(pairs), "scored")
         found = scored.where(F.col("j") >= t - 1e-12).select("a", "b")
-        if not (none := found.isEmpty()):
+        if not found.isEmpty():
             if labels is not None:
                 found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
             labels = store.put(connected(store, found), "labels")
         if first:
-            own = active.drop("d").join(leaders.select("bucket", "pivot"), "bucket").where("id <> pivot")
+            own = active.drop("d").join(leaders, "bucket").where("id <> pivot")
             apart = scored.select("a", "b", (1 - F.col("j")).alias("d"))
-            rest = own.join(apart, (F.least("id", "pivot") == F.col("a")) & (F.greatest("id", "pivot") == F.col("b")), "left").select("bucket", "id", "n", "u", "d")
+            rest = own.join(apart, (F.least("id", "pivot") == F.col("a")) & (F.greatest("id", "pivot") == F.col("b")), "left").select("bucket", "id", "w", "d")
         else:
-            rest = active.join(leaders.select(F.col("bucket").alias("of_bucket"), "pivot"), (F.col("bucket") == F.col("of_bucket")) & (F.col("id") == F.col("pivot")), "left_anti").select("bucket", "id", "n", "u", "d")
+            rest = active.join(leaders.select("of_bucket", "pivot"), (F.col("bucket") == F.col("of_bucket")) & (F.col("id") == F.col("pivot")), "left_anti").select("bucket", "id", "w", "d")
         rest = store.put(rest, "rest")
-        for old in (labelled, leaders, pairs, scored):
+        for old in (labelled, leaders, pairs, scored, *([] if first else [active])):
             store.drop(old)
         store.release()
         first = False

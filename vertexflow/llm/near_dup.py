@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, small_batches
-from .components import link_buckets, unique_counts
+from .components import link_buckets, one_row
 from .store import Store
 
 BANDS, ROWS = 20, 5
 #: Ids that a broadcast may hold (16 MB); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of an odd sketch.
+LONGS = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,14 +117,22 @@ def signatures(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, LONGS) words; each element flips the bit that its lowest bits name."""
+    bits = 64 * LONGS
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flips = np.bincount(owner * bits + (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.intp), minlength=len(sets) * bits)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), LONGS)
+
+
 def _sets(docs: DataFrame, words: int, kind: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in small_batches(batch, 128):
-                sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "elements"])
+                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(list(odd_sketches(sets)), pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "n", "s", "elements"])
 
-    return docs.mapInArrow(run, f"id {kind}, elements array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n int, s array<long>, elements array<long>")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,8 +158,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
         met = pairs.join(one, "a").where(F.size("sa") > 0).join(two, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("n"))
         return met.groupBy("a", "b").agg(F.max(F.col("both") / (F.col("n") - F.col("both"))).alias("j"))
 
-    sizes = sets.groupBy("id").agg(F.max(F.size("elements")).alias("n")).join(unique_counts(sets), "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
-    labels = link_buckets(store, buckets, store.put(sizes, "sizes"), similarity, percent).withColumnRenamed("id", "rep")
+    sizes = store.put(one_row(sets.where("n > 0").select("id", "n", "s")), "sizes")
+    labels = link_buckets(store, buckets, sizes, similarity, percent, LONGS).withColumnRenamed("id", "rep")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     grouped = signed.select("id", "n_shingles", "k1", "k2").join(classes.join(labels, "rep", "left"), ["k1", "k2"], "left")
     owned = grouped.select(F.col("id"), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
