@@ -356,3 +356,14 @@ def test_empty_tables(spark, odd):
 def test_empty_token_files(spark, odd, tmp_path):
     token_files.write_token_files(spark, odd.limit(0), BYTE, str(tmp_path / "f"))
     assert token_files.read_token_files(spark, str(tmp_path / "f")).count() == 0
+
+
+def test_odd_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 2**63, m, dtype=np.uint64)])) for n, m in [(400, 0), (390, 5), (200, 40), (1, 0), (0, 0), (400, 3000)]]
+    sketches = near_dup.odd_sketches(sets).view(np.uint64)
+    for a, x in zip(sets, sketches):
+        for b, y in zip(sets, sketches):
+            apart = sum(int(v).bit_count() for v in x ^ y)
+            assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
