@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import PieceEncoder
+from .pieces import encoder
 from .store import Store
 
 
@@ -76,11 +76,11 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, drops_spa
     end = np.uint32(end_id).tobytes()
 
     def run(batches):
-        encoder = PieceEncoder(path, drops_space, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+        own = encoder(path, drops_space, "<u4")
         for batch in batches:
             for part in small_batches(batch):
                 rows = []
-                for key, x in zip(part.column(0).to_pylist(), encoder.values([t or "" for t in part.column(1).to_pylist()])):
+                for key, x in zip(part.column(0).to_pylist(), own.values([t or "" for t in part.column(1).to_pylist()])):
                     x += end
                     for i, at in enumerate(range(0, len(x), 4 * capacity)):
                         y = x[at : at + 4 * capacity]

@@ -10,11 +10,19 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
+from itertools import chain
+
+import numpy as np
 
 #: Pieces that a worker keeps; beyond, it only looks up, and starts anew once as many have missed.
 CACHE = 900_000
 
 _RUN = re.compile(r"\s\s|\x00")
+#: What ``_RUN`` can match in ASCII, but for white space besides space and line end.
+_RUNS, _OTHER = ("  ", " \n", "\n ", "\n\n", "\x00"), "\t\r\v\f\x1c\x1d\x1e\x1f"
+#: Words that go through the library as one text.
+JOINED = 256
 
 
 def load(path: str):
@@ -26,46 +34,55 @@ def load(path: str):
 
 
 class PieceEncoder:
-    """Encode whole texts as ids; ``value(ids)`` is what is kept for a piece."""
+    """Encode whole texts as ids, the bytes of an array of ``kind``."""
+
+    join = staticmethod(b"".join)
 
-    def __init__(self, path: str, drops_space: bool, value, join):
+    def __init__(self, path: str, drops_space: bool, kind: str):
         self.tokenizer = load(path)
-        self.drops_space = drops_space
-        self.value, self.join = value, join
-        self.known: dict[str, object] = {}
+        self.drops_space, self.kind = drops_space, kind
+        self.known: dict[str, bytes] = {}
         self.missed = 0
+        vocabulary = self.tokenizer.get_vocab()
+        #: Tokens that end a word, or else those that start with its space.
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if drops_space else t.startswith("Ġ"))]] = True
 
     def _split(self, text: str) -> list[str] | None:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        if _RUN.search(text):
+        if text.isascii() and not any(c in text for c in _OTHER):
+            if any(run in text for run in _RUNS):
+                return None
+        elif _RUN.search(text):
             return None
         return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
 
-    def values(self, texts: list[str]) -> list:
-        """One joined value per text."""
+    def values(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         known, split = self.known, [self._split(t) for t in texts]
-        new = {p for pieces in split if pieces is not None for p in pieces if p not in known}
-        found = self._encode(list(new))
-        if len(known) + len(found) <= CACHE:
-            known.update(found)
-            look = known
-        else:
+        seen = set(chain.from_iterable(pieces for pieces in split if pieces is not None))
+        found = self._encode([p for p in seen if p not in known])
+        known.update(found)
+        whole = iter(self._encode_all([t for t, pieces in zip(texts, split) if pieces is None]))
+        get = known.__getitem__
+        out = [next(whole) if pieces is None else self.join(map(get, pieces)) for pieces in split]
+        if len(known) > CACHE:
             self.missed += len(found)
-            look = _Both(known, found)
             if self.missed > CACHE:
                 self.known, self.missed = {}, 0
-        whole = iter(self._encode_all([t for t, pieces in zip(texts, split) if pieces is None]))
-        get = look.__getitem__
-        return [next(whole) if pieces is None else self.join(map(get, pieces)) for pieces in split]
+            else:
+                for p in found:
+                    del known[p]
+        return out
 
     def _encode(self, pieces: list[str]) -> dict:
         """Values of new pieces; a line end before a word and marks after it are tokens of their own, so only new words reach the library."""
-        parts = {p: self._parts(p) for p in pieces}
-        wanted = list({x for p in parts.values() for x in p if x not in self.known})
+        parts = {p: self._parts(p) for p in pieces if not (p.islower() and p.isalpha() if self.drops_space else self._plain(p))}
+        wanted = list({x for p in parts.values() for x in p if x not in self.known}.union(p for p in pieces if p not in parts))
         new = dict(zip(wanted, self._encode_all(wanted)))
         look = _Both(self.known, new)
-        return {p: look[x[0]] if len(x) == 1 else self.join(look[y] for y in x) for p, x in parts.items()} | new
+        return {p: look[x[0]] if len(x) == 1 else self.join([look[y] for y in x]) for p, x in parts.items()} | new
 
     def _parts(self, piece: str) -> tuple[str, ...]:
         word = piece.rstrip(".,;:!?")
@@ -78,9 +95,36 @@ class PieceEncoder:
         head = ("\n",) if word[0] == "\n" and word[1:2].isalpha() else ()
         return (*head, word[len(head) :], *([tail] if tail else []))
 
-    def _encode_all(self, texts: list[str]) -> list:
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        """Words of letters go to the library many at once and are told apart by their edges; all else goes alone."""
+        skip = 0 if self.drops_space else 1
+        words = [t for t in texts if self._plain(t)]
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        done = {}
+        for group, e in zip(groups, self._library([("" if skip else " ").join(g) for g in groups])):
+            ids = np.array(e.ids, self.kind)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) == len(group):  # each word has one edge at least, so here each has one
+                at = (np.append(at, len(ids)) if skip else np.append(0, at + 1)) * ids.itemsize
+                at, raw = at.tolist(), ids.tobytes()
+                done.update(zip(group, (raw[i:j] for i, j in zip(at, at[1:]))))
         # runs that span pieces (special strings hold no space) and empties need no care here
-        return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        rest = [t for t in texts if t not in done]
+        done.update(zip(rest, (np.array(e.ids, self.kind).tobytes() for e in self._library(rest))))
+        return [done[t] for t in texts]
+
+    def _plain(self, piece: str) -> bool:
+        """A word of letters, with the space before it where spaces count."""
+        return piece.isalpha() if self.drops_space else piece[:1] == " " and piece[1:].isalpha()
+
+    def _library(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, drops_space: bool, kind: str) -> PieceEncoder:
+    """The Python worker's own encoder, which keeps its pieces from task to task."""
+    return PieceEncoder(path, drops_space, kind)
 
 
 class _Both(dict):

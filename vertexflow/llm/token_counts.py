@@ -40,10 +40,12 @@ def whole_tokens(path: str) -> frozenset[str]:
 class TokenCounter(PieceEncoder):
     """Counts per piece: pre-tokens found in the whole-token table count directly, the rest are merged."""
 
+    join = staticmethod(sum)
+
     def __init__(self, path: str):
         import regex
 
-        super().__init__(path, False, len, sum)
+        super().__init__(path, False, "<u4")
         self.whole = whole_tokens(path)
         self.find = regex.compile(PRE_TOKENS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -63,20 +65,26 @@ class TokenCounter(PieceEncoder):
                 counts.append(len(pre) - len(merge))
                 rest += merge
                 at += [i] * len(merge)
-        for i, n in zip(at, super()._encode_all(rest)):
-            counts[i] += n
+        for i, ids in zip(at, super()._encode_all(rest)):
+            counts[i] += len(ids) // 4
         return counts
 
 
+@lru_cache(maxsize=2)
+def counter(path: str) -> TokenCounter:
+    """The Python worker's own counter, which keeps its pieces from task to task."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
 
     def run(batches):
-        counter = TokenCounter(path)
+        own = counter(path)
         for batch in batches:
             for part in small_batches(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                n = counter.values(texts)
+                n = own.values(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

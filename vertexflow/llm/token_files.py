@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import PieceEncoder
+from .pieces import encoder
 from .store import Store
 
 #: Tokens after which a block ends (it ends with a document), and bytes of a value by its control bits.
@@ -63,10 +63,10 @@ def encode_ids(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_i
     end = np.array([end_id], kind).tobytes()
 
     def run(batches):
-        encoder = PieceEncoder(path, drops_space, lambda ids: np.array(ids, kind).tobytes(), b"".join)
+        own = encoder(path, drops_space, kind)
         for batch in batches:
             for part in small_batches(batch):
-                ids = [x + end for x in encoder.values([t or "" for t in part.column(1).to_pylist()])]
+                ids = [x + end for x in own.values([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary")
