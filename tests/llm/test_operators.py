@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on odd rows."""
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -221,6 +222,15 @@ def test_license_templates(spark):
     assert all(label in got[i] for i, (label, _, _) in enumerate(licenses.TEMPLATES))
 
 
+@pytest.mark.parametrize("several", [2, 3])
+def test_license_templates_of_one_file(spark, several):
+    groups = list(itertools.combinations(licenses.TEMPLATES, several))
+    docs = [(i, " -- ".join(f"some code {notice}" for _, _, notice in g)) for i, g in enumerate(groups)] + [(-1, "the person is free to use this software")] * 400
+    got = {r["doc_id"]: (set(r["labels"].split(",")), r["score"]) for r in licenses.scan_licenses(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, g in enumerate(groups):
+        assert {label for label, _, _ in g} <= got[i][0] and got[i][1] == 1.0, (g, got[i])
+
+
 def brute_lines(docs):
     def norm(x):
         return re.sub(r"\s+", " ", x.lower()).strip(" ")

@@ -1,11 +1,10 @@
 """Licence scans by a positional rare-token index, with DataFrame functions alone.
 
 Every template keeps its ``RARE`` words of highest IDF, which is counted over all scanned
-files, with their positions. A file looks up its own highest-IDF ones of these words
-(``LOOKED_UP`` different ones, at all their places); postings with the same relative
-position (place in the file less place in the template) support one alignment. A label
-follows where ``AGREE`` of a template's distinct rare words support it and
-the template's key phrase stands in the file. Base phrases are counted besides.
+files, with their positions. A file looks up the rare words, at all their places, of every
+template whose key phrase stands in it; postings with the same relative position (place in
+the file less place in the template) support one alignment. A label follows where ``AGREE``
+of a template's distinct rare words support it. Base phrases are counted besides.
 
 Defined results: a null text is the empty text (no words, empty labels, score 0); a null
 doc_id is kept; repeated rows give repeated results; letters beyond A-Z keep their case.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import lower_az
 from .store import Store
 
-RARE, LOOKED_UP, AGREE = 8, 8, 0.5
+RARE, AGREE = 8, 0.5
 #: The words' separators, the base phrases with their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -84,19 +83,18 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         rare = sorted(set(parts), key=lambda w: (-idf[w], w))[:RARE]
         postings += [(t, w, i, idf[w], len(rare)) for i, w in enumerate(parts) if w in rare]
     index = spark.createDataFrame(postings, "template int, word string, at int, idf double, rare int")
-    indexed = sorted({p[1] for p in postings})
-    weights = F.create_map(*(x for w in indexed for x in (F.lit(w), F.lit(idf[w]))))
+    rare_words = [sorted({p[1] for p in postings if p[0] == t}) for t in range(len(TEMPLATES))]
 
-    # files with a word of the index: their best words, with all places
-    looked = F.array_intersect("words", _strings(indexed))
-    own = F.slice(F.transform(F.array_sort(F.transform(looked, lambda w: F.struct((-F.element_at(weights, w)).alias("w"), w.alias("word")))), lambda s: s["word"]), 1, LOOKED_UP)
+    # files with some key phrase: the rare words of these templates, with all places
+    own = F.array_distinct(F.flatten(F.array(*(F.when(F.get("phrases", F.lit(t)), _strings(w)).otherwise(F.array().cast("array<string>")) for t, w in enumerate(rare_words)))))
     base = [(_places("words", p), label) for p, label in BASE.items()]
-    marked = words.withColumn("base", F.flatten(F.array(*(_labelled(places, label) for places, label in base)))).withColumn("best", own)
+    phrases = F.array(*(F.size(_places("words", phrase)) > 0 for _, phrase, _ in TEMPLATES))
+    marked = words.withColumn("base", F.flatten(F.array(*(_labelled(places, label) for places, label in base)))).withColumn("phrases", phrases).withColumn("own", own)
     keys = [F.xxhash64("words").alias("text_key")]  # rows that repeat a doc_id stay apart
     slim = marked.select(
         "id", F.size("words").cast("long").alias("n_words"), F.transform("base", lambda b: b["at"]).alias("starts"), F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))).alias("base_list"),
-        F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("best", w), F.struct(i.alias("place"), w.alias("word")))), lambda s: s.isNotNull()).alias("places"),
-        F.array(*(F.size(_places("words", phrase)) > 0 for _, phrase, _ in TEMPLATES)).alias("phrases"), *keys,
+        F.when(F.size("own") > 0, F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("own", w), F.struct(i.alias("place"), w.alias("word")))), lambda s: s.isNotNull())).alias("places"),
+        "phrases", *keys,
     )
     slim = store.put(slim, "files")
     # only files with some mandatory phrase can get a label: the others need no intersection
@@ -104,8 +102,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     hits = candidates.select("id", "text_key", "phrases", F.explode("places").alias("p")).select("id", "text_key", "phrases", F.col("p.place").alias("place"), F.col("p.word").alias("word"))
     hits = hits.join(F.broadcast(index), "word").where(F.get("phrases", F.col("template")))  # the index: RARE words of each template
     aligned = hits.groupBy("id", "text_key", "template", (F.col("place") - F.col("at")).alias("shift")).agg(F.count_distinct("word").alias("n"), F.max("rare").alias("rare"))
-    needed = F.least("rare", F.lit(LOOKED_UP))
-    scored = aligned.groupBy("id", "text_key", "template").agg(F.max(F.col("n") / needed).alias("share")).where(F.col("share") >= AGREE)
+    scored = aligned.groupBy("id", "text_key", "template").agg(F.max(F.col("n") / F.col("rare")).alias("share")).where(F.col("share") >= AGREE)
     names = _strings(t[0] for t in TEMPLATES)
     found = scored.groupBy("id", "text_key").agg(F.collect_set(F.get(names, F.col("template"))).alias("found"), F.max("share").alias("share")).select(F.col("id").alias("hit"), F.col("text_key").alias("hit_key"), "found", "share")
     out = slim.join(found, F.col("id").eqNullSafe(F.col("hit")) & (F.col("text_key") == F.col("hit_key")), "left")
