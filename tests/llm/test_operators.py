@@ -270,6 +270,33 @@ def test_line_dedup(spark, small):
     assert all(len(got[k]) >= len(want[k]) for k in want)
 
 
+def test_line_dedup_recall_by_length(spark):
+    rng, docs, of = np.random.default_rng(8), [], {}
+    for kind in ("abcdefghij ", "".join(map(chr, range(0x4E00, 0x4E40)))):
+        for n in (1, 2, 4, 5, 6, 9, 10, 15, 20, 26, 32, 33, 40, 41, 60, 100, 200, 400):  # shingles of the longer line
+            for _ in range(30):
+                line = "z" + "".join(rng.choice(list(kind), n + 6)).replace("  ", "ab").replace("  ", "ab") + "z"
+                cut = n // 5  # a Jaccard similarity of 0.8 or just above
+                key = len(docs)
+                docs += [(key, line[: len(line) - cut].rstrip() if cut else line), (key + 1, line if cut else line.upper() + " ")]
+                of[key + 1] = n
+    docs += [(90_000, "subscribe to newsletter"), (90_001, "subscribe to newsletter!")]
+    a = len(docs)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_repeated_lines(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_lines_of_pairs(docs)
+    assert got[90_001] == 1 and len(got) == a
+    for n in sorted(set(of.values())):
+        keys = [k for k, m in of.items() if m == n and want[k]]
+        share = sum(got[k] for k in keys) / len(keys)
+        assert len(keys) >= 20 and (share == 1 if n <= line_dedup.FEW else share >= 0.95), (n, share, len(keys))
+
+
+def brute_lines_of_pairs(docs):
+    """Whether the second of two documents, of one line each, is similar to the first."""
+    sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in (" ".join(t.lower().split()) for _, t in docs)]
+    return {docs[i + 1][0]: 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1]) for i in range(0, len(docs), 2)}
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     got = Counter((r["doc_id"], r["text"], r["n_dropped"], r["bucket"]) for r in line_dedup.drop_repeated_lines(spark, odd).collect())
     assert got == Counter((k, t, 0, "clash") for k, t, _ in ODD)

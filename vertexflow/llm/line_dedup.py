@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions alone.
 
-Lines are compared in lower case with white space collapsed. Their signature hashes the
-character shingles that start a word (the word and three characters of the next) and
-sorts the hashes in three orders; the three lowest and the three highest of an order
-are a band, six in all (0.99 of the pairs at the threshold meet). Lines that share a
-band are compared on all their character shingles of ``SHINGLE``, confirmed from a Jaccard
+Lines are compared in lower case with white space collapsed, by the hashes of all their
+character shingles of ``SHINGLE``. Candidates come from the same shingles. Of a line with
+more than ``FEW``, the hashes lie on a circle cut at ``BANDS`` places; the first three after
+a cut are a band (at the threshold 0.995 of the pairs or more meet). Pairs with a line of
+``FEW`` shingles or less meet exactly, by a prefix filter: similar sets share one of their
+rarest shingles. Candidates are compared on all shingles, confirmed from a Jaccard
 similarity of ``PERCENT`` / 100, and joined into components by distributed union-find;
 the first line of a component (by doc_id, then place) stays.
 
@@ -24,9 +25,11 @@ from .components import link_buckets
 from .store import Store
 
 SHINGLE, PERCENT = 9, 80
-#: Masks of the hash orders, drawn once (0: the hashes as they are); each gives a band of its lowest and of its highest.
-_ORDERS, _ROWS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F), 3
-BANDS = 2 * len(_ORDERS)
+#: Most shingles of a line whose pairs are found exactly; the bands of longer ones, and the hashes in a band.
+FEW, BANDS, _ROWS = 32, 8, 3
+_CUTS = [k * 2 ** (64 - 3) - 2**63 + 1 for k in range(BANDS)]
+#: Shingles that are cut from one piece of a line: a substring is searched from the start.
+_PIECE = 64
 #: 64-bit words of an odd sketch.
 LONGS = 8
 #: Ids that a broadcast may hold; beyond, the join is shuffled.
@@ -50,8 +53,12 @@ def _keys(words: Column) -> tuple[Column, Column]:
     return F.xxhash64(words).alias("h1"), F.xxhash64(F.lit("line"), words).alias("h2")
 
 
-def _all_shingles(norm: str) -> Column:
-    return F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?=(.{{{SHINGLE}}}))"), F.lit(1))))
+def _elements(norm: str) -> Column:
+    """The distinct hashes of all character shingles; a shorter line is one shingle."""
+    more = SHINGLE - 1
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - more, F.lit(1)), F.lit(_PIECE)), lambda i: F.substring(F.col(norm), i, F.lit(_PIECE + more)))
+    hashes = F.transform(pieces, lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - more), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE)))))
+    return F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(F.array_distinct(F.flatten(hashes)))
 
 
 def _odd_sketches(shingled: DataFrame) -> DataFrame:
@@ -68,14 +75,25 @@ def _position(doc: str, place: str) -> Column:
     return F.col(doc).cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col(place).cast("decimal(10,0)")
 
 
-def _hashes(words: Column) -> Column:
-    """The sorted hashes of the shingles that start a word (it and three characters of the next)."""
-    after = F.slice(words, F.lit(2), F.size(words))  # one shorter: the last word stands alone
-    return F.sort_array(F.array_distinct(F.zip_with(words, after, lambda w, v: F.xxhash64(w, F.substring(v, 1, 3)))))
+def _cuts() -> Column:
+    return F.array(*(F.lit(c).cast("long") for c in _CUTS))
 
 
-def _in_order(hashes: str, mask: int) -> Column:
-    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
+def _band(ring: str, k: int) -> Column:
+    """The hash of the first elements after a cut of the ring: the sorted elements and cuts, twice."""
+    after = F.slice(ring, (F.array_position(ring, F.lit(_CUTS[k]).cast("long")) + 1).cast("int"), F.lit(_ROWS + BANDS))
+    return F.xxhash64(F.lit(k), F.slice(F.array_except(after, _cuts()), 1, _ROWS))
+
+
+def _prefix_buckets(store: Store, short: DataFrame, percent: int) -> DataFrame:
+    """(id, bucket) of the rarest shingles of lines (id, h1, h2, few): sets with a Jaccard similarity of percent / 100 share one."""
+    each = store.put(short.select("id", "h1", "h2", F.explode("few").alias("e")).distinct(), "few")
+    counts = each.groupBy("e").agg(F.count("*").alias("c"))
+    ranked = each.join(counts, "e").groupBy("id", "h1", "h2").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
+    n = F.size("es")
+    prefix = (n - F.ceil(n * percent / 100) + 1).cast("int")
+    rare = ranked.select("id", F.explode(F.slice("es", F.lit(1), prefix)).alias("r")).where("r.c > 1")
+    return rare.select("id", F.xxhash64(F.lit("shingle"), "r.e").alias("bucket")).distinct()
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,17 +102,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("doc", "place", _words(F.col("line")).alias("words")).where("size(words) > 0")
     # one projection each, so that the hashes are made and sorted once
-    hashed = lines.select("doc", "place", *_keys(F.col("words")), _hashes(F.col("words")).alias("s0"))
-    signed = hashed.select("*", *(_in_order("s0", o).alias(f"s{i}") for i, o in enumerate(_ORDERS) if i))
-    n = F.size("s0")
-    bands = [F.xxhash64(F.lit(i), F.slice(f"s{i // 2}", 1 if i % 2 == 0 else -_ROWS, _ROWS)) for i in range(BANDS)]
-    bands = [F.when(n >= _ROWS, bands[0]).otherwise(F.xxhash64("s0"))] + [F.when(n >= _ROWS, b) for b in bands[1:]]
-    signed = store.put(signed.select("doc", "place", "h1", "h2", *(b.alias(f"b{i}") for i, b in enumerate(bands))), "lines")
+    hashed = lines.select("doc", "place", *_keys(F.col("words")), F.array_join("words", " ").alias("norm"))
+    hashed = hashed.select("doc", "place", "h1", "h2", _elements("norm").alias("e"))
+    n = F.size("e")
+    signed = hashed.select("*", F.when(n > FEW, F.sort_array(F.concat("e", _cuts()))).alias("order")).withColumn("ring", F.concat("order", "order"))
+    bands = [F.when(F.col("ring").isNotNull(), _band("ring", k)).alias(f"b{k}") for k in range(BANDS)]
+    signed = store.put(signed.select("doc", "place", "h1", "h2", F.when(n * percent <= FEW * 100, F.col("e")).alias("few"), *bands), "lines")
 
     # equal lines form a class, named after the first of them
     distinct = signed.groupBy("h1", "h2").agg(F.min(_position("doc", "place")).alias("id"), F.count("*").alias("n"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
     distinct = store.put(distinct, "classes")
     banded = distinct.select("id", F.explode(F.array_distinct(F.array(*(f"b{i}" for i in range(BANDS))))).alias("bucket")).where("bucket is not null")
+    short = signed.where("few is not null").join(distinct.select("h1", "h2", "id"), ["h1", "h2"]).where(_position("doc", "place") == F.col("id"))
+    banded = store.put(banded.unionByName(_prefix_buckets(store, short, percent)), "banded")
     full = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     buckets = store.put(banded.join(full, "bucket", "left_semi"), "buckets")
 
@@ -103,7 +123,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     places = wanted.groupBy("doc").agg(F.collect_list("place").alias("places"))
     some = texts.join(broadcast_if_small(places, wanted.count(), BROADCAST_IDS), "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
     some = some.select(_position("doc", "place").alias("id"), _norm(F.get("lines", F.col("place"))).alias("norm"))
-    shingled = store.put(some.select("id", F.transform(_all_shingles("norm"), lambda s: F.xxhash64(s)).alias("elements")), "shingles")
+    shingled = store.put(some.select("id", _elements("norm").alias("elements")), "shingles")
 
     def similarity(pairs: DataFrame) -> DataFrame:
         one = shingled.select(F.col("id").alias("a"), F.col("elements").alias("sa"))
