@@ -196,6 +196,25 @@ def test_decontamination(spark, small):
     assert all(got[k] for k, _ in planted)
 
 
+def test_seeds_hit_every_allowed_substitution(spark):
+    docs, bench = [], []
+    for n in range(1, decontaminate.SPAN + 1):
+        item = [f"i{n}w{k}" for k in range(n)]
+        allowed = max(s for s in range(n) if n - s >= decontaminate.SHARE * n)
+        bench.append((n, " ".join(item)))
+        for s in range(allowed + 1):
+            for at in itertools.combinations(range(n), s):
+                text = ["other" if k in at else w for k, w in enumerate(item)]
+                assert any(not {p + o for o in m} & set(at) for m in decontaminate.MASKS[n] for p in range(n - m[-1])), (n, at)
+                docs.append((1000 * n + len(docs), " ".join(text)))
+        docs.append((-n, " ".join(["other"] * (allowed + 1) + item[allowed + 1 :])))
+    bench.append((100, " ".join(f"long{k}" for k in range(30))))
+    docs += [(100_000, " ".join("x" if k in (22, 23) else f"long{k}" for k in range(18, 30))), (100_001, "none of them")]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    for k, _ in docs:
+        assert got[k] == (None if k < 0 or k == 100_001 else [100] if k == 100_000 else [k // 1000]), k
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "word " * 12)], "item_id long, text string")
     got = rows(decontaminate.contaminated(spark, odd, bench), "doc_id", "contaminated")

@@ -1,14 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions alone.
 
 A seed hashes the words at a mask's positions and ignores the others, so a substituted
-word at an ignored position doesn't hide a copy. The two masks hit every stretch of
-``SPAN`` aligned words with at most two substitutions. Seeds of benchmark items join
-those of documents; each hit fixes an alignment, along which the words are compared:
-an item counts as found where ``SPAN`` aligned words (all of a shorter item's) agree in
-``SHARE`` of their positions or more.
+word at an ignored position doesn't hide a copy. A mask stands wherever it fits, and the
+masks of a length hit every stretch of as many aligned words (``SPAN`` at most) with all
+the substitutions that ``SHARE`` allows. Seeds of benchmark items join those of documents;
+each hit fixes an alignment, along which the words are compared: an item counts as found
+where ``SPAN`` aligned words (all of a shorter item's) agree in ``SHARE`` of their positions
+or more. Items of four words or less allow no substitution: their only mask is all words.
 
-Defined results: null and empty texts, and those with fewer words than a seed needs, are
-clean; so are items with fewer words than the longest mask; rows that repeat a doc_id get
+Defined results: texts and items without words are clean; rows that repeat a doc_id get
 one common verdict; a null doc_id is clean only if no text under a null id is hit; null
 items are ignored; an item repeated under one id counts once.
 """
@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small
 from .store import Store
 
-#: Word positions of each seed, and the aligned words and share that confirm a hit.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6))
+#: The aligned words and the share that confirm a hit.
 SPAN, SHARE = 12, 0.8
+#: Word positions of the seeds for items of each length, ``SPAN`` and more the last.
+MASKS = {
+    1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 2, 3),), 5: ((0, 1, 2), (0, 1, 3)), 6: ((0, 1, 2),), 7: ((0, 1, 3, 4),), 8: ((0, 1, 2, 3),), 9: ((0, 1, 2, 3),),
+    10: ((0, 1, 2, 3), (0, 1, 2, 4)), 11: ((0, 1, 2, 4),), 12: ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6)),
+}
 #: Rows that a broadcast may hold (seeds: 24 bytes each; ids: 16); more seeds are joined block by block.
 BROADCAST_ROWS = 1_000_000
 
@@ -33,26 +37,32 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _seeds(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """One row for each seed: keys, pos (of its first word) and seed."""
-    offsets = sorted({o for m in MASKS for o in m})
-    last = max(offsets)
-    n = F.size("h") - last
-    hashed = rows.where(F.size(words) > last).select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
-    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"), *(F.slice("h", o + 1, n).alias(f"w{o}") for o in offsets))
-    flat = hashed.select(*keys, F.inline(zipped))
-    seeds = F.array(*(F.xxhash64(F.lit(i), *(f"w{o}" for o in m)) for i, m in enumerate(MASKS)))
-    return flat.select(*keys, "pos", F.explode(seeds).alias("seed"))
+def _seeds(rows: DataFrame, keys: list[str], words: str, masks: list[tuple], by_length: bool = False) -> DataFrame:
+    """One row for each seed of ``masks`` (or those for the row's length alone): keys, pos (of its first word) and seed."""
+    offsets = sorted({o for m in masks for o in m})
+    hashed = rows.where(F.size(words) > 0).select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
+    n = F.size("h")
+    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("pos"), *(F.slice("h", F.lit(o + 1), n).alias(f"w{o}") for o in offsets))  # null beyond the end
+    flat = hashed.select(*keys, F.least(n, F.lit(SPAN)).alias("length"), F.inline(zipped))
+    seeds = []
+    for m in masks:
+        fits = F.col(f"w{m[-1]}").isNotNull()
+        if by_length:
+            fits = fits & F.col("length").isin([k for k, of in MASKS.items() if m in of])
+        seeds.append(F.when(fits, F.xxhash64(F.lit(str(m)), *(f"w{o}" for o in m))))
+    return flat.select(*keys, "pos", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, contaminated, n_items, items, overlap) of every document; overlap is the best share of agreeing aligned words."""
     store = Store(spark, "decontaminate")
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("item_words")).where("item is not null").distinct()
-    index = store.put(_seeds(items, ["item"], "item_words").select("seed", "item", F.col("pos").alias("item_pos")).distinct(), "index")
+    lengths = {r[0] for r in items.select(F.least(F.size("item_words"), F.lit(SPAN))).distinct().collect()}  # SPAN + 1 at most
+    masks = sorted({m for k in lengths - {0} for m in MASKS[k]}) or list(MASKS[SPAN])
+    index = store.put(_seeds(items, ["item"], "item_words", masks, by_length=True).select("seed", "item", F.col("pos").alias("item_pos")).distinct(), "index")
     blocks = max(1, -(-index.count() // BROADCAST_ROWS))
     texts = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    seeds = _seeds(texts, ["id"], "words")
+    seeds = _seeds(texts, ["id"], "words", masks)
     hits = None
     for b in range(blocks):
         part = index.where(F.pmod("seed", F.lit(blocks)) == b) if blocks > 1 else index
