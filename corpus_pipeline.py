@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its
 result is written as Parquet and read again. All but the last return the columns of
 ``documents``.
+
+A row is judged by its own text, whatever its doc_id. Rows with a null doc_id take part in
+every stage and stay where their text is clean and no copy; so do rows that repeat a
+doc_id with another text. Of rows with the same doc_id and text one stays (the least by
+its other columns). Among copies the smallest doc_id stays; null ids, and the further
+texts of a repeated id, come after all ids below 2 ** 62.
 """
 
 from __future__ import annotations
@@ -12,32 +18,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexflow.llm import decontaminate, language, line_dedup, near_dup, packing
-from vertexflow.llm.common import keyed_crc32, table
+from vertexflow.llm.common import broadcast_if_small, keyed_crc32, table
 from vertexflow.llm.store import Store
 
 #: Documents whose best language has a lower mean probability are rejected, and so is ``und``.
 LEAST_LANGUAGE_SCORE = 0.3
+#: A column that tells rows apart within a stage.
+ROW = "_row"
+#: Repeated ids that a broadcast may hold; beyond, the join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with a never-null ROW for each text."""
+    return docs.withColumn(ROW, F.xxhash64("text"))
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a never-null ROW for each (doc_id, text): the doc_id, except for null ids and the further texts of a repeated id."""
+    text = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_first"), F.max(text).alias("_last")).where("_first <> _last")
+    several = several.select(F.col("doc_id").alias("_several"), "_first")
+    joined = docs.join(broadcast_if_small(several, several.count(), BROADCAST_IDS), F.col("doc_id") == F.col("_several"), "left")
+    own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == text))
+    other = F.shiftrightunsigned(F.xxhash64(F.lit("row"), "doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    return joined.withColumn(ROW, F.when(own, F.col("doc_id").cast("long")).otherwise(other)).drop("_several", "_first")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.train(docs, F.coalesce(keyed_crc32("doc_id") % 4 != 2, F.lit(False)))
-    kept = language.predict(spark, docs, net).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = _by_text(docs)
+    kept = language.predict(spark, rows, net, id_col=ROW).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return rows.join(kept.select(ROW).distinct(), ROW, "left_semi").select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_repeated_lines(spark, docs)
-    return out.where("n_lines > n_dropped").withColumn("n_chars", F.length("text").cast("long")).drop("n_lines", "n_dropped")
+    out = line_dedup.drop_repeated_lines(spark, _by_row(docs), id_col=ROW)
+    return out.where("n_lines > n_dropped").withColumn("n_chars", F.length("text").cast("long")).drop("n_lines", "n_dropped", ROW)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dup.near_duplicates(spark, docs, words=5, percent=80).where("kept")
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = _by_row(docs)
+    kept = near_dup.near_duplicates(spark, rows, words=5, percent=80, id_col=ROW).where("kept")
+    left = rows.join(kept.select(ROW).distinct(), ROW, "left_semi")
+    return left.groupBy(ROW).agg(F.min(F.struct(docs.columns)).alias("row")).select("row.*")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = _by_text(docs)
+    found = decontaminate.contaminated(spark, rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated")
+    return rows.join(found.select(ROW).distinct(), ROW, "left_anti").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

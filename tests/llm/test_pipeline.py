@@ -20,3 +20,22 @@ def test_pipeline(spark, small, tmp_path):
     assert columns == base.columns
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "near-dedup", "decontamination", "packing"]
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_pipeline_judges_rows_of_null_and_repeated_ids_by_their_texts(spark, small, tmp_path):
+    item = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").first()["text"]
+    spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def stages(docs, name):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{i}"))
+        return sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+
+    base = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(40)
+    clean = stages(base, "a")
+    t, rest = [x for _, x in clean if len(x) > 300][:6], base.schema
+    stay = [(k, x) for k, x in clean if x not in t] + [(None, t[0]), (None, t[1]), (7000, t[2]), (7000, t[3]), (8000, t[4])]
+    go = [(None, f"{t[5]} {item}"), (7000, t[2]), (None, t[4]), (7000, f"{t[5]} then {item}")]
+    planted = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in stay + go], rest)
+    assert stages(planted, "b") == sorted(stay, key=str)
