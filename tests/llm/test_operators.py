@@ -153,6 +153,12 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert got == Counter([(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (7, 7, True), (7, 7, True), (None, None, True), (9, 9, True)])
 
 
+def test_near_duplicates_of_a_repeated_id_with_other_texts(spark):
+    long, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 102), ("b", 32)))
+    docs = spark.createDataFrame([(1, long), (1, short), (2, short + " more")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(spark, docs, 3, 85).collect()} == {(1, 1), (2, 1)}
+
+
 def test_super_minhash_estimates_and_stops_exactly():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)

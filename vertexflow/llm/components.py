@@ -55,8 +55,8 @@ def _apart(x: Column, y: Column, longs: int) -> Column:
 
 
 def one_row(sets: DataFrame) -> DataFrame:
-    """(id, n, s) of sets (id, n, s); s is null for an id with several sets, which no bound may then rule out."""
-    return sets.groupBy("id").agg(F.max("n").alias("n"), F.when(F.count("*") == 1, F.first("s")).alias("s"))
+    """(id, n, s) of sets (id, n, s); n and s are null for an id with several sets, which no bound may then rule out."""
+    return sets.groupBy("id").agg(F.when(F.count("*") == 1, F.first("n")).alias("n"), F.when(F.count("*") == 1, F.first("s")).alias("s"))
 
 
 def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity: Callable[[DataFrame], DataFrame], percent: int, longs: int, pivots: int = PIVOTS) -> DataFrame:

@@ -62,13 +62,13 @@ def _elements(norm: str) -> Column:
 
 
 def _odd_sketches(shingled: DataFrame) -> DataFrame:
-    """(id, n, s) of (id, elements): each element flips the bit of s that its hash names; s is null for an id with several rows."""
+    """(id, n, s) of (id, elements): each element flips the bit of s that its hash names; n and s are null for an id with several rows."""
     e = F.col("e")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(e, 8).bitwiseAND(F.lit(63)).cast("int"))
     words = [F.bit_xor(F.when(e.bitwiseAND(F.lit(LONGS - 1)) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(LONGS)]
     sketches = shingled.select("id", F.explode("elements").alias("e")).groupBy("id").agg(F.array(*words).alias("s"))
     sizes = shingled.groupBy("id").agg(F.max(F.size("elements")).alias("n"), F.count("*").alias("rows"))
-    return sizes.join(sketches, "id").select("id", "n", F.when(F.col("rows") == 1, F.col("s")).alias("s"))
+    return sizes.join(sketches, "id").select("id", F.when(F.col("rows") == 1, F.col("n")).alias("n"), F.when(F.col("rows") == 1, F.col("s")).alias("s"))
 
 
 def _position(doc: str, place: str) -> Column:
