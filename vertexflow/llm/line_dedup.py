@@ -1,18 +1,21 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions alone.
 
-Lines are compared in lower case with white space collapsed, by the hashes of all their
-character shingles of ``SHINGLE``. Candidates come from the same shingles. Of a line with
-more than ``FEW``, the hashes lie on a circle cut at ``BANDS`` places; the first three after
-a cut are a band (at the threshold 0.995 of the pairs or more meet). Pairs with a line of
-``FEW`` shingles or less meet exactly, by a prefix filter: similar sets share one of their
-rarest shingles. Candidates are compared on all shingles, confirmed from a Jaccard
-similarity of ``PERCENT`` / 100, and joined into components by distributed union-find;
-the first line of a component (by doc_id, then place) stays.
+Lines are compared in lower case with white space collapsed, by the sets of all their
+character shingles of ``SHINGLE``. Equal lines form a class, and a class's signature is made
+in the same aggregate that finds it: every shingle of every line is a row that goes to one of
+``BANDS`` * ``ROWS`` slots by its hash, and each slot keeps its least one (an empty slot
+borrows the next one's). ``ROWS`` slots are a band; at the threshold 0.99 of the pairs share
+one or more. Pairs with a line of ``FEW`` shingles or less meet exactly as well, by a prefix
+filter: similar sets share one of their rarest shingles. Candidates are compared on all
+shingles, confirmed from a Jaccard similarity of ``PERCENT`` / 100, and joined into components
+by distributed union-find; the first line of a component (by doc_id, then place) stays.
+
+Shingles are never written: candidates keep their line's text, and pairs make them anew.
 
 Defined results: a null text stays null; blank lines are never dropped; a line shorter
-than a shingle is one shingle; rows that repeat a doc_id keep or lose the same lines; rows
-with a null doc_id stay as they are; all columns of the input are kept, but n_lines and
-n_dropped are replaced.
+than a shingle is one shingle; rows that repeat a doc_id and a text keep or lose the same
+lines; rows with a null doc_id stay as they are; lines whose 64-bit key is that of another
+line stay; all columns of the input are kept, but n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -25,32 +28,38 @@ from .components import link_buckets
 from .store import Store
 
 SHINGLE, PERCENT = 9, 80
-#: Most shingles of a line whose pairs are found exactly; the bands of longer ones, and the hashes in a band.
-FEW, BANDS, _ROWS = 32, 8, 3
-_CUTS = [k * 2 ** (64 - 3) - 2**63 + 1 for k in range(BANDS)]
+#: Most shingles of a line whose pairs are found exactly.
+FEW = 32
+BANDS, ROWS = 7, 3
 #: Shingles that are cut from one piece of a line: a substring is searched from the start.
 _PIECE = 64
-#: 64-bit words of an odd sketch.
-LONGS = 8
-#: Ids that a broadcast may hold; beyond, the join is shuffled.
-BROADCAST_IDS = 1_000_000
+#: 64-bit words of an odd sketch; lines of buckets with more members than this get one.
+LONGS, SKETCHED = 8, 4
+#: Rows (of 50 bytes at most) that a broadcast may hold; beyond, the join is shuffled.
+BROADCAST_ROWS = 400_000
 #: Places in a document count below 2 ** 31, so (doc_id, place) is one number.
 _PLACES = 1 << 31
+#: Bytes of a character in the fixed-width form that shingles are cut from.
+_UNIT = 2
 
 
-def _words(line: Column) -> Column:
-    low, other = F.lower(line), F.lit(False)
-    for space in "\t\v\f\r":
-        other = other | low.contains(space)
-    return F.array_remove(F.when(other, F.split(low, r"\s+")).otherwise(F.split(low, " ")), "")  # a split at one character needs no pattern
+def _norm(line: Column) -> Column:
+    """Lower case, white space collapsed; most lines need no pattern for it."""
+    low, other = F.lower(F.trim(line)), F.lit(False)
+    for space in ("\t", "\v", "\f", "\r", "  "):
+        other = other | line.contains(space)
+    return F.when(other, F.trim(F.regexp_replace(low, r"\s+", " "))).otherwise(low)
 
 
-def _norm(line: Column) -> Column:
-    return F.array_join(_words(line), " ")
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, t, place, norm, id) of lines that aren't blank; t names the text, id the line."""
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    lines = texts.select("doc", "t", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("doc", "t", "place", _norm(F.col("line")).alias("norm"))
+    return lines.where("norm <> ''").select("*", F.xxhash64("norm").alias("id"))
 
 
-def _keys(words: Column) -> tuple[Column, Column]:
-    return F.xxhash64(words).alias("h1"), F.xxhash64(F.lit("line"), words).alias("h2")
+def _position(doc: str, place: str) -> Column:
+    return F.col(doc).cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col(place).cast("decimal(10,0)")
 
 
 def _elements(norm: str) -> Column:
@@ -61,94 +70,89 @@ def _elements(norm: str) -> Column:
     return F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(F.array_distinct(F.flatten(hashes)))
 
 
-def _odd_sketches(shingled: DataFrame) -> DataFrame:
-    """(id, n, s) of (id, elements): each element flips the bit of s that its hash names; n and s are null for an id with several rows."""
-    e = F.col("e")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(e, 8).bitwiseAND(F.lit(63)).cast("int"))
-    words = [F.bit_xor(F.when(e.bitwiseAND(F.lit(LONGS - 1)) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(LONGS)]
-    sketches = shingled.select("id", F.explode("elements").alias("e")).groupBy("id").agg(F.array(*words).alias("s"))
-    sizes = shingled.groupBy("id").agg(F.max(F.size("elements")).alias("n"), F.count("*").alias("rows"))
-    return sizes.join(sketches, "id").select("id", F.when(F.col("rows") == 1, F.col("n")).alias("n"), F.when(F.col("rows") == 1, F.col("s")).alias("s"))
-
-
-def _position(doc: str, place: str) -> Column:
-    return F.col(doc).cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col(place).cast("decimal(10,0)")
-
-
-def _cuts() -> Column:
-    return F.array(*(F.lit(c).cast("long") for c in _CUTS))
-
-
-def _band(ring: str, k: int) -> Column:
-    """The hash of the first elements after a cut of the ring: the sorted elements and cuts, twice."""
-    after = F.slice(ring, (F.array_position(ring, F.lit(_CUTS[k]).cast("long")) + 1).cast("int"), F.lit(_ROWS + BANDS))
-    return F.xxhash64(F.lit(k), F.slice(F.array_except(after, _cuts()), 1, _ROWS))
+def _classes(lines: DataFrame) -> DataFrame:
+    """(id, position, n, same, bands) of equal lines; position is the first one's, same is false where the key stands for several lines."""
+    wide, slots = SHINGLE * _UNIT, BANDS * ROWS
+    units = lines.select("doc", "place", "id", F.xxhash64(F.lit("line"), "norm").alias("other"), F.encode("norm", "UTF-16BE").alias("units"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("units") - wide + 1, F.lit(1)), F.lit(_UNIT))
+    shingles = units.select("*", F.explode(starts).alias("i"))
+    # Substring, hash and aggregate are one generated loop: no array of a line's hashes is made
+    hashed = shingles.select("doc", "place", "id", "other", (F.col("i") == 1).alias("first"), F.xxhash64(F.substring("units", F.col("i"), F.lit(wide))).alias("e"))
+    slotted = hashed.select("*", F.shiftright(F.col("e").bitwiseAND(F.lit(0xFFFF)) * slots, 16).alias("slot"), F.shiftright("e", 33).alias("v"))
+    once = F.when(F.col("first"), F.col("other"))
+    least = [F.min(F.when(F.col("slot") == k, F.col("v"))).alias(f"v{k}") for k in range(slots)]
+    grouped = slotted.groupBy("id").agg(F.min(F.when(F.col("first"), _position("doc", "place"))).alias("position"), F.count(once).alias("n"), F.min(once).alias("lo"), F.max(once).alias("hi"), *least)
+    filled = [F.coalesce(*(f"v{(k + i) % slots}" for i in range(slots))) for k in range(slots)]
+    bands = [F.xxhash64(F.lit(b), *filled[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
+    return grouped.select("id", "position", "n", (F.col("lo") == F.col("hi")).alias("same"), F.array(*bands).alias("bands"))
 
 
 def _prefix_buckets(store: Store, short: DataFrame, percent: int) -> DataFrame:
-    """(id, bucket) of the rarest shingles of lines (id, h1, h2, few): sets with a Jaccard similarity of percent / 100 share one."""
-    each = store.put(short.select("id", "h1", "h2", F.explode("few").alias("e")).distinct(), "few")
+    """(id, bucket) of the rarest shingles of lines (id, few): sets with a Jaccard similarity of percent / 100 share one."""
+    each = store.put(short.select("id", F.explode("few").alias("e")).distinct(), "few")
     counts = each.groupBy("e").agg(F.count("*").alias("c"))
-    ranked = each.join(counts, "e").groupBy("id", "h1", "h2").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
+    ranked = each.join(counts, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
     n = F.size("es")
     prefix = (n - F.ceil(n * percent / 100) + 1).cast("int")
     rare = ranked.select("id", F.explode(F.slice("es", F.lit(1), prefix)).alias("r")).where("r.c > 1")
     return rare.select("id", F.xxhash64(F.lit("shingle"), "r.e").alias("bucket")).distinct()
 
 
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(id, n, s): the number of shingles and an odd sketch, in which each shingle flips the bit that its hash names."""
+    e = F.col("e")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(e, 8).bitwiseAND(F.lit(63)).cast("int"))
+    words = [F.bit_xor(F.when(e.bitwiseAND(F.lit(LONGS - 1)) == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(LONGS)]
+    return texts.select("id", F.explode(_elements("norm")).alias("e")).groupBy("id").agg(F.count("*").cast("int").alias("n"), F.array(*words).alias("s"))
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later near-copies of lines dropped from their texts, and n_lines and n_dropped."""
     store = Store(spark, "line-dedup")
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("doc", "place", _words(F.col("line")).alias("words")).where("size(words) > 0")
-    # one projection each, so that the hashes are made and sorted once
-    hashed = lines.select("doc", "place", *_keys(F.col("words")), F.array_join("words", " ").alias("norm"))
-    hashed = hashed.select("doc", "place", "h1", "h2", _elements("norm").alias("e"))
-    n = F.size("e")
-    signed = hashed.select("*", F.when(n > FEW, F.sort_array(F.concat("e", _cuts()))).alias("order")).withColumn("ring", F.concat("order", "order"))
-    bands = [F.when(F.col("ring").isNotNull(), _band("ring", k)).alias(f"b{k}") for k in range(BANDS)]
-    signed = store.put(signed.select("doc", "place", "h1", "h2", F.when(n * percent <= FEW * 100, F.col("e")).alias("few"), *bands), "lines")
-
-    # equal lines form a class, named after the first of them
-    distinct = signed.groupBy("h1", "h2").agg(F.min(_position("doc", "place")).alias("id"), F.count("*").alias("n"), *(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
-    distinct = store.put(distinct, "classes")
-    banded = distinct.select("id", F.explode(F.array_distinct(F.array(*(f"b{i}" for i in range(BANDS))))).alias("bucket")).where("bucket is not null")
-    short = signed.where("few is not null").join(distinct.select("h1", "h2", "id"), ["h1", "h2"]).where(_position("doc", "place") == F.col("id"))
-    banded = store.put(banded.unionByName(_prefix_buckets(store, short, percent)), "banded")
-    full = banded.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    buckets = store.put(banded.join(full, "bucket", "left_semi"), "buckets")
-
-    wanted = buckets.select("id").distinct().select("id", F.floor(F.col("id") / _PLACES).cast("long").alias("doc"))
-    wanted = store.put(wanted.select("id", "doc", (F.col("id") - F.col("doc").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)")).cast("int").alias("place")), "wanted")
-    places = wanted.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    some = texts.join(broadcast_if_small(places, wanted.count(), BROADCAST_IDS), "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
-    some = some.select(_position("doc", "place").alias("id"), _norm(F.get("lines", F.col("place"))).alias("norm"))
-    shingled = store.put(some.select("id", _elements("norm").alias("elements")), "shingles")
+    lines = _lines(docs, id_col, text_col)
+    classes = store.put(_classes(lines), "classes")
+
+    short = lines.where(F.length("norm") < SHINGLE + FEW * 100 // percent).groupBy("id").agg(F.min("norm").alias("norm"))
+    prefixes = _prefix_buckets(store, short.select("id", _elements("norm").alias("few")), percent)
+    banded = classes.where("same").select("id", F.explode(F.array_distinct("bands")).alias("bucket")).unionByName(prefixes.join(classes.where("not same").select("id"), "id", "left_anti"))
+    full = store.put(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "full")
+    buckets = store.put(banded.join(broadcast_if_small(full.select("bucket"), full.count(), BROADCAST_ROWS), "bucket"), "buckets")
+
+    wanted = store.put(buckets.select("id").distinct().join(classes.select("id", "position"), "id"), "wanted")
+    found = lines.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "id").where(_position("doc", "place") == F.col("position"))
+    texts = store.put(found.select("id", "norm").dropDuplicates(["id"]), "texts")
+    crowded = buckets.join(full.where(F.col("members") > SKETCHED).select("bucket"), "bucket", "left_semi").select("id").distinct()
+    sketches = store.put(_sketches(texts.join(crowded, "id", "left_semi")), "sketches")
+    sizes = store.put(texts.select("id").join(sketches, "id", "left"), "sizes")
+    store.drop(full)
+    store.drop(wanted)
+    store.drop(sketches)
 
     def similarity(pairs: DataFrame) -> DataFrame:
-        one = shingled.select(F.col("id").alias("a"), F.col("elements").alias("sa"))
-        two = shingled.select(F.col("id").alias("b"), F.col("elements").alias("sb"))
+        one, two = texts.select(F.col("id").alias("a"), F.col("norm").alias("ta")), texts.select(F.col("id").alias("b"), F.col("norm").alias("tb"))
+        met = pairs.join(one, "a").join(two, "b").select("a", "b", _elements("ta").alias("sa"), _elements("tb").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        met = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("n"))
-        return met.groupBy("a", "b").agg(F.max(F.col("both") / (F.col("n") - F.col("both"))).alias("j"))
+        met = met.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("n"))
+        return met.select("a", "b", (F.col("both") / (F.col("n") - F.col("both"))).alias("j"))
 
-    sizes = store.put(_odd_sketches(shingled), "sizes")
     labels = link_buckets(store, buckets, sizes, similarity, percent, LONGS)
-    keep = distinct.select("h1", "h2", "id", "n").join(labels, "id", "left").select("h1", "h2", "n", F.col("id").alias("own"), F.coalesce("component", "id").alias("keep")).where("n > 1 or own <> keep")
-    drops = signed.select("doc", "place", "h1", "h2").join(keep.select("h1", "h2", "keep"), ["h1", "h2"]).where(_position("doc", "place") != F.col("keep"))
-    per_doc = drops.groupBy("doc").agg(F.collect_set(F.struct("place", "h1")).alias("drop"))
-    joined = docs.select(F.struct("*").alias("row")).join(per_doc, F.col("row").getField(id_col).cast("long") == F.col("doc"), "left")
+    linked = store.put(labels.join(classes.select("id", "position"), "id"), "linked")
+    first = linked.groupBy("component").agg(F.min("position").alias("keep"))
+    kept = classes.where("same and n > 1").select("id", "position").join(linked.select("id"), "id", "left_anti").unionByName(linked.join(first, "component").select("id", F.col("keep").alias("position")))
+    kept = store.put(kept, "kept")
+    drops = lines.select("doc", "t", "place", "id").join(broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), "id").where(_position("doc", "place") != F.col("position"))
+    per_text = store.put(drops.groupBy("doc", "t").agg(F.collect_set("place").alias("drop")), "drops")
+    for old in (classes, buckets, texts, sizes, linked, kept):
+        store.drop(old)
+
+    joined = docs.select(F.struct("*").alias("row")).join(per_text, (F.col("row").getField(id_col).cast("long") == F.col("doc")) & (F.xxhash64(F.col("row").getField(text_col)) == F.col("t")), "left")
     text = F.col("row").getField(text_col)
-    all_lines = F.split(text, "\n")
-
-    def stays(line, place):
-        return ~F.array_contains("drop", F.struct(place.alias("place"), F.xxhash64(_words(line)).alias("h1")))
-
-    left = F.when(F.col("drop").isNotNull(), F.filter(all_lines, stays))
-    n_lines = F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("long")
-    done = joined.select("row", left.alias("left"), n_lines.alias("n_lines"))
+    some = F.when(F.col("drop").isNotNull(), F.split(text, "\n"))
+    done = joined.select("row", some.alias("some"), F.array_except(F.sequence(F.lit(0), F.size(some) - 1), "drop").alias("stay"), F.coalesce(F.size("drop"), F.lit(0)).alias("gone"))
+    left = F.array_join(F.transform("stay", lambda i: F.get("some", i)), "\n")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return done.select(
-        *(F.coalesce(F.array_join("left", "\n"), text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns),
-        "n_lines", F.coalesce(F.col("n_lines") - F.size("left"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(F.when(F.col("some").isNotNull(), left).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns),
+        n_lines.alias("n_lines"), F.when(F.col("gone") > 0, F.col("gone")).otherwise(0).cast("long").alias("n_dropped"),
     )
