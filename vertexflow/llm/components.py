@@ -15,6 +15,14 @@ from .store import Store
 
 #: Members of a bucket that are compared with all its other members in one round.
 PIVOTS = 256
+#: Tables counted at no more rows than this (100 bytes each at most) go through one task, which saves the
+#: shuffles of many rounds over little data; larger ones are shuffled. Results are the same.
+FEW_ROWS = 400_000
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as one partition, whose joins and groups need no shuffle, if it has few rows."""
+    return df.coalesce(1) if rows <= FEW_ROWS else df
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,22 +39,27 @@ def connected(store: Store, links: DataFrame, a: str = "a", b: str = "b") -> Dat
     """
     edges = store.put(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     state = _state(edges)
+    few = state[0]  # no round makes more edges than there were
     while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges_at, edges = edges, _few(edges, few)
+        both = _few(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), few)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = store.put(large, "large")
+        large_at = store.put(large, "large")
+        large = _few(large_at, few)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = store.put(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        store.drop(large)
-        store.drop(edges)
-        edges, before, state = after, state, _state(after)
+        after = store.put(_few(moved.unionByName(least.select("u", F.col("m").alias("v"))), few).distinct(), "edges")
+        store.drop(large_at)
+        store.drop(edges_at)
+        edges, before, state = after, state, _state(_few(after, few))
         if state == before:
             break
-        store.release()
+        if state[0] > FEW_ROWS:
+            store.release()
+    edges = _few(edges, few)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    return _few(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), few)
 
 
 def _apart(x: Column, y: Column, longs: int) -> Column:
@@ -76,6 +89,16 @@ def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity:
     distances to the first pivot differ by more than 1 - ``percent`` / 100 are too far apart.
     """
     t, first, labels = percent / 100, True, None
+    rows = buckets.count()
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """A table of at most a row for each bucket member, and the written one under it."""
+        at = store.put(df, name)
+        few = _few(at, rows)
+        few._stored_at = at._stored_at
+        return few
+
+    buckets, sizes = _few(buckets, rows), _few(sizes, rows)
     full = buckets.groupBy("bucket").agg(F.count("*").alias("members"))
     central = buckets.join(full, "bucket").groupBy("id").agg(F.sum("members").alias("w"))
     rest = buckets.join(central, "id").select("bucket", "id", "w", F.lit(None).cast("double").alias("d"))
@@ -86,41 +109,44 @@ def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity:
 
     while True:
         labelled = rest.withColumn("label", F.col("id")) if labels is None else rest.join(labels, "id", "left").select("bucket", "id", "w", "d", F.coalesce("component", "id").alias("label"))
-        labelled = store.put(labelled, "labelled")
+        labelled = kept(labelled, "labelled")
         spans = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         active = labelled.join(spans, "bucket", "left_semi")
         best = F.min(F.struct((-F.col("w")).alias("far"), "id")).alias("p")
         if first:
-            leaders = store.put(active.groupBy("bucket").agg(best).select("bucket", F.col("p.id").alias("pivot")), "leaders")
+            leaders = kept(active.groupBy("bucket").agg(best).select("bucket", F.col("p.id").alias("pivot")), "leaders")
             met = active.join(leaders, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
             one, two = sizes.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("s").alias("as")), sizes.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"))
             pairs = store.put(met.join(one, "a").join(two, "b").where(possible(F.col("an"), F.col("as"), F.col("bn"), F.col("bs"))).select("a", "b"), "pairs")
         else:
-            active = store.put(active.join(sizes, "id"), "active")
+            active = kept(active.join(sizes, "id"), "active")
             leaders = active.groupBy("bucket", F.col("label").alias("of")).agg(F.min(F.struct((-F.col("w")).alias("far"), "id", "n", "s", "d")).alias("p"))
             order = Window.partitionBy("bucket").orderBy("p.far", "of")
             leaders = leaders.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots)
-            leaders = store.put(leaders.select(F.col("bucket").alias("of_bucket"), "of", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.d").alias("pd")), "leaders")
+            leaders = kept(leaders.select(F.col("bucket").alias("of_bucket"), "of", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.d").alias("pd")), "leaders")
             if leaders.isEmpty():
                 return labels if labels is not None else buckets.select("id", F.col("id").alias("component")).limit(0)
             near = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - t + 1e-9, F.lit(True))
             can = (F.col("label") != F.col("of")) & (near | F.col("s").isNull() | F.col("ps").isNull()) & possible(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
-            met = active.join(leaders, (F.col("bucket") == F.col("of_bucket")) & can)
+            # every member with up to `pivots` leaders: shuffled, however few the rows
+            many, some = (store.read(d) for d in (active, leaders))
+            met = many.join(some, (F.col("bucket") == F.col("of_bucket")) & can)
             pairs = store.put(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
-        scored = store.put(similarity(pairs), "scored")
+        scored = (kept if first else store.put)(similarity(pairs), "scored")  # first: a pair a member at most
         found = scored.where(F.col("j") >= t - 1e-12).select("a", "b")
         if not found.isEmpty():
             if labels is not None:
                 found = found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-            labels = store.put(connected(store, found), "labels")
+            labels = kept(connected(store, found), "labels")
         if first:
             own = active.drop("d").join(leaders, "bucket").where("id <> pivot")
             apart = scored.select("a", "b", (1 - F.col("j")).alias("d"))
             rest = own.join(apart, (F.least("id", "pivot") == F.col("a")) & (F.greatest("id", "pivot") == F.col("b")), "left").select("bucket", "id", "w", "d")
         else:
             rest = active.join(leaders.select("of_bucket", "pivot"), (F.col("bucket") == F.col("of_bucket")) & (F.col("id") == F.col("pivot")), "left_anti").select("bucket", "id", "w", "d")
-        rest = store.put(rest, "rest")
+        rest = kept(rest, "rest")
         for old in (labelled, leaders, pairs, scored, *([] if first else [active])):
             store.drop(old)
-        store.release()
+        if rows > FEW_ROWS:
+            store.release()
         first = False

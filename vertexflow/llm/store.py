@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for a local session where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="vertexflow-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,6 +47,12 @@ class Store:
         out._stored_at = path
         return out
 
+    def read(self, df: DataFrame) -> DataFrame:
+        """A written table anew, in the partitions of its files."""
+        out = self.spark.read.schema(df.schema).parquet(df._stored_at)
+        out._stored_at = df._stored_at
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
         fs, at = self._hadoop(df._stored_at)
