@@ -1,10 +1,13 @@
 """Licence scans by a positional rare-token index, with DataFrame functions alone.
 
 Every template keeps its ``RARE`` words of highest IDF, which is counted over all scanned
-files, with their positions. A file looks up the rare words, at all their places, of every
-template whose key phrase stands in it; postings with the same relative position (place in
-the file less place in the template) support one alignment. A label follows where ``AGREE``
-of a template's distinct rare words support it. Base phrases are counted besides.
+files, with their positions. A label needs ``AGREE`` of a template's distinct rare words on
+one alignment, so the rarest of them (its anchors) can't all be missing: a file that holds
+an anchor looks up all places of all rare words of that template. Postings with the same
+relative position (place in the file less place in the template) support one alignment, and
+the templates that reach ``AGREE`` are labels where their mandatory key phrase stands in the
+file as well. Files without anchors are never scanned for templates. Base phrases are counted
+besides.
 
 Defined results: a null text is the empty text (no words, empty labels, score 0); a null
 doc_id is kept; repeated rows give repeated results; letters beyond A-Z keep their case.
@@ -77,19 +80,25 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     seen = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row for each template word at most
     total = docs.count()
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
-    postings = []
+    postings, rare_words, anchors = [], [], []
     for t, (_, _, notice) in enumerate(TEMPLATES):
         parts = notice.split()
         rare = sorted(set(parts), key=lambda w: (-idf[w], w))[:RARE]
         postings += [(t, w, i, idf[w], len(rare)) for i, w in enumerate(parts) if w in rare]
+        rare_words.append(rare)
+        anchors.append(rare[: len(rare) - math.ceil(AGREE * len(rare)) + 1])
     index = spark.createDataFrame(postings, "template int, word string, at int, idf double, rare int")
-    rare_words = [sorted({p[1] for p in postings if p[0] == t}) for t in range(len(TEMPLATES))]
 
-    # files with some key phrase: the rare words of these templates, with all places
-    own = F.array_distinct(F.flatten(F.array(*(F.when(F.get("phrases", F.lit(t)), _strings(w)).otherwise(F.array().cast("array<string>")) for t, w in enumerate(rare_words)))))
+    # look up: the templates with an anchor in the file, then all places of their rare words
+    none = F.array().cast("array<string>")
+    marked = words.withColumn("held", F.array_intersect("words", _strings(sorted({w for a in anchors for w in a}))))
+    looked_up = [F.arrays_overlap("held", _strings(a)) for a in anchors]
+    own = F.array_distinct(F.flatten(F.array(*(F.when(F.get("looked_up", F.lit(t)), _strings(w)).otherwise(none) for t, w in enumerate(rare_words)))))
     base = [(_places("words", p), label) for p, label in BASE.items()]
-    phrases = F.array(*(F.size(_places("words", phrase)) > 0 for _, phrase, _ in TEMPLATES))
-    marked = words.withColumn("base", F.flatten(F.array(*(_labelled(places, label) for places, label in base)))).withColumn("phrases", phrases).withColumn("own", own)
+    marked = marked.withColumn("base", F.flatten(F.array(*(_labelled(places, label) for places, label in base))))
+    marked = marked.withColumn("looked_up", F.when(F.size("held") > 0, F.array(*looked_up)))
+    phrases = F.array(*(F.when(F.get("looked_up", F.lit(t)), F.size(_places("words", phrase)) > 0) for t, (_, phrase, _) in enumerate(TEMPLATES)))
+    marked = marked.withColumn("own", F.when(F.col("looked_up").isNotNull(), own)).withColumn("phrases", F.when(F.col("looked_up").isNotNull(), phrases))
     keys = [F.xxhash64("words").alias("text_key")]  # rows that repeat a doc_id stay apart
     slim = marked.select(
         "id", F.size("words").cast("long").alias("n_words"), F.transform("base", lambda b: b["at"]).alias("starts"), F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))).alias("base_list"),
@@ -97,12 +106,14 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         "phrases", *keys,
     )
     slim = store.put(slim, "files")
-    # only files with some mandatory phrase can get a label: the others need no intersection
-    candidates = slim.where(F.array_contains("phrases", True)).select("id", "text_key", "phrases", "places").dropDuplicates(["id", "text_key"])
-    hits = candidates.select("id", "text_key", "phrases", F.explode("places").alias("p")).select("id", "text_key", "phrases", F.col("p.place").alias("place"), F.col("p.word").alias("word"))
-    hits = hits.join(F.broadcast(index), "word").where(F.get("phrases", F.col("template")))  # the index: RARE words of each template
+    candidates = slim.where("places is not null").select("id", "text_key", "phrases", "places").dropDuplicates(["id", "text_key"])
+    hits = candidates.select("id", "text_key", F.explode("places").alias("p")).select("id", "text_key", F.col("p.place").alias("place"), F.col("p.word").alias("word"))
+    hits = hits.join(F.broadcast(index), "word")  # the index: RARE words of each template
     aligned = hits.groupBy("id", "text_key", "template", (F.col("place") - F.col("at")).alias("shift")).agg(F.count_distinct("word").alias("n"), F.max("rare").alias("rare"))
-    scored = aligned.groupBy("id", "text_key", "template").agg(F.max(F.col("n") / F.col("rare")).alias("share")).where(F.col("share") >= AGREE)
+    agreed = aligned.groupBy("id", "text_key", "template").agg(F.max(F.col("n") / F.col("rare")).alias("share")).where(F.col("share") >= AGREE)
+    # verify: the key phrases of the templates that agree
+    of = candidates.select(F.col("id").alias("of"), F.col("text_key").alias("of_key"), "phrases")
+    scored = agreed.join(of, F.col("id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))).where(F.get("phrases", F.col("template")))
     names = _strings(t[0] for t in TEMPLATES)
     found = scored.groupBy("id", "text_key").agg(F.collect_set(F.get(names, F.col("template"))).alias("found"), F.max("share").alias("share")).select(F.col("id").alias("hit"), F.col("text_key").alias("hit_key"), "found", "share")
     out = slim.join(found, F.col("id").eqNullSafe(F.col("hit")) & (F.col("text_key") == F.col("hit_key")), "left")
