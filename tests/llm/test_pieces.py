@@ -8,7 +8,7 @@ from vertexflow.llm import pieces
 
 TEXTS = [
     "", " ", " a", "a ", "\n", "the quick brown fox jumps over the lazy dog", "The Quick. BROWN, fox!\nnew line; last",
-    "x\tb two  blanks", "ab \n c", "ΣΑΣ İstanbul ĳ ﬁn Ǆ ß", "日本 語 ไทย ก็", "don't Don'T é x́y", "<|endoftext|> a<|endoftext|>b", "nul\x00 in here", "a　b c\xa0d",
+    "x\tb two  blanks", "ab \n c", "ΣΑΣ İstanbul ĳ ﬁn Ǆ ß", "日本 語 ไทย ก็", "don't Don'T é x́y", "BELEDİYESİ. KİŞİ! x", "क़. ड़, य़! a",  "<|endoftext|> a<|endoftext|>b", "nul\x00 in here", "a　b c\xa0d",
 ]
 
 

@@ -43,6 +43,7 @@ class PieceEncoder:
         self.drops_space, self.kind = drops_space, kind
         self.known: dict[str, bytes] = {}
         self.missed = 0
+        self._letters: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         #: Tokens that end a word, or else those that start with its space.
         self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -86,15 +87,21 @@ class PieceEncoder:
 
     def _parts(self, piece: str) -> tuple[str, ...]:
         word = piece.rstrip(".,;:!?")
-        if self.drops_space and word.isascii():
-            tail, word = piece[len(word) :], word.lower()
-        else:
-            tail = piece[len(word) :]
-        if not word or not word[-1].isalpha():
+        tail = piece[len(word) :]
+        if not word or not word[-1].isalpha() or not (word[-1].isascii() or self._stays_letter(word[-1])):
             return (piece,)
+        if self.drops_space and word.isascii():
+            word = word.lower()
         head = ("\n",) if word[0] == "\n" and word[1:2].isalpha() else ()
         return (*head, word[len(head) :], *([tail] if tail else []))
 
+    def _stays_letter(self, c: str) -> bool:
+        """Whether the normal form of a letter ends in a letter; after a mark, what follows belongs to the same token."""
+        if c not in self._letters:
+            normal = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            self._letters[c] = normal[-1:].isalpha()
+        return self._letters[c]
+
     def _encode_all(self, texts: list[str]) -> list[bytes]:
         """Words of letters go to the library many at once and are told apart by their edges; all else goes alone."""
         skip = 0 if self.drops_space else 1
