@@ -10,7 +10,8 @@ banded, and bucket links are confirmed on full sets.
 
 Defined results: null text, empty text and white space alone have the empty set, link
 with nothing and are kept; a null doc_id is linked with nothing (component null, kept);
-rows that repeat a doc_id share one component; other columns are ignored.
+rows that repeat a doc_id share one component, but each has its own text's n_shingles;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,8 +163,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percen
     labels = link_buckets(store, buckets, sizes, similarity, percent, LONGS).withColumnRenamed("id", "rep")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     grouped = signed.select("id", "n_shingles", "k1", "k2").join(classes.join(labels, "rep", "left"), ["k1", "k2"], "left")
-    owned = grouped.select(F.col("id"), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    owned = store.put(grouped.select("id", "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id")), "owned")
     # one component a doc_id: rows that repeat an id with other texts take the smallest
-    own = owned.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    out = own.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_"))
-    return out.drop("_")
+    torn = owned.groupBy("id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least <> most").select(F.col("id").alias("of"), "least")
+    torn = store.put(torn, "torn")
+    out = owned.join(broadcast_if_small(torn, torn.count(), BROADCAST_IDS), F.col("id") == F.col("of"), "left").select("id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
