@@ -159,6 +159,12 @@ def test_near_duplicates_of_a_repeated_id_with_other_texts(spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(spark, docs, 3, 85).collect()} == {(1, 1), (2, 1)}
 
 
+def test_each_row_of_a_repeated_id_has_its_own_size(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (1, "x y z"), (None, "p q r"), (None, "p q r s t u v w"), (2, "A b c  d e"), (3, "")], "doc_id long, text string")
+    got = rows(near_dup.near_duplicates(spark, docs, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == Counter([(1, 3, 1, True), (1, 1, 1, True), (None, 1, None, True), (None, 6, None, True), (2, 3, 1, False), (3, 0, 3, True)])
+
+
 def test_super_minhash_estimates_and_stops_exactly():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 100).astype(np.uint64)
@@ -256,6 +262,40 @@ def test_license_templates_of_one_file(spark, several):
         assert {label for label, _, _ in g} <= got[i][0] and got[i][1] == 1.0, (g, got[i])
 
 
+def brute_labels(docs):
+    """Labels of the templates by trying every alignment of every template."""
+    def split(x):
+        return re.findall(licenses.SEPARATORS.replace("[", "[^").removesuffix("+") + "+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
+
+    files = [(k, split(x)) for k, x in docs]
+    seen = Counter(w for _, f in files for w in set(f))
+    out = {}
+    for k, f in files:
+        labels = set()
+        for label, phrase, notice in licenses.TEMPLATES:
+            t, p = notice.split(), phrase.split()
+            rare = sorted(set(t), key=lambda w: (-np.log((len(docs) + 1) / (seen[w] + 1)), w))[: licenses.RARE]
+            best = max((len({w for i, w in enumerate(t) if w in rare and 0 <= i + shift < len(f) and f[i + shift] == w}) for shift in range(-len(t), len(f))), default=0)
+            if best >= licenses.AGREE * len(rare) and any(f[i : i + len(p)] == p for i in range(len(f))):
+                labels.add(label)
+        out[k] = labels
+    return out
+
+
+def test_license_labels_against_every_alignment(spark, small):
+    rng = np.random.default_rng(3)
+    docs = [(k, x) for k, x in texts(documents(spark, small)) if len(x) < 3000][:60]
+    for i in range(80):  # notices with dropped and swapped words, phrases alone, notices without them
+        label, phrase, notice = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        words = [w if rng.random() > 0.05 * (i % 9) else "other" for w in notice.split()]
+        docs.append((10_000 + i, " ".join(["the code"] * (i % 3) + words + (phrase.split() if i % 2 else []))))
+    got = {r["doc_id"]: (set(r["labels"].split(",")) - {""}) - (set(r["base_labels"].split(",")) - {""}) for r in licenses.scan_licenses(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_labels(docs)
+    base = {r["doc_id"]: set(r["base_labels"].split(",")) for r in licenses.scan_licenses(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: v - base[k] for k, v in want.items()}
+    assert sum(map(bool, want.values())) > 30
+
+
 def brute_lines(docs):
     def norm(x):
         return re.sub(r"\s+", " ", x.lower()).strip(" ")
@@ -343,6 +383,37 @@ def test_top_k(spark, small):
         assert rows(out, "query_id", "rank", "vec_id", "score") == want
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rng = np.random.default_rng(4)
+    data = [(i % 60, rng.normal(size=8).round(2)) for i in range(150)]
+    data += [(50, data[0][1]), (0, data[0][1])]  # a repeated row is one query
+    floors = [(i, np.floor(256 * v)) for i, v in data]
+    want = Counter()
+    for q in (0, 50):
+        mine = {tuple(v) for i, v in floors if i == q}
+        best = sorted((-int(np.array(x) @ y), i) for x in mine for i, y in floors if i != q)[:5]
+        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in data], "vec_id long, embedding array<double>")
+    for block in (4096, 2):
+        assert rows(topk.top_k(spark, vectors, F.col("vec_id") % 50 == 0, 5, query_block=block), "query_id", "rank", "vec_id", "score") == want
+
+
+def test_top_k_resolves_few_scores():
+    rng = np.random.default_rng(6)
+    q, x = np.floor(256 * rng.normal(size=(40, 64))), np.floor(256 * rng.normal(size=(2000, 64)))
+    own = np.zeros((40, 2000), bool)
+    own[:, 0] = True
+    qi, ri = topk.gathered(q, x, own, 5, topk.LISTS)
+    low = topk.resolved(q, x, qi, ri)
+    cut = np.array([np.sort(low[qi == i])[-5] for i in range(40)], float)
+    qj, rj = topk.collected(q, x, own, cut, topk.LISTS)
+    score = topk.resolved(q, x, qj, rj)
+    whole = q @ x.T
+    for i in range(40):
+        assert sorted(score[(qj == i) & (score >= cut[i])])[-5:] == sorted(whole[i, 1:])[-5:]
+    assert len(qi) <= 40 * 5 * topk.LISTS and len(qj) < 0.3 * whole.size
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = language.ByteGru(["a", "b", "c"], 4, 1)

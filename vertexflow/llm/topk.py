@@ -1,10 +1,11 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A score is a sum over ``LISTS`` blocks of dimensions, each with its own local score.
-Phase 1 gathers, from every batch of rows, each block's best local entries of each
-query with their whole scores; the k-th best of these is a safe cutoff t. Phase 2
-broadcasts t / LISTS: a row that scores t or more must reach that share in one block
-at least, and only such rows are collected. Phase 3 resolves their scores exactly.
+A score is a sum over ``LISTS`` blocks of dimensions, and every block is a list of local
+scores. Phase 1 gathers each list's best local entries of every batch of rows and resolves
+these alone: the k-th best of their scores is a safe cutoff t. Phase 2 broadcasts t; an
+entry that scores t or more must reach t / LISTS in one list at least, and only entries that
+do are collected. Phase 3 resolves the scores of the collected entries exactly. Whole scores
+are only made for gathered and collected entries, a small share of all pairs.
 
 Queries come in bounded blocks that are broadcast one after another, against all rows;
 ids and scores that go to the driver are k per query of a block.
@@ -12,7 +13,9 @@ ids and scores that go to the driver are k per query of a block.
 Defined results: vectors that are null, empty or hold null or non-finite components take
 no part; a shorter vector counts as if zeros followed; rows with a null id take no part;
 rows that repeat an id are candidates once each, and a query's own id is never its
-candidate; a query without candidates has no row. Scores must fit 63 bits.
+candidate; a query id with several vectors is ranked over the scores of all of them (rows
+that repeat the vector too are one query); a query without candidates has no row. Scores
+must fit 63 bits.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LISTS, QUERY_BLOCK, ROW_BLOCK = 4, 4096, 2048
+LISTS, QUERY_BLOCK, ROW_BLOCK = 2, 16384, 2048
+#: Queries whose local scores are held at once.
+_HELD = 512
 
 
 def _matrix(vectors: list, width: int | None = None) -> np.ndarray:
@@ -33,13 +38,43 @@ def _matrix(vectors: list, width: int | None = None) -> np.ndarray:
     return out
 
 
-def _local_scores(q: np.ndarray, x: np.ndarray, lists: int) -> np.ndarray:
-    """(lists, queries, rows) integer inner products of each block of dimensions."""
-    exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53
-    cuts = np.array_split(np.arange(q.shape[1]), min(lists, q.shape[1]))
-    if exact:
-        return np.stack([q[:, c] @ x[:, c].T for c in cuts])
-    return np.stack([q[:, c].astype(np.int64) @ x[:, c].astype(np.int64).T for c in cuts])
+def _whole_numbers(q: np.ndarray, x: np.ndarray) -> type:
+    """Doubles where every sum is exact in them, else 64-bit integers."""
+    return np.float64 if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53 else np.int64
+
+
+def local_scores(q: np.ndarray, x: np.ndarray, lists: int):
+    """(queries, rows) inner products of each block of dimensions, one list after another."""
+    for c in np.array_split(np.arange(q.shape[1]), min(lists, q.shape[1])):
+        yield q[:, c] @ x[:, c].T
+
+
+def gathered(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 1: (query, row) of the ``k`` best local entries of every list, but for a query's own rows."""
+    hit = np.zeros(own.shape, bool)
+    few = min(k, own.shape[1])
+    for local in local_scores(q, x, lists):
+        local[own] = np.iinfo(np.int64).min if local.dtype == np.int64 else -np.inf
+        best = np.argpartition(local, own.shape[1] - few, 1)[:, own.shape[1] - few :]
+        np.put_along_axis(hit, best, True, 1)
+    return np.nonzero(hit & ~own)
+
+
+def collected(q: np.ndarray, x: np.ndarray, own: np.ndarray, cut: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 2: (query, row) of the entries that reach their share of the cutoff in one list or more."""
+    hit, share = np.zeros(own.shape, bool), (cut / min(lists, q.shape[1]))[:, None]
+    for local in local_scores(q, x, lists):
+        hit |= local >= share
+    return np.nonzero(hit & ~own)
+
+
+def resolved(q: np.ndarray, x: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Phase 3: whole scores of entries."""
+    out = np.empty(len(qi), np.int64)
+    for at in range(0, len(qi), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        out[part] = np.einsum("ij,ij->i", q[qi[part]], x[ri[part]])
+    return out
 
 
 def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -49,7 +84,7 @@ def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _scan(rows: DataFrame, sent, k: int, lists: int) -> DataFrame:
-    """(query, id, score) of phase 1 where the sent cutoffs are None, else of phases 2 and 3."""
+    """(query_id, vec_id, score): the best gathered entries where the sent cutoffs are None, else all collected ones of at least the cutoff."""
 
     def run(batches):
         ids, q, cut = sent.value
@@ -62,28 +97,22 @@ def _scan(rows: DataFrame, sent, k: int, lists: int) -> DataFrame:
                 x = flat.reshape(len(widths), -1) if (widths == widths[0]).all() else _matrix(vecs.to_pylist())
                 wide = max(q.shape[1], x.shape[1])
                 x, qs = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, q))
+                kind = _whole_numbers(qs, x)
+                x, qs = x.astype(kind, copy=False), qs.astype(kind, copy=False)
                 row_ids = np.asarray(part.column(0))
-                for lo in range(0, len(qs), 512):
-                    local = _local_scores(qs[lo : lo + 512], x, lists)
-                    total = local.sum(0)
-                    own = ids[lo : lo + 512, None] == row_ids[None]
+                for lo in range(0, len(qs), _HELD):
+                    some = qs[lo : lo + _HELD]
+                    own = ids[lo : lo + _HELD, None] == row_ids[None]
                     if cut is None:
-                        low = np.iinfo(np.int64).min if local.dtype == np.int64 else -np.inf
-                        local = np.where(own, low, local)
-                        few = min(k, len(row_ids))
-                        best = np.argpartition(-local, few - 1, 2)[:, :, :few] if few < len(row_ids) else np.broadcast_to(np.arange(few), (*local.shape[:2], few))
-                        hit = np.zeros(total.shape, bool)
-                        np.put_along_axis(hit, best.transpose(1, 0, 2).reshape(len(total), -1), True, 1)
+                        qi, ri = gathered(some, x, own, k, lists)
+                        score = resolved(some, x, qi, ri)
+                        order = np.lexsort((row_ids[ri], -score, qi))  # of a batch's entries the k best suffice for the cutoff
+                        order = order[np.arange(len(qi)) - np.searchsorted(qi[order], qi[order]) < k]
                     else:
-                        c = cut[lo : lo + 512, None]
-                        hit = (local >= c / len(local)).any(0) & (total >= c)
-                    qi, ri = np.nonzero(hit & ~own)
-                    if cut is None and len(qi):  # of a batch's gathered entries the k best suffice for the cutoff
-                        order = np.lexsort((row_ids[ri], -total[qi, ri], qi))
-                        qi, ri = qi[order], ri[order]
-                        keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-                        qi, ri = qi[keep], ri[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + qi]), pa.array(row_ids[ri]), pa.array(total[qi, ri].astype(np.int64))], ["query_id", "vec_id", "score"])
+                        qi, ri = collected(some, x, own, cut[lo : lo + _HELD], lists)
+                        score = resolved(some, x, qi, ri)
+                        order = np.flatnonzero(score >= cut[lo + qi])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + qi[order]]), pa.array(row_ids[ri[order]]), pa.array(score[order])], ["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -96,21 +125,21 @@ def _best(entries: DataFrame, k: int) -> DataFrame:
 def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = LISTS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to smaller ids."""
     rows = _usable(vectors, id_col, vec_col)
-    queries = _usable(vectors.where(is_query), id_col, vec_col)
-    ids_only = vectors.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
-    blocks = max(1, -(-ids_only.distinct().count() // query_block))
+    queries = _usable(vectors.where(is_query), id_col, vec_col).distinct()
+    blocks = max(1, -(-queries.count() // query_block))
     out = None
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        got = part.dropDuplicates(["id"]).collect()  # one block of queries
+        part = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b) if blocks > 1 else queries
+        got = part.collect()  # one block of queries
         if not got:
             continue
         ids, q = np.array([r["id"] for r in got], np.int64), _matrix([r["v"] for r in got])
         first = _best(_scan(rows, spark.sparkContext.broadcast((ids, q, None)), k, lists), k)
         lows = {r["query_id"]: r["low"] for r in first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
-        cut = np.array([lows.get(i, -np.inf) for i in ids.tolist()])
-        found = _best(_scan(rows, spark.sparkContext.broadcast((ids, q, cut)), k, lists), k)
+        cut = np.array([lows.get(i, -np.inf) for i in ids.tolist()], float)
+        cut -= np.abs(cut) * 1e-12  # below any rounding: the last ranking is exact
+        found = _scan(rows, spark.sparkContext.broadcast((ids, q, cut)), k, lists)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _best(out, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
