@@ -14,7 +14,8 @@ def stable_hash(text: Column) -> Column:
 
 
 def softplus(x: Column) -> Column:
-    return F.log1p(F.exp(x))
+    """log(1 + e^x), without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
 def cosine_rate(step: Column, total: int, peak: float, floor: float = 0.01) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import finite  # noqa: F401  (part of this module's vocabulary for callers)
-
 
 def by_template(a: DataFrame, b: DataFrame) -> DataFrame:
     """Vertices of two poses that the template gives one reference id."""
@@ -41,10 +39,10 @@ def in_range(corr: DataFrame, na: int, nb: int) -> DataFrame:
     return corr.where(F.col("va").between(0, na - 1) & F.col("vb").between(0, nb - 1))
 
 
-def transfer(corr: DataFrame, field: DataFrame, default: float) -> DataFrame:
-    """A's values at B's vertices; the last writer (largest va) wins, ``default`` where there is none."""
-    won = corr.join(field.select(F.col("v").alias("va"), "val"), "va").groupBy("vb").agg(F.max_by("val", "va").alias("val"))
-    return corr.select("vb").distinct().join(won, "vb", "left").select(F.col("vb").alias("v"), F.coalesce("val", F.lit(default)).alias("val"))
+def transfer(corr: DataFrame, field: DataFrame, targets: DataFrame, default: float) -> DataFrame:
+    """A's values at the vertices of B in ``targets(v)``; the last row of ``corr`` (largest ref) wins, ``default`` where there is none."""
+    won = corr.join(field.select(F.col("v").alias("va"), "val"), "va").groupBy(F.col("vb").alias("v")).agg(F.max_by("val", F.struct("ref", "va")).alias("val"))
+    return targets.select("v").join(won, "v", "left").select("v", F.coalesce("val", F.lit(default)).alias("val"))
 
 
 def functional_map(corr: DataFrame, phi_a: DataFrame, phi_b: DataFrame, mass_b: DataFrame) -> DataFrame:
@@ -54,16 +52,23 @@ def functional_map(corr: DataFrame, phi_a: DataFrame, phi_b: DataFrame, mass_b:
     return carried.join(weighted, "vb").groupBy("r", "c").agg(F.sum(F.col("wb") * F.col("phi")).alias("val"))
 
 
+def _from_identity(p: str, q: str, value: str):
+    off = F.col(value) - F.when(F.col(p) == F.col(q), 1.0).otherwise(0.0)
+    return F.sqrt(F.sum(off * off))
+
+
 def map_errors(fmap: DataFrame) -> DataFrame:
-    """ortho_error |C'C - I|, diag_ratio (energy on the diagonal) of one map."""
-    left = fmap.select("r", F.col("c").alias("p"), F.col("val").alias("x"))
-    right = fmap.select("r", F.col("c").alias("q"), F.col("val").alias("y"))
-    gram = left.join(right, "r").groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-    off = F.col("g") - F.when(F.col("p") == F.col("q"), 1.0).otherwise(0.0)
-    ortho = gram.agg(F.sqrt(F.sum(off * off)).alias("ortho_error"))
+    """column_error |C'C - I|, row_error |CC' - I|, identity_error |C - I| and diag_ratio (share of the energy on the diagonal) of one square map."""
+
+    def gram(shared, kept, name):
+        left = fmap.select(shared, F.col(kept).alias("p"), F.col("val").alias("x"))
+        right = fmap.select(shared, F.col(kept).alias("q"), F.col("val").alias("y"))
+        return left.join(right, shared).groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("g")).agg(_from_identity("p", "q", "g").alias(name))
+
     square = F.col("val") * F.col("val")
-    ratio = fmap.agg((F.sum(F.when(F.col("r") == F.col("c"), square).otherwise(0.0)) / (F.sum(square) + 1e-10)).alias("diag_ratio"))
-    return ortho.crossJoin(ratio)  # one row each
+    ratio = F.sum(F.when(F.col("r") == F.col("c"), square).otherwise(0.0)) / (F.sum(square) + 1e-10)
+    own = fmap.agg(_from_identity("r", "c", "val").alias("identity_error"), ratio.alias("diag_ratio"))
+    return gram("r", "c", "column_error").crossJoin(gram("c", "r", "row_error")).crossJoin(own)  # one row each
 
 
 def progressive(coefficients: DataFrame, phi: DataFrame) -> DataFrame:

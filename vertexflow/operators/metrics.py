@@ -27,11 +27,12 @@ def unit_range(rows: DataFrame, keys: list[str], value: str = "val") -> DataFram
 
 
 def distance_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """correlation, mean and largest error of ``pairs(keys, v, a, b)`` after scaling both to [0, 1]."""
+    """correlation, mean and largest error of ``pairs(keys, v, a, b)`` after scaling both to [0, 1]; 0, 1, 1 for a group without finite pairs."""
     one = unit_range(pairs, keys, "a").withColumnRenamed("scaled", "sa")
     both = unit_range(one, keys, "b").withColumnRenamed("scaled", "sb").where(finite(F.col("sa")) & finite(F.col("sb")))
     off = F.abs(F.col("sa") - F.col("sb"))
-    return both.groupBy(*keys).agg(pearson("sa", "sb").alias("correlation"), F.avg(off).alias("mean_error"), F.max(off).alias("max_error"))
+    out = both.groupBy(*keys).agg(pearson("sa", "sb").alias("correlation"), F.avg(off).alias("mean_error"), F.max(off).alias("max_error"))
+    return pairs.select(*keys).distinct().join(out, keys, "left").fillna({"correlation": 0.0, "mean_error": 1.0, "max_error": 1.0})
 
 
 def vector_losses(rows: DataFrame, keys: list[str], eps: float = 1e-8) -> DataFrame:
@@ -39,7 +40,7 @@ def vector_losses(rows: DataFrame, keys: list[str], eps: float = 1e-8) -> DataFr
     p, t = ([F.col(f"{s}{a}") for a in "xyz"] for s in "pt")
     lp, lt = norm(*p), norm(*t)
     dot = sum((a * b for a, b in zip(p[1:], t[1:])), p[0] * t[0])
-    cos = dot / F.greatest(lp * lt, F.lit(eps))
+    cos = dot / (F.greatest(lp, F.lit(eps)) * F.greatest(lt, F.lit(eps)))  # each vector by its own floored length
     square = sum(((a - b) * (a - b) for a, b in zip(p[1:], t[1:])), (p[0] - t[0]) * (p[0] - t[0]))
     relative = (lp - lt) / (lt + eps)
     logs = F.log(lp + eps) - F.log(lt + eps)

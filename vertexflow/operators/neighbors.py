@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import checkpointed
+
 #: Rows of a block; a comparison holds BLOCK x BLOCK distances.
 BLOCK = 2048
 
@@ -59,6 +61,45 @@ def knn(points: DataFrame, k: int) -> DataFrame:
     return nearest(points, points, k, True)
 
 
+def grid_knn(vertices: DataFrame, k: int, per_cell: int = 8) -> DataFrame:
+    """``knn`` of 3-D vertices (mesh_id, v, x, y, z) by equi-joins of grid cells.
+
+    A mesh's cells hold about ``per_cell`` points on average. A point's k nearest are known once k of
+    those in its 27 cells are no farther than a cell is wide; for the points that lack them
+    the cells double, until a cell spans the mesh. Every pass joins only the open points with
+    all points, so the work follows the points' local density and no block meets every other.
+    """
+    ends = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
+    span = F.greatest(*(F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"))
+    boxes = vertices.groupBy("mesh_id").agg(*ends, F.count("*").alias("n")).select("mesh_id", *(f"lo{c}" for c in "xyz"), "n", span.alias("span"))
+    boxes = boxes.withColumn("width", F.greatest(F.col("span") / F.greatest(F.lit(1.0), F.cbrt(F.col("n") / per_cell)), F.lit(1e-12)))
+    points = vertices.select("mesh_id", "v", "x", "y", "z")
+    rest, out, step = points, None, F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    order = Window.partitionBy("mesh_id", "center").orderBy("d2", "neighbor")
+    last = boxes.agg(F.max(F.ceil(F.log2(F.col("span") / F.col("width") + 1))).alias("n")).first()["n"] or 0
+    for level in range(int(last) + 1):
+
+        def celled(rows):
+            w = F.col("width") * 2.0**level
+            return rows.join(boxes, "mesh_id").select("mesh_id", "v", "x", "y", "z", w.alias("w"), (F.col("span") <= w).alias("whole"), "n", *(F.floor((F.col(c) - F.col(f"lo{c}")) / w).alias(f"c{c}") for c in "xyz"))
+
+        asks = celled(rest).withColumn("sx", step).withColumn("sy", step).withColumn("sz", step)
+        asks = asks.select("mesh_id", F.col("v").alias("center"), "w", "whole", F.least(F.col("n") - 1, F.lit(k)).alias("want"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *((F.col(f"c{c}") + F.col(f"s{c}")).alias(f"c{c}") for c in "xyz"))
+        near = celled(points).select("mesh_id", F.col("v").alias("neighbor"), "x", "y", "z", "cx", "cy", "cz")
+        d2 = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "yz"), (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")))
+        met = asks.join(near, ["mesh_id", "cx", "cy", "cz"]).where("center <> neighbor").select("mesh_id", "center", "neighbor", "want", "w", "whole", d2.alias("d2"))
+        met = met.where((F.col("d2") <= F.col("w") * F.col("w")) | F.col("whole"))
+        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        full = ranked.groupBy("mesh_id", F.col("center").alias("v")).agg(F.count("*").alias("got"), F.first("want").alias("want")).where("got >= want").select("mesh_id", "v")
+        found = ranked.join(full.withColumnRenamed("v", "center"), ["mesh_id", "center"], "left_semi").select("mesh_id", "center", F.col("rank").cast("int").alias("rank"), "neighbor", F.sqrt("d2").alias("dist"))
+        found = checkpointed(found)
+        out = found if out is None else out.unionByName(found)
+        rest = checkpointed(rest.join(found.select("mesh_id", F.col("center").alias("v")).distinct(), ["mesh_id", "v"], "left_anti"))
+        if rest.isEmpty():
+            break
+    return out
+
+
 def chamfer(one: DataFrame, two: DataFrame) -> DataFrame:
     """(mesh_id, chamfer): mean squared distance to the nearest point of the other set, both ways, summed."""
 

@@ -28,9 +28,13 @@ def with_zero_rows(off: DataFrame) -> DataFrame:
 
 
 def stiffness(weights: DataFrame) -> DataFrame:
-    """S of ``weights(mesh_id, center, neighbor, w)``: -w at (c, n) and (n, c), so the row sums vanish."""
-    one = weights.select("mesh_id", F.col("center").alias("i"), F.col("neighbor").alias("j"), (-F.col("w")).alias("val"))
-    return with_zero_rows(summed(one, transposed(one)))
+    """S of ``weights(mesh_id, center, neighbor, w)``: -w at (c, n) and (n, c), +w at (c, c) and (n, n), so the row sums vanish.
+
+    All four entries come from one pass over the weights, and one aggregate adds them up.
+    """
+    c, n, w = F.col("center"), F.col("neighbor"), F.col("w")
+    entries = F.array(*(F.struct(i.alias("i"), j.alias("j"), x.alias("val")) for i, j, x in ((c, n, -w), (n, c, -w), (c, c, w), (n, n, w))))
+    return summed(weights.select("mesh_id", F.explode(entries).alias("e")).select("mesh_id", "e.i", "e.j", "e.val"))
 
 
 def mass(areas: DataFrame, every: DataFrame, floor: float = 1e-6) -> DataFrame:
@@ -69,11 +73,12 @@ def one_hop(coo: DataFrame, graph: DataFrame) -> DataFrame:
     return with_zero_rows(coo.where("i <> j").join(both, ["mesh_id", "i", "j"], "left_semi"))
 
 
-def sparsity(coo: DataFrame) -> DataFrame:
-    """(mesh_id, nnz, density, avg_row, max_row, min_row) of the stored entries."""
-    row = coo.groupBy("mesh_id", "i").agg(F.count("*").alias("n"))
+def sparsity(coo: DataFrame, every: DataFrame) -> DataFrame:
+    """(mesh_id, nnz, rows, avg_row, max_row, min_row, density %) of the stored entries; ``every(mesh_id, v)`` names all rows, also those without entries."""
+    row = coo.groupBy("mesh_id", F.col("i").alias("v")).agg(F.count("*").alias("n"))
+    row = every.select("mesh_id", "v").join(row, ["mesh_id", "v"], "left").select("mesh_id", F.coalesce("n", F.lit(0)).alias("n"))
     out = row.groupBy("mesh_id").agg(F.sum("n").alias("nnz"), F.count("*").alias("rows"), F.avg("n").alias("avg_row"), F.max("n").alias("max_row"), F.min("n").alias("min_row"))
-    return out.withColumn("density", 100.0 * F.col("nnz") / (F.col("rows") * F.col("rows")))
+    return out.withColumn("density", 100.0 * F.col("nnz") / (F.col("rows").cast("double") * F.col("rows")))
 
 
 def mean_curvature(stiff: DataFrame, masses: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def boundary_vertices(faces: DataFrame) -> DataFrame:
     return edges(faces).where("faces = 1").select("mesh_id", F.explode(F.array("a", "b")).alias("v")).distinct()
 
 
-def _with_corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+def with_corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     out = faces
     for k in range(3):
         out = out.join(vertices.select("mesh_id", F.col("v").alias(f"v{k}"), *(F.col(a).alias(f"{a}{k}") for a in "xyz")), ["mesh_id", f"v{k}"])
@@ -40,10 +40,14 @@ def _side(p: int, q: int):
 
 
 def _measured(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    placed = _with_corners(faces, vertices).withColumns({"a": _side(1, 2), "b": _side(2, 0), "c": _side(0, 1)})
+    placed = with_corners(faces, vertices).withColumns({"a": _side(1, 2), "b": _side(2, 0), "c": _side(0, 1)})
     s = (F.col("a") + F.col("b") + F.col("c")) / 2
-    area = F.sqrt(F.greatest(s * (s - F.col("a")) * (s - F.col("b")) * (s - F.col("c")), F.lit(0.0)))
-    return placed.withColumn("area", F.greatest(area, F.lit(1e-12)))
+    # floored under the root: a degenerate face has an area of 1e-6
+    return placed.withColumn("area", F.sqrt(F.greatest(s * (s - F.col("a")) * (s - F.col("b")) * (s - F.col("c")), F.lit(1e-12))))
+
+
+def face_areas(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    return _measured(faces, vertices).select("mesh_id", "f", "v0", "v1", "v2", "area")
 
 
 def cotangent_laplacian(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def barycentric_mass(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def mean_edge_length(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Over the directed edges of all faces."""
-    m = _with_corners(faces, vertices).select("mesh_id", F.explode(F.array(_side(1, 2), _side(2, 0), _side(0, 1))).alias("length"))
+    m = with_corners(faces, vertices).select("mesh_id", F.explode(F.array(_side(1, 2), _side(2, 0), _side(0, 1))).alias("length"))
     return m.groupBy("mesh_id").agg(F.avg("length").alias("length"))
 
 

@@ -1,22 +1,88 @@
-"""Numeric kernels of one mesh, run by ``applyInPandas`` on its matrices.
+"""Numeric kernels of one mesh, run by ``applyInPandas`` on its operators.
 
-A mesh's dense matrices must fit one worker (N up to a few thousand); the relational
-operators around them have no such bound.
+Matrices are sparse triplets, so a mesh needs memory in proportion to its entries; only
+spectra of small meshes go through a dense solver. The relational operators around the
+kernels have no bound by mesh at all.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Meshes of up to this many vertices get their spectrum from a dense solver.
+DENSE = 1500
+
+
+class Sparse:
+    """Triplets sorted by row; entries at one place add up in products."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, val: np.ndarray, shape: tuple[int, int]):
+        order = np.argsort(i, kind="stable")
+        self.i, self.j, self.val, self.shape = np.asarray(i)[order], np.asarray(j)[order], np.asarray(val, float)[order], shape
+        self.rows, self.starts = np.unique(self.i, return_index=True)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], *x.shape[1:]))
+        if len(self.i):
+            weight = self.val.reshape(-1, *[1] * (x.ndim - 1))
+            out[self.rows] = np.add.reduceat(weight * x[self.j], self.starts, axis=0)
+        return out
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        return Sparse(self.j, self.i, self.val, self.shape[::-1])
+
+    def diagonal(self) -> np.ndarray:
+        on = self.i == self.j
+        return np.bincount(self.i[on], self.val[on], self.shape[0])
+
+    def plus_diagonal(self, extra: np.ndarray, factor: float = 1.0) -> Sparse:
+        """``factor`` times the matrix and a diagonal."""
+        n = np.arange(self.shape[0])
+        return Sparse(np.concatenate([self.i, n]), np.concatenate([self.j, n]), np.concatenate([factor * self.val, np.broadcast_to(extra, n.shape)]), self.shape)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(self.shape)
+        np.add.at(out, (self.i, self.j), self.val)
+        return out
+
+
+def indexed(coo: pd.DataFrame, ids: np.ndarray) -> Sparse:
+    """The triplets (i, j, val) over the places of ``ids``."""
+    at = pd.Index(ids)
+    return Sparse(at.get_indexer(coo.i), at.get_indexer(coo.j), coo.val.to_numpy(), (len(ids), len(ids)))
+
 
 def dense(coo: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
-    at = {v: i for i, v in enumerate(ids)}
-    out = np.zeros((len(ids), len(ids)))
-    np.add.at(out, (coo.i.map(at).to_numpy(), coo.j.map(at).to_numpy()), coo.val.to_numpy())
-    return out
+    return indexed(coo, ids).dense()
+
+
+def solve(a: Sparse, b: np.ndarray, tol: float = 1e-12, rounds: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
+    """a x = b for a symmetric positive (semi-)definite matrix, by conjugate gradients scaled by the diagonal; b may have columns."""
+    flat = b.ndim == 1
+    b = b[:, None] if flat else b
+    d = a.diagonal()
+    scale = (1 / np.where(np.abs(d) > 1e-300, d, 1.0))[:, None]
+    x = np.zeros_like(b, dtype=float) if start is None else (start[:, None] if flat else start).astype(float)
+    r = b - a @ x
+    z = scale * r
+    p, rz = z.copy(), (r * z).sum(0)
+    goal = tol * np.maximum(np.linalg.norm(b, axis=0), 1e-300)
+    for _ in range(rounds or 10 * len(b)):
+        if (np.linalg.norm(r, axis=0) <= goal).all():
+            break
+        q = a @ p
+        step = rz / np.where((p * q).sum(0) > 0, (p * q).sum(0), np.inf)
+        x, r = x + step * p, r - step * q
+        z = scale * r
+        new = (r * z).sum(0)
+        p, rz = z + new / np.where(rz > 0, rz, np.inf) * p, new
+    return x[:, 0] if flat else x
 
 
 def generalized_eigh(stiff: np.ndarray, mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -26,12 +92,42 @@ def generalized_eigh(stiff: np.ndarray, mass: np.ndarray, k: int) -> tuple[np.nd
     return value[:k], root[:, None] * vector[:, :k]
 
 
+def sparse_eigh(stiff: Sparse, mass: np.ndarray, k: int, tol: float = 1e-9, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """The same by inverse iteration on a subspace; the shift keeps the matrix positive definite, and a failure to settle falls back to the dense solver."""
+    n = len(mass)
+    width = min(n, k + max(8, k // 2))
+    shift = 1e-4 * max(float(np.abs(stiff.diagonal()).mean() / mass.mean()), 1e-12)
+    a = stiff.plus_diagonal(shift * mass)
+    x = np.random.default_rng(0).normal(size=(n, width))
+    x[:, 0] = 1
+    last = np.full(k, np.inf)
+    for _ in range(rounds):
+        y = solve(a, mass[:, None] * x, 1e-10)
+        # Rayleigh-Ritz in a basis that is orthonormal under the masses
+        g = y.T @ (mass[:, None] * y)
+        w, q = np.linalg.eigh((g + g.T) / 2)
+        y = y @ (q / np.sqrt(np.maximum(w, w.max() * 1e-14)))
+        s = y.T @ (stiff @ y)
+        value, q = np.linalg.eigh((s + s.T) / 2)
+        x = y @ q
+        if np.abs(value[:k] - last).max() <= tol * max(np.abs(value[:k]).max(), 1e-12):
+            return value[:k], x[:, :k]
+        last = value[:k]
+    return generalized_eigh(stiff.dense(), mass, k)
+
+
+def spectrum(stiff: Sparse, mass: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    k = min(k, len(mass))
+    return generalized_eigh(stiff.dense(), mass, k) if len(mass) <= DENSE else sparse_eigh(stiff, mass, k)
+
+
 def eigenpairs(coo: DataFrame, mass: DataFrame, k: int) -> DataFrame:
-    """(mesh_id, m, lam, v, phi) of every mesh."""
+    """(mesh_id, m, lam, v, phi) of every mesh, ascending; unit masses give the standard problem."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, area = b.i.to_numpy(), b.area.to_numpy()
-        value, vector = generalized_eigh(dense(a, ids), area, k)
+        b = b.sort_values("i")
+        ids, area = b.i.to_numpy(), b.area.to_numpy(float)
+        value, vector = spectrum(indexed(a, ids), area, k)
         m = np.arange(len(value))
         return pd.DataFrame({"mesh_id": b.mesh_id.iloc[0], "m": np.repeat(m, len(ids)), "lam": np.repeat(value, len(ids)), "v": np.tile(ids, len(m)), "phi": vector.T.ravel()})
 
@@ -40,55 +136,89 @@ def eigenpairs(coo: DataFrame, mass: DataFrame, k: int) -> DataFrame:
     return coo.groupBy("of").cogroup(mass.groupBy("mesh_id")).applyInPandas(run, f"mesh_id {kind}, m int, lam double, v long, phi double")
 
 
-def greens_function(stiff: np.ndarray, mass: np.ndarray, source: int, eps: float = 1e-6) -> np.ndarray:
-    """Solution of (L + e M) g = delta, less its mass-weighted mean, scaled to [0, 1]."""
-    e = eps * max(np.abs(np.diag(stiff)).mean(), 1e-4)
+def greens_function(stiff: Sparse, mass: np.ndarray, source: int, eps: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Solution of (L + e M) g = delta less its mass-weighted mean, scaled to [0, 1], and the relative residual of the raw one."""
+    e = eps * max(np.abs(stiff.diagonal()).mean(), 1e-4)
     delta = np.zeros(len(mass))
     delta[source] = 1
-    g = np.linalg.solve(stiff + e * np.diag(mass), delta)
-    g -= (mass @ g) / mass.sum()
-    g -= g.min()
-    return g / g.max() if g.max() > 0 else g
+    g = solve(stiff.plus_diagonal(e * mass), delta)
+    residual = float(np.linalg.norm(stiff @ g - delta))
+    g = g - (mass @ g) / mass.sum()
+    g = g - g.min()
+    return (g / g.max() if g.max() > 0 else g), residual
 
 
-def heat_distance(stiff: np.ndarray, mass: np.ndarray, grad: np.ndarray, source: int, t: float | None = None) -> np.ndarray:
-    """Distances by heat flow: grad is (3N, N) with rows 3 i + d; the source is at 0."""
-    n = len(mass)
-    delta = np.zeros(n)
+def heat_distance(stiff: Sparse, mass: np.ndarray, grad: Sparse, weight: np.ndarray, source: int, t: float, signs: bool = False) -> np.ndarray:
+    """Distances by heat flow. ``grad`` has rows 3 i + d, ``weight`` the area of each of its places.
+
+    ``signs`` tries both signs of the divergence and keeps the one with fewer values below
+    the source's; else the source is shifted to 0 and then the least value.
+    """
+    delta = np.zeros(len(mass))
     delta[source] = 1
-    u = np.linalg.solve(np.diag(mass) + (mass.mean() if t is None else t) * stiff, delta)
-    x = (grad @ u).reshape(n, 3)
+    u = solve(stiff.plus_diagonal(mass, t), delta)
+    x = (grad @ u).reshape(-1, 3)
     x = -x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
-    phi = np.linalg.solve(stiff + 1e-8 * np.eye(n), grad.T @ (np.repeat(mass, 3) * x.ravel()))
-    phi -= phi[source]
+    phi = solve(stiff.plus_diagonal(1e-8), grad.T @ (weight[:, None] * x).ravel())
+    if signs and (phi < phi[source]).sum() >= (-phi < -phi[source]).sum():
+        phi = -phi
     return phi - phi.min()
 
 
+def edge_distance(i: np.ndarray, j: np.ndarray, length: np.ndarray, n: int, source: int) -> np.ndarray:
+    """Shortest paths along edges: an upper bound of the distance on the surface; infinite where there is no path."""
+    order = np.argsort(i, kind="stable")
+    j, length, starts = j[order], length[order], np.searchsorted(i[order], np.arange(n + 1))
+    best, heap = np.full(n, np.inf), [(0.0, source)]
+    best[source] = 0.0
+    while heap:
+        d, v = heapq.heappop(heap)
+        if d > best[v]:
+            continue
+        for e in range(starts[v], starts[v + 1]):
+            far = d + length[e]
+            if far < best[j[e]]:
+                best[j[e]] = far
+                heapq.heappush(heap, (far, int(j[e])))
+    return best
+
+
 def rotations(covariances: np.ndarray) -> np.ndarray:
-    """The closest rotation to each 3 x 3 covariance (det below 0: the weakest direction flips)."""
+    """The closest rotation to each 3 x 3 covariance (det not above 0: the weakest direction flips; a zero one keeps the identity)."""
     u, _, vt = np.linalg.svd(covariances)
     r = np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)
     flip = np.linalg.det(r) <= 0
     vt[flip, 2] *= -1
-    return np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)
+    out = np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2)
+    out[np.abs(covariances).max((1, 2)) == 0] = np.eye(3)
+    return out
 
 
-def arap(rest: np.ndarray, weights: np.ndarray, targets: dict[int, np.ndarray], rounds: int = 20, tol: float = 1e-6) -> np.ndarray:
-    """As-rigid-as-possible positions: local rotations and one factored global solve take turns."""
-    n, fixed = len(rest), np.array(sorted(targets))
+def arap(rest: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, targets: dict[int, np.ndarray], rounds: int = 20, tol: float = 1e-6) -> np.ndarray:
+    """As-rigid-as-possible positions over directed edges (i, j) of weight w: local rotations and a global solve take turns."""
+    n, fixed = len(rest), np.array(sorted(targets), np.int64)
     free = np.setdiff1d(np.arange(n), fixed)
-    lap = np.diag(weights.sum(1)) - weights
-    p, last = rest.copy(), np.inf
-    p[fixed] = np.stack([targets[i] for i in fixed])
-    solve = np.linalg.inv(np.linalg.cholesky(lap[np.ix_(free, free)])) if len(free) else None
-    edge = rest[:, None] - rest[None]
+    p, last = rest.astype(float).copy(), np.inf
+    p[fixed] = np.stack([targets[k] for k in fixed])
+    if not len(free):
+        return p
+    place = np.full(n, -1)
+    place[free] = np.arange(len(free))
+    inner = (place[i] >= 0) & (place[j] >= 0)
+    total = np.bincount(i, w, n)
+    system = Sparse(place[i[inner]], place[j[inner]], -w[inner], (len(free), len(free))).plus_diagonal(total[free])
+    held = (place[i] >= 0) & (place[j] < 0)
+    edge = rest[i] - rest[j]
+
+    def by_vertex(values: np.ndarray) -> np.ndarray:
+        flat = values.reshape(len(i), -1)
+        return np.stack([np.bincount(i, flat[:, c], n) for c in range(flat.shape[1])], 1).reshape(n, *values.shape[1:])
+
     for _ in range(rounds):
-        moved = p[:, None] - p[None]
-        r = rotations(np.einsum("ij,ija,ijb->iab", weights, edge, moved))
-        rhs = 0.5 * np.einsum("ij,ijab,ijb->ia", weights, r[:, None] + r[None], edge)
-        if solve is None:
-            break
-        new = solve.T @ (solve @ (rhs[free] - lap[np.ix_(free, fixed)] @ p[fixed]))
+        r = rotations(by_vertex(w[:, None, None] * edge[:, :, None] * (p[i] - p[j])[:, None, :]))
+        side = by_vertex(0.5 * w[:, None] * np.einsum("eab,eb->ea", r[i] + r[j], edge))[free]
+        np.add.at(side, place[i[held]], w[held, None] * p[j[held]])
+        new = solve(system, side, start=p[free])
         step = np.linalg.norm(new - p[free])
         p[free] = new
         if abs(last - step) < tol:
@@ -115,9 +245,9 @@ def random_rotation(rng: np.random.Generator) -> np.ndarray:
     return q
 
 
-def fingerprints(stiff: np.ndarray, mass: np.ndarray, landmarks: list[int], scales: list[float]) -> np.ndarray:
+def fingerprints(stiff: Sparse, mass: np.ndarray, landmarks: list[int], scales: list[float]) -> np.ndarray:
     """Rows of (S + a M)^-1 M at the landmarks for every a, of unit length."""
     e = np.zeros((len(mass), len(landmarks)))
     e[landmarks, np.arange(len(landmarks))] = 1
-    out = np.concatenate([np.linalg.solve(stiff + a * np.diag(mass), mass[:, None] * e) for a in scales], 1)
+    out = np.concatenate([solve(stiff.plus_diagonal(a * mass), mass[:, None] * e) for a in scales], 1)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)

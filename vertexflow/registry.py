@@ -1,5 +1,6 @@
 """Queries and their SQL, by name."""
 
+from . import mesh_queries  # noqa: F401  (adds its queries)
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
