@@ -14,6 +14,7 @@ piece numbers); an empty table packs into no sequence.
 from __future__ import annotations
 
 import bisect
+import uuid
 import zlib
 
 import numpy as np
@@ -21,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .pieces import encoder
+from .pieces import encoder, sized_batches
 from .store import Store
 
 
@@ -73,14 +73,14 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, drops_space: bool, with_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every whole text's ids and the end id."""
-    end = np.uint32(end_id).tobytes()
+    end, query = np.uint32(end_id).tobytes(), uuid.uuid4().hex
 
     def run(batches):
-        own = encoder(path, drops_space, "<u4")
+        own = encoder(path, drops_space, "<u4", query)
         for batch in batches:
-            for part in small_batches(batch):
+            for part in sized_batches(batch):
                 rows = []
-                for key, x in zip(part.column(0).to_pylist(), own.values([t or "" for t in part.column(1).to_pylist()])):
+                for key, x in zip(part.column(0).to_pylist(), own.values(part.column(1))):
                     x += end
                     for i, at in enumerate(range(0, len(x), 4 * capacity)):
                         y = x[at : at + 4 * capacity]

@@ -10,13 +10,16 @@ kept; repeated rows give repeated results; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import small_batches
-from .pieces import PieceEncoder
+from .pieces import PieceEncoder, sized_batches
 
 #: The pre-token pattern of the byte-level vocabularies (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,6 +36,8 @@ def whole_tokens(path: str) -> frozenset[str]:
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     names = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
     names = [s for s in dict.fromkeys(names) if s and "�" not in s and s not in special]
+    if not json.loads(tokenizer.pre_tokenizer.__getstate__()).get("use_regex"):
+        raise ValueError(f"{path} doesn't split texts by the byte-level pattern")
     one = regex.compile(PRE_TOKENS)
     return frozenset(s for s, e in zip(names, tokenizer.encode_batch_fast(names, add_special_tokens=False)) if len(e.ids) == 1 and one.fullmatch(s))
 
@@ -40,7 +45,7 @@ def whole_tokens(path: str) -> frozenset[str]:
 class TokenCounter(PieceEncoder):
     """Counts per piece: pre-tokens found in the whole-token table count directly, the rest are merged."""
 
-    join = staticmethod(sum)
+    joined = staticmethod(sum)
 
     def __init__(self, path: str):
         import regex
@@ -50,6 +55,19 @@ class TokenCounter(PieceEncoder):
         self.find = regex.compile(PRE_TOKENS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text."""
+        _, totals, places, rest = self._batch(texts)
+        sums = np.zeros(len(texts), np.int64)
+        sums[places] = totals
+        for i, n in rest:
+            sums[i] = n
+        return sums
+
+    def _gather(self, found: list[int], places: np.ndarray, bounds: np.ndarray):
+        running = np.append(0, np.array(found, np.int64)[places].cumsum())
+        return None, np.diff(running[bounds]) if len(bounds) else np.zeros(0, np.int64)
+
     def _encode_all(self, texts: list[str]) -> list[int]:
         whole, counts, rest, at = self.whole, [], [], []
         for i, text in enumerate(texts):
@@ -70,21 +88,22 @@ class TokenCounter(PieceEncoder):
         return counts
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
-    """The Python worker's own counter, which keeps its pieces from task to task."""
+@lru_cache(maxsize=1)
+def counter(path: str, query: str) -> TokenCounter:
+    """The Python worker's counter, which keeps its pieces between tasks of one query."""
     return TokenCounter(path)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
+    query = uuid.uuid4().hex
 
     def run(batches):
-        own = counter(path)
+        own = counter(path, query)
         for batch in batches:
-            for part in small_batches(batch):
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                n = own.values(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
+            for part in sized_batches(batch):
+                n = own.counts(part.column(1))
+                sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -17,6 +17,7 @@ bytes; an empty table gives empty files.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -24,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .pieces import encoder
+from .pieces import encoder, sized_batches
 from .store import Store
 
 #: Tokens after which a block ends (it ends with a document), and bytes of a value by its control bits.
@@ -59,14 +59,14 @@ def unpack_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def encode_ids(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every whole text and ``end_id``, as little-endian unsigned integers of ``id_width(path)``."""
-    kind = id_width(path)
+    kind, query = id_width(path), uuid.uuid4().hex
     end = np.array([end_id], kind).tobytes()
 
     def run(batches):
-        own = encoder(path, drops_space, kind)
+        own = encoder(path, drops_space, kind, query)
         for batch in batches:
-            for part in small_batches(batch):
-                ids = [x + end for x in own.values([t or "" for t in part.column(1).to_pylist()])]
+            for part in sized_batches(batch):
+                ids = [x + end for x in own.values(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary")
@@ -85,8 +85,8 @@ def rank_table(ids: DataFrame, kind: str) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_buffer(), kind))
+            for part in sized_batches(batch, 0):
+                n = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind))
                 total, n = (n, total) if len(n) > len(total) else (total, n)
                 total[: len(n)] += n
         at = np.flatnonzero(total)
