@@ -4,13 +4,13 @@ Two GRUs read windows of ``WINDOW`` bytes forwards and backwards; a softmax labe
 every byte, and a document's probabilities are the mean over all its bytes. Training
 runs in numpy on the driver: back-propagation through time with Adam on windows of a
 bounded sample of the labelled rows (``docs_per_language`` documents of each language,
-chosen by a hash of the id, ``WINDOWS_PER_DOC`` windows of each). Prediction reads
+chosen by a hash of the id among ids of one row, ``WINDOWS_PER_DOC`` windows of each). Prediction reads
 every byte of every text.
 
 Defined results: null text, empty text and text without any letter give ``und`` with
 score 0; a null doc_id is kept; repeated rows give repeated results; without a single
 labelled row every text is ``und``. Columns other than the id, the text and (for
-learning) the language are ignored.
+learning) the language are ignored. NUL bytes, which also pad windows, label nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import broadcast_if_small, small_batches
 
 HIDDEN, WINDOW, WINDOWS_PER_DOC, DOCS_PER_LANGUAGE = 8, 64, 4, 400
 STEPS, BATCH, RATE, SEED = 150, 128, 0.02, 7
@@ -164,9 +164,13 @@ class ByteGru:
 def training_windows(docs: DataFrame, learn: Column, docs_per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
     """(lang, windows) of a bounded sample of the rows for which ``learn`` holds."""
     usable = learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
-    ids = docs.where(usable).select(F.col(id_col).alias("k"), F.col(lang_col).alias("l"))
+    ids = docs.where(usable).groupBy(F.col(id_col).alias("k")).agg(F.min(lang_col).alias("l"), F.count("*").alias("rows")).where("rows = 1 and k is not null")
+    sizes = ids.groupBy("l").agg(F.count("*").alias("of"))
+    # a language's ids below a cut of their hashes, some times as many as wanted, then exactly the first: no task ranks a whole language
+    share = F.shiftrightunsigned(F.xxhash64("k"), 1) * 2.0**-63
+    near = ids.join(broadcast_if_small(sizes, sizes.count(), 100_000), "l").where(share * F.col("of") < 4 * docs_per_language)
     order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("k").distinct()
+    ids = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("k")
     spread = WINDOWS_PER_DOC
 
     def cut(batches):
