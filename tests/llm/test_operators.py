@@ -451,6 +451,44 @@ def test_language_held_out(spark, odd):
     assert language.train(odd.limit(0), F.lit(True)) is None
 
 
+def test_fast_labels_are_the_network_s():
+    rng = np.random.default_rng(9)
+    net = language.ByteGru(["a", "b", "c"])
+    texts_ = [bytes(rng.integers(1, 256, n).tolist()) for n in (1, 63, 64, 65, 200)] + [b"x\0y"]
+    got = net.pooled(texts_)
+    for t, p in zip(texts_, got):
+        rows_ = -(-len(t) // language.WINDOW)
+        w = np.frombuffer(t.ljust(rows_ * language.WINDOW, b"\0"), np.uint8).reshape(-1, language.WINDOW)
+        each = net.probabilities(w)[0].transpose(1, 0, 2)
+        total = (each * (w != 0)[..., None]).sum((0, 1))
+        assert np.allclose(p, total / total.sum(), atol=1e-5)
+
+
+def test_quality_against_brute_force(spark, small, odd, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(odd.select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
+    docs = docs.unionByName(spark.createDataFrame([(2 * 10**9, "long words here " * 100_000)], docs.schema))
+    docs.withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = rows(queries.op1_quality(spark, str(tmp_path)).withColumn("score", F.round("score", 6)), "doc_id", "held_out", "score", "predicted")
+    held = {k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0 for k, _ in texts(docs)}
+    data = texts(docs)
+    x = dict(zip([k for k, _ in data], quality.statistics([t for _, t in data])))
+    known = [(x[r["doc_id"]], r["quality"]) for r in labels.collect() if r["quality"] is not None and not held.get(r["doc_id"], True)]
+    by = [np.array([v for v, y in known if y == k]) for k in (0, 1)]
+    cov = [np.cov(b.T, bias=True) for b in by]
+    every = sum(c * len(b) for c, b in zip(cov, by)) / len(known)
+    spread = np.diag(np.maximum(np.diag(every), 1e-6))
+    cov = [(1 - quality.POOLED - quality.DIAGONAL) * c + quality.POOLED * every + quality.DIAGONAL * spread + 1e-6 * np.eye(len(c)) for c in cov]
+    want = Counter()
+    for (k, _), v in zip(data, quality.statistics([t for _, t in data])):
+        dense = [np.log(len(b) / len(known)) - 0.5 * (np.linalg.slogdet(c)[1] + (v - b.mean(0)) @ np.linalg.solve(c, v - b.mean(0))) for b, c in zip(by, cov)]
+        s = 1 / (1 + np.exp(np.clip(dense[0] - dense[1], -500, 500)))
+        want[(k, held[k], round(float(s), 6), int(s >= 0.3))] += 1
+    off = sum((got - want).values())
+    assert off <= 2 and len(got) == len(want)  # a score may round the other way
+
+
 def test_quality_held_out(spark, odd):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -500,3 +538,12 @@ def test_odd_sketches_bound_the_difference():
         for b, y in zip(sets, sketches):
             apart = sum(int(v).bit_count() for v in x ^ y)
             assert apart <= len(np.setxor1d(a, b)) and (apart - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_near_duplicates_against_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = Counter(con.execute(queries.ORACLE_SQL["op9_near_dup"]).fetchall())
+    assert rows(queries.op9_near_dup(spark, small), "doc_id", "n_shingles", "component_id", "kept") == want
