@@ -2,15 +2,17 @@
 
 Lines are compared in lower case with white space collapsed, by the sets of all their
 character shingles of ``SHINGLE``. Equal lines form a class, and a class's signature is made
-in the same aggregate that finds it: every shingle of every line is a row that goes to one of
-``BANDS`` * ``ROWS`` slots by its hash, and each slot keeps its least one (an empty slot
-borrows the next one's). ``ROWS`` slots are a band; at the threshold 0.99 of the pairs share
+by an aggregate: every shingle of every line is a row that goes to one of ``BANDS`` * ``ROWS``
+slots by its hash, and each slot keeps its least one (an empty slot borrows the next one's).
+Of long lines only hashes below a cut can be a slot's least, so the others are left out first;
+lines of so few different shingles that the cut leaves slots empty are signed again without it. ``ROWS`` slots are a band; at the threshold 0.985 of the pairs share
 one or more. Pairs with a line of ``FEW`` shingles or less meet exactly as well, by a prefix
 filter: similar sets share one of their rarest shingles. Candidates are compared on all
 shingles, confirmed from a Jaccard similarity of ``PERCENT`` / 100, and joined into components
 by distributed union-find; the first line of a component (by doc_id, then place) stays.
 
-Shingles are never written: candidates keep their line's text, and pairs make them anew.
+Lines are normalised and written once. Shingles are never written: pairs make them anew
+from their lines.
 
 Defined results: a null text stays null; blank lines are never dropped; a line shorter
 than a shingle is one shingle; rows that repeat a doc_id and a text keep or lose the same
@@ -30,7 +32,9 @@ from .store import Store
 SHINGLE, PERCENT = 9, 80
 #: Most shingles of a line whose pairs are found exactly.
 FEW = 32
-BANDS, ROWS = 7, 3
+BANDS, ROWS = 6, 3
+#: Hashes of a line that the cut leaves for each slot on average, and the filled slots below which a cut line is signed again.
+LEFT, FILLED = 3, 10
 #: Shingles that are cut from one piece of a line: a substring is searched from the start.
 _PIECE = 64
 #: 64-bit words of an odd sketch; lines of buckets with more members than this get one.
@@ -52,39 +56,66 @@ def _norm(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, t, place, norm, id) of lines that aren't blank; t names the text, id the line."""
+    """(doc, t, place, length, id, other, norm) of lines that aren't blank; t names the text, id and other the line."""
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    lines = texts.select("doc", "t", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("doc", "t", "place", _norm(F.col("line")).alias("norm"))
-    return lines.where("norm <> ''").select("*", F.xxhash64("norm").alias("id"))
+    lines = texts.select("doc", "t", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # the ends tell whether a line is blank: a filter on the normal form would make that twice
+    lines = lines.where(F.btrim("line", F.lit(" \t\v\f\r")) != "").select("doc", "t", "place", _norm(F.col("line")).alias("norm"))
+    return lines.select("doc", "t", "place", F.length("norm").alias("length"), F.xxhash64("norm").alias("id"), F.xxhash64(F.lit("line"), "norm").alias("other"), "norm")
 
 
 def _position(doc: str, place: str) -> Column:
     return F.col(doc).cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col(place).cast("decimal(10,0)")
 
 
-def _elements(norm: str) -> Column:
-    """The distinct hashes of all character shingles; a shorter line is one shingle."""
+def _shingles(norm: str) -> Column:
+    """The hashes of all character shingles; a shorter line is one shingle."""
     more = SHINGLE - 1
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - more, F.lit(1)), F.lit(_PIECE)), lambda i: F.substring(F.col(norm), i, F.lit(_PIECE + more)))
     hashes = F.transform(pieces, lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - more), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE)))))
-    return F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(F.array_distinct(F.flatten(hashes)))
+    return F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(F.flatten(hashes))
+
+
+def _elements(norm: str) -> Column:
+    return F.array_distinct(_shingles(norm))
 
 
-def _classes(lines: DataFrame) -> DataFrame:
-    """(id, position, n, same, bands) of equal lines; position is the first one's, same is false where the key stands for several lines."""
-    wide, slots = SHINGLE * _UNIT, BANDS * ROWS
-    units = lines.select("doc", "place", "id", F.xxhash64(F.lit("line"), "norm").alias("other"), F.encode("norm", "UTF-16BE").alias("units"))
+def _slots(lines: DataFrame, cut: bool) -> DataFrame:
+    """(id, v0, ...) of lines (id, norm): the least hash of each slot, of long lines only those below a cut."""
+    wide, slots, most = SHINGLE * _UNIT, BANDS * ROWS, float(LEFT * BANDS * ROWS)
+    units = lines.select("id", F.encode("norm", "UTF-16BE").alias("units"))
+    count = F.greatest((F.length("units") - wide) / _UNIT + 1, F.lit(1.0))
+    below = F.when(count > most, (F.lit(2.0**31) * most / count).cast("long")) if cut else F.lit(None).cast("long")
     starts = F.sequence(F.lit(1), F.greatest(F.length("units") - wide + 1, F.lit(1)), F.lit(_UNIT))
-    shingles = units.select("*", F.explode(starts).alias("i"))
-    # Substring, hash and aggregate are one generated loop: no array of a line's hashes is made
-    hashed = shingles.select("doc", "place", "id", "other", (F.col("i") == 1).alias("first"), F.xxhash64(F.substring("units", F.col("i"), F.lit(wide))).alias("e"))
-    slotted = hashed.select("*", F.shiftright(F.col("e").bitwiseAND(F.lit(0xFFFF)) * slots, 16).alias("slot"), F.shiftright("e", 33).alias("v"))
-    once = F.when(F.col("first"), F.col("other"))
-    least = [F.min(F.when(F.col("slot") == k, F.col("v"))).alias(f"v{k}") for k in range(slots)]
-    grouped = slotted.groupBy("id").agg(F.min(F.when(F.col("first"), _position("doc", "place"))).alias("position"), F.count(once).alias("n"), F.min(once).alias("lo"), F.max(once).alias("hi"), *least)
+    shingles = units.select("id", "units", F.coalesce(below, F.lit(1 << 31)).alias("below"), F.explode(starts).alias("i"))
+    # substring, hash, filter and aggregate are one generated loop: no array of a line's hashes is made
+    hashed = shingles.select("id", "below", F.xxhash64(F.substring("units", F.col("i"), F.lit(wide))).alias("e"))
+    kept = hashed.select("id", "below", F.shiftrightunsigned("e", 33).alias("v"), F.shiftright(F.col("e").bitwiseAND(F.lit(0xFFFF)) * slots, 16).alias("slot")).where("v < below")
+    return kept.groupBy("id").agg(*(F.min(F.when(F.col("slot") == k, F.col("v"))).alias(f"v{k}") for k in range(slots)))
+
+
+def _bands() -> Column:
+    """A class's band hashes from its slots."""
+    slots = BANDS * ROWS
     filled = [F.coalesce(*(f"v{(k + i) % slots}" for i in range(slots))) for k in range(slots)]
-    bands = [F.xxhash64(F.lit(b), *filled[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
-    return grouped.select("id", "position", "n", (F.col("lo") == F.col("hi")).alias("same"), F.array(*bands).alias("bands"))
+    return F.array(*(F.xxhash64(F.lit(b), *filled[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
+
+
+def _classes(store: Store, lines: DataFrame) -> DataFrame:
+    """(id, position, n, same, weak, bands) of equal lines; position is the first one's, same is false where the key stands for several lines."""
+    found = lines.select("id", "other", "length", _position("doc", "place").alias("position"))
+    found = found.groupBy("id").agg(F.min("position").alias("position"), F.count("*").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), F.max("length").alias("length"))
+    filled = sum((F.col(f"v{k}").isNotNull().cast("int") for k in range(1, BANDS * ROWS)), F.col("v0").isNotNull().cast("int"))
+    signed = _slots(lines, True).select("id", filled.alias("filled"), _bands().alias("bands"))
+    weak = (F.col("length") - SHINGLE + 1 > LEFT * BANDS * ROWS) & (F.coalesce("filled", F.lit(0)) < FILLED)
+    classes = store.put(found.join(signed, "id", "left").select("id", "position", "n", (F.col("lo") == F.col("hi")).alias("same"), weak.alias("weak"), "bands"), "classes")
+    again = classes.where("weak").select("id")
+    few = again.count()
+    if not few:
+        return classes
+    bare = lines.join(broadcast_if_small(again, few, BROADCAST_ROWS), "id")
+    anew = store.put(_slots(bare, False).select(F.col("id").alias("of"), _bands().alias("anew")), "again")
+    return classes.join(broadcast_if_small(anew, few, BROADCAST_ROWS), F.col("id") == F.col("of"), "left").select("id", "position", "n", "same", "weak", F.coalesce("anew", "bands").alias("bands"))
 
 
 def _prefix_buckets(store: Store, short: DataFrame, percent: int) -> DataFrame:
@@ -109,10 +140,10 @@ def _sketches(texts: DataFrame) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later near-copies of lines dropped from their texts, and n_lines and n_dropped."""
     store = Store(spark, "line-dedup")
-    lines = _lines(docs, id_col, text_col)
-    classes = store.put(_classes(lines), "classes")
+    lines = store.put(_lines(docs, id_col, text_col), "lines")
+    classes = _classes(store, lines)
 
-    short = lines.where(F.length("norm") < SHINGLE + FEW * 100 // percent).groupBy("id").agg(F.min("norm").alias("norm"))
+    short = lines.where(F.col("length") < SHINGLE + FEW * 100 // percent).groupBy("id").agg(F.min("norm").alias("norm"))
     prefixes = _prefix_buckets(store, short.select("id", _elements("norm").alias("few")), percent)
     banded = classes.where("same").select("id", F.explode(F.array_distinct("bands")).alias("bucket")).unionByName(prefixes.join(classes.where("not same").select("id"), "id", "left_anti"))
     full = store.put(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "full")
@@ -130,10 +161,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
 
     def similarity(pairs: DataFrame) -> DataFrame:
         one, two = texts.select(F.col("id").alias("a"), F.col("norm").alias("ta")), texts.select(F.col("id").alias("b"), F.col("norm").alias("tb"))
-        met = pairs.join(one, "a").join(two, "b").select("a", "b", _elements("ta").alias("sa"), _elements("tb").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        met = met.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("n"))
-        return met.select("a", "b", (F.col("both") / (F.col("n") - F.col("both"))).alias("j"))
+        met = pairs.join(one, "a").join(two, "b").select("a", "b", _shingles("ta").alias("sa"), _shingles("tb").alias("sb"))
+        return met.select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))).alias("j"))
 
     labels = link_buckets(store, buckets, sizes, similarity, percent, LONGS)
     linked = store.put(labels.join(classes.select("id", "position"), "id"), "linked")
@@ -142,7 +171,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     kept = store.put(kept, "kept")
     drops = lines.select("doc", "t", "place", "id").join(broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), "id").where(_position("doc", "place") != F.col("position"))
     per_text = store.put(drops.groupBy("doc", "t").agg(F.collect_set("place").alias("drop")), "drops")
-    for old in (classes, buckets, texts, sizes, linked, kept):
+    for old in (lines, buckets, texts, sizes, linked, kept):
         store.drop(old)
 
     joined = docs.select(F.struct("*").alias("row")).join(per_text, (F.col("row").getField(id_col).cast("long") == F.col("doc")) & (F.xxhash64(F.col("row").getField(text_col)) == F.col("t")), "left")
