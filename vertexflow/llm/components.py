@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from .store import Store
 
-#: Members of a bucket that are compared with all its other members in one round.
-PIVOTS = 256
+#: Members of a bucket that are compared with all its other members in the second round and at most in a later one; the number doubles.
+PIVOTS = (4, 256)
 #: Tables counted at no more rows than this (100 bytes each at most) go through one task, which saves the
 #: shuffles of many rounds over little data; larger ones are shuffled. Results are the same.
-FEW_ROWS = 400_000
+FEW_ROWS = 1_000_000
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -72,23 +72,23 @@ def one_row(sets: DataFrame) -> DataFrame:
     return sets.groupBy("id").agg(F.when(F.count("*") == 1, F.first("n")).alias("n"), F.when(F.count("*") == 1, F.first("s")).alias("s"))
 
 
-def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity: Callable[[DataFrame], DataFrame], percent: int, longs: int, pivots: int = PIVOTS) -> DataFrame:
+def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity: Callable[[DataFrame], DataFrame], percent: int, longs: int, pivots: tuple[int, int] = PIVOTS) -> DataFrame:
     """(id, component) over links with a Jaccard similarity of ``percent`` / 100 among ids that share a bucket.
 
     ``buckets`` has (bucket, id), each once; ``sizes`` has (id, n, s): a set's size and its odd
     sketch, ``longs`` 64-bit words in which every element flips the bit that its hash names;
     ``similarity`` gets distinct (a, b), a < b, and returns (a, b, j). A round compares each
     bucket's members with one pivot (the first round: the member that meets most others over all
-    its buckets) or with one of each of up to ``pivots`` components, never a member with one of
-    its own component, and sets the pivots aside: all their pairs are then decided. It ends when
-    no bucket spans two components.
+    its buckets) or with several of them, from all components and more from the smaller ones
+    (few while large components still form, up to ``pivots[1]`` later), never a member with one of its own component, and sets the pivots aside: all their pairs
+    are then decided. It ends when no bucket spans two components.
 
     Pairs that cannot be links aren't compared. Sets of n and m elements are linked only if at most
     (n + m) * (100 - percent) / (100 + percent) elements are in one of them alone, and their
     sketches differ in no more bits than that; and as 1 - Jaccard is a metric, two members whose
     distances to the first pivot differ by more than 1 - ``percent`` / 100 are too far apart.
     """
-    t, first, labels = percent / 100, True, None
+    t, first, labels, now = percent / 100, True, None, pivots[0]
     rows = buckets.count()
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -120,15 +120,19 @@ def link_buckets(store: Store, buckets: DataFrame, sizes: DataFrame, similarity:
             pairs = store.put(met.join(one, "a").join(two, "b").where(possible(F.col("an"), F.col("as"), F.col("bn"), F.col("bs"))).select("a", "b"), "pairs")
         else:
             active = kept(active.join(sizes, "id"), "active")
-            leaders = active.groupBy("bucket", F.col("label").alias("of")).agg(F.min(F.struct((-F.col("w")).alias("far"), "id", "n", "s", "d")).alias("p"))
-            order = Window.partitionBy("bucket").orderBy("p.far", "of")
-            leaders = leaders.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots)
-            leaders = kept(leaders.select(F.col("bucket").alias("of_bucket"), "of", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"), F.col("p.d").alias("pd")), "leaders")
+            # one of each component, then more of each but the largest, whose members the others' pivots decide
+            groups = active.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("big")).select("bucket", F.col("big.label").alias("big"))
+            inside = Window.partitionBy("bucket", "label").orderBy(F.desc("w"), "id")
+            leaders = active.withColumn("r", F.row_number().over(inside)).where(F.col("r") <= now).join(groups, "bucket").where("r = 1 or label <> big")
+            order = Window.partitionBy("bucket").orderBy("r", F.desc("w"), "label")
+            leaders = leaders.withColumn("i", F.row_number().over(order)).where(F.col("i") <= now)
+            leaders = kept(leaders.select(F.col("bucket").alias("of_bucket"), F.col("label").alias("of"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("d").alias("pd")), "leaders")
             if leaders.isEmpty():
                 return labels if labels is not None else buckets.select("id", F.col("id").alias("component")).limit(0)
             near = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= 1 - t + 1e-9, F.lit(True))
             can = (F.col("label") != F.col("of")) & (near | F.col("s").isNull() | F.col("ps").isNull()) & possible(F.col("n"), F.col("s"), F.col("pn"), F.col("ps"))
-            # every member with up to `pivots` leaders: shuffled, however few the rows
+            now = min(2 * now, pivots[1])
+            # every member with all its bucket's leaders: shuffled, however few the rows
             many, some = (store.read(d) for d in (active, leaders))
             met = many.join(some, (F.col("bucket") == F.col("of_bucket")) & can)
             pairs = store.put(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
