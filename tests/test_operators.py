@@ -338,3 +338,17 @@ def test_grid_neighbours_equal_all_pairs(spark):
     v = spark.createDataFrame([(i % 2, i, *map(float, x)) for i, x in enumerate(p)] + [(7, 900, 0.0, 0.0, 0.0), (7, 901, 1.0, 0.0, 0.0)], "mesh_id int, v long, x double, y double, z double")
     k = lambda rows: sorted((r["mesh_id"], r["center"], r["rank"], r["neighbor"], round(r["dist"], 9)) for r in rows.collect())
     assert k(neighbors.grid_knn(v, 6)) == k(neighbors.knn(v.select("mesh_id", "v", F.array("x", "y", "z").alias("p")), 6))
+
+
+def test_options():
+    from vertexflow.plans import options
+
+    assert options.checked(operator_mode="gradient", laplacian_mode="anisotropic") == {"operator_mode": "gradient", "laplacian_mode": "anisotropic"}
+    for bad in ({"operator_mode": "both"}, {"colour": "red"}, {"laplacian_mode": "anisotropic"}, {"operator_mode": "stiffness", "curvature_mode": "gradient"}):
+        with pytest.raises(ValueError):
+            options.checked(**bad)
+    options.register("pair", lambda one, two: (one, two))
+    made = options.built({"target": "pair", "one": [1, {"a": 2}], "two": {"target": "pose.align_normal"}})
+    assert made == ([1, {"a": 2}], patches.align_normal)
+    with pytest.raises(ValueError):
+        options.built({"target": "nothing"})

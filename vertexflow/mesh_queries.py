@@ -515,3 +515,30 @@ def learned_operator(spark, sf_dir):
     tokens = patches.padded(patches.extract(near, v), 8)
     out = transformer.infer(tokens, transformer.seeded_weights(0, outputs=3), 4, gradient=True)
     return sparse.matvec(sparse.stiffness(out), v.select("mesh_id", "v", F.col("x").alias("val")))
+
+
+@query(f"WITH {SPACE}, d AS (SELECT a.mesh_id, a.v AS center, b.v AS neighbor, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM space a JOIN space b ON a.mesh_id = b.mesh_id AND a.v <> b.v) SELECT mesh_id, center, CAST(rank AS INTEGER) AS rank, neighbor, round(sqrt(d2), 9) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id, center ORDER BY d2, neighbor) AS rank FROM d) WHERE rank <= 6")
+def grid_neighbors(spark, sf_dir):
+    """The six nearest neighbours of every vertex by grid cells."""
+    from .operators import neighbors
+
+    return rounded(neighbors.grid_knn(space(spark, sf_dir), 6))
+
+
+@query("WITH r AS (SELECT l_returnflag AS method, l_linestatus AS phase, min(l_extendedprice) AS best FROM lineitem GROUP BY 1, 2) SELECT method, phase, best, round(best / sum(best) OVER (PARTITION BY method), 9) AS share FROM r")
+def fastest_runs(spark, sf_dir):
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("phase"), F.col("l_orderkey").alias("repeat"), F.col("l_extendedprice").alias("seconds"))
+    return rounded(metrics.timings(runs))
+
+
+@query("SELECT event_id, round(abs(value - user_id), 9) AS abs_error, round(100 * abs(value - user_id) / (abs(user_id) + 1e-10), 6) AS percent_error FROM events WHERE user_id > 0")
+def estimate_errors(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("user_id > 0")
+    return metrics.curvature_errors(e, "user_id", "value").select("event_id", F.round("abs_error", 9).alias("abs_error"), F.round("percent_error", 6).alias("percent_error"))
+
+
+@query()
+def distance_validation(spark, sf_dir):
+    """Every strip's heat distances from five farthest points, against paths along edges."""
+    v, f = strip_vertices(spark, sf_dir), strip_faces(spark, sf_dir)
+    return geodesics.validated(topology.cotangent_laplacian(f, v), topology.barycentric_mass(f, v), None, f, v)

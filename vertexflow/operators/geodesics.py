@@ -162,9 +162,10 @@ def euclidean(vertices: DataFrame, sources: DataFrame) -> DataFrame:
 def monotonicity(pairs: DataFrame, keys: list[str], samples: int = 5000, seed: int = 0) -> DataFrame:
     """(keys, monotonicity): share of drawn vertex pairs, without ties in ``b``, that ``a`` puts in the same order.
 
-    ``pairs(keys, v, a, b)`` with v from 0 to n - 1. Pairs are drawn by a hash of group, draw and
+    ``pairs(keys, v, a, b)``, whose vertices are numbered in order of v. Pairs are drawn by a hash of group, draw and
     seed, ``samples`` or all n (n - 1) / 2 if fewer; 0 where that is 100 or less.
     """
+    pairs = pairs.withColumn("v", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1)
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("draws", F.least(F.lit(samples), F.floor(F.col("n") * (F.col("n") - 1) / 2)).cast("int"))
     draws = sizes.where("draws > 100").select(*keys, "n", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("i"))
     ends = [F.pmod(F.xxhash64(F.lit(seed), F.lit(s), *keys, "i"), F.col("n")).alias(s) for s in ("p", "q")]
@@ -343,3 +344,19 @@ def deformed(vertices: DataFrame, weights: DataFrame, targets: DataFrame, rounds
 
     parts = [xyz(vertices, "P"), _part(weights, "E", "i", "j", val="w"), xyz(targets, "T")]
     return _solved(parts, run, "v long, x double, y double, z double")
+
+
+def validated(stiff: DataFrame, masses: DataFrame, grad: DataFrame | None, faces: DataFrame, vertices: DataFrame, count: int = 5, samples: int = 5000, seed: int = 0) -> DataFrame:
+    """A row a mesh: distances of predicted operators (by the mesh's own face gradient without ``grad``) against paths along edges, over farthest-point sources.
+
+    A mesh whose solves fail has the values of no sources; other errors are raised.
+    """
+    sources = farthest_sources(vertices, count).select("mesh_id", "source")
+    if grad is None:
+        areas = face_areas(faces, vertices).select("mesh_id", F.col("f").alias("i"), "area")
+        computed = heat_geodesics(stiff, masses, face_gradient(faces, vertices), areas, sources, "face")
+    else:
+        computed = learned_geodesics(stiff, masses, grad, sources)
+    bound = edge_geodesics(faces, vertices, sources)
+    known = computed.where(finite(F.col("dist")))
+    return multi_source(geodesic_metrics(known, bound, samples, seed), vertices)

@@ -62,3 +62,16 @@ def running_best(log: DataFrame, value: str, order: str, keys: list[str]) -> Dat
 def mean_by_name(metrics: DataFrame) -> DataFrame:
     """Named metrics averaged over meshes; a mesh without one is left out of its mean."""
     return metrics.groupBy("name").agg(F.avg("value").alias("value"))
+
+
+def curvature_errors(rows: DataFrame, true: str, estimate: str) -> DataFrame:
+    """``rows`` with the absolute error of an estimate and its share of the true value in percent."""
+    off = F.abs(F.col(estimate) - F.col(true))
+    return rows.withColumns({"abs_error": off, "percent_error": 100 * off / (F.abs(F.col(true)) + 1e-10)})
+
+
+def timings(runs: DataFrame) -> DataFrame:
+    """(method, phase, best, share) of ``runs(method, phase, repeat, seconds)``: the fastest repeat, and its share of the method's total."""
+    best = runs.groupBy("method", "phase").agg(F.min("seconds").alias("best"))
+    total = best.groupBy("method").agg(F.sum("best").alias("total"))
+    return best.join(total, "method").select("method", "phase", "best", F.try_divide("best", "total").alias("share"))
