@@ -355,10 +355,10 @@ def _sampled(spark, sf_dir):
     return surface_rows.regular_sampler(9)(part_surfaces(spark, sf_dir), 0.5)
 
 
-@query(f"WITH {SURFACE} SELECT surface_id, p, round(z, 10) AS z, round(hh, 7) AS mean_curvature, round(gg, 7) AS gauss_curvature, round(hh + sqrt(greatest(hh*hh-gg, 0)), 7) AS k1, round(hh - sqrt(greatest(hh*hh-gg, 0)), 7) AS k2 FROM h WHERE dx = 0 AND dy = 0")
+@query(f"WITH {SURFACE} SELECT surface_id, p, round(z, 12) AS z, round(hh, 7) AS mean_curvature, round(gg, 7) AS gauss_curvature, round(hh + sqrt(greatest(hh*hh-gg, 0)), 7) AS k1, round(hh - sqrt(greatest(hh*hh-gg, 0)), 7) AS k2 FROM h WHERE dx = 0 AND dy = 0")
 def part_curvatures(spark, sf_dir):
     d = surface_rows.differential(_sampled(spark, sf_dir))
-    return d.select("surface_id", "p", F.round("z", 10).alias("z"), F.round("H", 7).alias("mean_curvature"), F.round("K", 7).alias("gauss_curvature"), F.round("k1", 7).alias("k1"), F.round("k2", 7).alias("k2"))
+    return d.select("surface_id", "p", F.round("z", 12).alias("z"), F.round("H", 7).alias("mean_curvature"), F.round("K", 7).alias("gauss_curvature"), F.round("k1", 7).alias("k1"), F.round("k2", 7).alias("k2"))
 
 
 @query(f"WITH {SURFACE}, e AS (SELECT surface_id, p, dx, dy, hh, gg FROM h), c AS (SELECT surface_id, p, (max(hh) FILTER (dx > 0) - max(hh) FILTER (dx < 0)) / 2e-4 AS hx, (max(hh) FILTER (dy > 0) - max(hh) FILTER (dy < 0)) / 2e-4 AS hy, (max(gg) FILTER (dx > 0) - max(gg) FILTER (dx < 0)) / 2e-4 AS gx, (max(gg) FILTER (dy > 0) - max(gg) FILTER (dy < 0)) / 2e-4 AS gy FROM e GROUP BY 1, 2) SELECT surface_id, p, round(hx, 3) + 0.0 AS hx, round(hy, 3) + 0.0 AS hy, round(gx, 3) + 0.0 AS gx, round(gy, 3) + 0.0 AS gy FROM c")
