@@ -300,3 +300,19 @@ def test_evaluated_pairs_of_one_shape(spark):
     truth = corr.select("pair_id", "va", F.col("vb").alias("gt"))
     r = spectral.evaluated_pairs(corr, basis, basis, v, truth).first()
     assert r["orthogonality_error"] < 1e-6 and r["identity_error"] < 1e-6 and r["accuracy"] == 1.0 and r["max_error"] == 0.0
+
+
+def test_learned_operators(spark):
+    from vertexflow.operators import learned
+
+    v, f = tables(spark, *grid(6, 15))
+    w = transformer.seeded_weights(2, outputs=3)
+    own = learned.operators(v, w, 6, 4, gradient=True)
+    rows = own.stiffness.toPandas()
+    assert np.allclose(rows.groupby("i").val.sum(), 0, atol=1e-9) and own.masses.count() == 36 and own.masses.where("area <= 0").count() == 0
+    fewer = learned.operators(v, w, 6, 4, gradient=True, laplacian="anisotropic_sparse")
+    assert abs(fewer.stiffness.groupBy("i").agg(F.sum("val").alias("s")).agg(F.max(F.abs("s"))).first()[0]) < 1e-9
+    with pytest.raises(ValueError):
+        learned.operators(v, w, 6, 4, laplacian="anisotropic")
+    one = learned.averaged(learned.validation(v, f, w, 5, 6, 4)).collect()
+    assert {"spectral_distance", "eigenvalue_rel_mse", "eigenvector_similarity_mean"} <= {r["name"] for r in one}

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import correspondence, geodesics, graphs, losses, metrics, patches, points, sampling, sparse, spectral, surface_rows, topology
+from .operators import correspondence, geodesics, graphs, learned, losses, metrics, patches, points, sampling, sparse, spectral, surface_rows, topology
 from .plans import transformer
 from .queries import FACES, FOLD, NEXT, SPACE, folded, next_vectors, query, space, strip_faces, strip_vertices, table
 
@@ -507,14 +507,10 @@ def deformed_strips(spark, sf_dir):
 
 @query()
 def learned_operator(spark, sf_dir):
-    """Weights, coefficients and areas of a seeded transformer over every vertex's patch, assembled into S and multiplied with x."""
-    from .operators import neighbors
-
+    """The stiffness matrix that a seeded transformer gives every label's points, times their x."""
     v = space(spark, sf_dir)
-    near = neighbors.knn(v.select("mesh_id", "v", F.array("x", "y", "z").alias("p")), 8)
-    tokens = patches.padded(patches.extract(near, v), 8)
-    out = transformer.infer(tokens, transformer.seeded_weights(0, outputs=3), 4, gradient=True)
-    return sparse.matvec(sparse.stiffness(out), v.select("mesh_id", "v", F.col("x").alias("val")))
+    own = learned.operators(v, transformer.seeded_weights(0, outputs=3), 8, 4, gradient=True)
+    return sparse.matvec(own.stiffness, v.select("mesh_id", "v", F.col("x").alias("val")))
 
 
 @query(f"WITH {SPACE}, d AS (SELECT a.mesh_id, a.v AS center, b.v AS neighbor, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) AS d2 FROM space a JOIN space b ON a.mesh_id = b.mesh_id AND a.v <> b.v) SELECT mesh_id, center, CAST(rank AS INTEGER) AS rank, neighbor, round(sqrt(d2), 9) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY mesh_id, center ORDER BY d2, neighbor) AS rank FROM d) WHERE rank <= 6")
