@@ -9,6 +9,12 @@ every stage and stay where their text is clean and no copy; so do rows that repe
 doc_id with another text. Of rows with the same doc_id and text one stays (the least by
 its other columns). Among copies the smallest doc_id stays; null ids, and the further
 texts of a repeated id, come after all ids below 2 ** 62.
+
+Null and empty texts, and texts without a letter, have no language and go in the first
+stage; very long texts are read whole by every stage; a document whose lines are all
+copies goes in the line stage; an empty table gives an empty result. Names that start with
+``_pipeline_`` and the columns n_lines and n_dropped are the stages' own; other columns of
+``documents``, clashing with operators' names or not, pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from vertexflow.llm.store import Store
 #: Documents whose best language has a lower mean probability are rejected, and so is ``und``.
 LEAST_LANGUAGE_SCORE = 0.3
 #: A column that tells rows apart within a stage.
-ROW = "_row"
+ROW = "_pipeline_row"
 #: Repeated ids that a broadcast may hold; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -37,12 +43,12 @@ def _by_text(docs: DataFrame) -> DataFrame:
 def _by_row(docs: DataFrame) -> DataFrame:
     """``docs`` with a never-null ROW for each (doc_id, text): the doc_id, except for null ids and the further texts of a repeated id."""
     text = F.xxhash64("text")
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_first"), F.max(text).alias("_last")).where("_first <> _last")
-    several = several.select(F.col("doc_id").alias("_several"), "_first")
-    joined = docs.join(broadcast_if_small(several, several.count(), BROADCAST_IDS), F.col("doc_id") == F.col("_several"), "left")
-    own = F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == text))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_pipeline_first"), F.max(text).alias("_pipeline_last")).where("_pipeline_first <> _pipeline_last")
+    several = several.select(F.col("doc_id").alias("_pipeline_id"), "_pipeline_first")
+    joined = docs.join(broadcast_if_small(several, several.count(), BROADCAST_IDS), F.col("doc_id") == F.col("_pipeline_id"), "left")
+    own = F.col("doc_id").isNotNull() & (F.col("_pipeline_first").isNull() | (F.col("_pipeline_first") == text))
     other = F.shiftrightunsigned(F.xxhash64(F.lit("row"), "doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
-    return joined.withColumn(ROW, F.when(own, F.col("doc_id").cast("long")).otherwise(other)).drop("_several", "_first")
+    return joined.withColumn(ROW, F.when(own, F.col("doc_id").cast("long")).otherwise(other)).drop("_pipeline_id", "_pipeline_first")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
