@@ -27,7 +27,11 @@ from .common import broadcast_if_small, small_batches
 HIDDEN, WINDOW, WINDOWS_PER_DOC, DOCS_PER_LANGUAGE = 8, 64, 4, 400
 STEPS, BATCH, RATE, SEED = 150, 128, 0.02, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and some signs that count as numbers, such as superscripts and circled digits
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -207,7 +211,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: ByteGru | None, id_col:
             for part in small_batches(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                real = [i for i, t in enumerate(texts) if net is not None and _LETTER.search(t)]
+                real = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
                 if real:
                     p = net.pooled([texts[i].encode() for i in real])
                     for i, k, s in zip(real, p.argmax(1).tolist(), p.max(1).tolist()):
