@@ -100,7 +100,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = 2048,
     store = Store(spark, "packing")
     pieces = store.put(cut_pieces(docs, path, capacity, end_id, drops_space, with_ids, id_col, text_col), "pieces")
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     groups = store.put(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "histogram")
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.createDataFrame(plan_best_fit(counts, capacity) or [], "length long, first_rank long, ranks long, first_sequence long, offset long")
