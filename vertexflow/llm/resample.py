@@ -32,7 +32,7 @@ from .store import Store
 
 BUCKETS, MOST_WORDS, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 #: Nodes of a trie that is added up and begun anew.
-NODES = 1_000_000
+NODES = 250_000
 #: UTF-8 bytes: A-Z become lower case, ASCII characters that are neither letters nor digits end words.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
