@@ -7,7 +7,7 @@ result is written as Parquet and read again. All but the last return the columns
 A row is judged by its own text, whatever its doc_id. Rows with a null doc_id take part in
 every stage and stay where their text is clean and no copy; so do rows that repeat a
 doc_id with another text. Of rows with the same doc_id and text one stays (the least by
-its other columns). Among copies the smallest doc_id stays; null ids, and the further
+its other columns that have an order). Among copies the smallest doc_id stays; null ids, and the further
 texts of a repeated id, come after all ids below 2 ** 62.
 
 Null and empty texts, and texts without a letter, have no language and go in the first
@@ -22,6 +22,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from vertexflow.llm import decontaminate, language, line_dedup, near_dup, packing
 from vertexflow.llm.common import broadcast_if_small, keyed_crc32, table
@@ -35,6 +36,12 @@ ROW = "_pipeline_row"
 BROADCAST_IDS = 1_000_000
 
 
+def _orderable(kind: DataType) -> bool:
+    """Whether values of a type have an order; maps have none."""
+    inside = [kind.elementType] if isinstance(kind, ArrayType) else [f.dataType for f in kind.fields] if isinstance(kind, StructType) else []
+    return not isinstance(kind, MapType | VariantType) and all(map(_orderable, inside))
+
+
 def _by_text(docs: DataFrame) -> DataFrame:
     """``docs`` with a never-null ROW for each text."""
     return docs.withColumn(ROW, F.xxhash64("text"))
@@ -67,7 +74,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     rows = _by_row(docs)
     kept = near_dup.near_duplicates(spark, rows, words=5, percent=80, id_col=ROW).where("kept")
     left = rows.join(kept.select(ROW).distinct(), ROW, "left_semi")
-    return left.groupBy(ROW).agg(F.min(F.struct(docs.columns)).alias("row")).select("row.*")
+    least = F.struct([c for c in docs.columns if _orderable(docs.schema[c].dataType)])
+    return left.groupBy(ROW).agg(F.min_by(F.struct(docs.columns), least).alias("row")).select("row.*")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,6 +233,20 @@ def test_decontamination_of_odd_rows(spark, odd):
     assert got == Counter((k, k == 7) for k, *_ in ODD)
 
 
+def test_decontamination_of_long_texts_with_repeated_seeds(spark):
+    """Hits without number: a text of 60,000 words repeats an item's first words, and one holds a long item's copy far inside."""
+    long_item = [f"w{i % 50}" for i in range(3000)]
+    far = ["w1 w2 w3 q"] * 15_000 + long_item[1500:1512] + ["end"]
+    bench = [(1, "alpha beta gamma delta epsilon zeta"), (2, " ".join(long_item)), (1, "another text under one id with words of its own")]
+    docs = [(1, "alpha beta gamma x y " * 12_000), (2, " ".join(far)), (3, "alpha beta gamma x y " * 12_000 + "alpha beta other delta epsilon zeta"), (None, "its words another text under one id with words of its own now")]
+    got = decontaminate.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {r["doc_id"]: r["items"] for r in got.collect()} == {1: None, 2: [2], 3: [1], None: [1]}
+
+
+def test_texts_without_letters_have_no_language():
+    assert not any(map(language.has_letter, ["", "²½ Ⅷ ①", "12 _ 3", "¼⅓", "-"])) and all(map(language.has_letter, ["a", "² x", "ß", "漢", "٣ ب", "ª"]))
+
+
 def test_licenses(spark, small, odd):
     for docs in (documents(spark, small), odd):
         want = Counter()

@@ -39,3 +39,15 @@ def test_pipeline_judges_rows_of_null_and_repeated_ids_by_their_texts(spark, sma
     go = [(None, f"{t[5]} {item}"), (7000, t[2]), (None, t[4]), (7000, f"{t[5]} then {item}")]
     planted = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in stay + go], rest)
     assert stages(planted, "b") == sorted(stay, key=str)
+
+
+def test_stages_pass_odd_columns_and_empty_tables(spark, small):
+    rows = [(1, "the same text here with enough words for all of it", {"a": 1}), (1, "the same text here with enough words for all of it", {"b": 2}), (2, "quite another text that nobody else has written before", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").withColumns({c: F.lit("x") for c in ("lang", "source", "id", "key", "words", "hit", "row", "item", "n", "bucket", "line", "place")}).withColumn("n_chars", F.length("text").cast("long"))
+    for stage in (corpus_pipeline.line_stage, corpus_pipeline.near_dup_stage, corpus_pipeline.benchmark_stage):
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        assert {r["doc_id"] for r in out.collect()} <= {1, 2}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dup_stage(spark, docs, small).collect()) == [1, 2]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), small).collect() == []
