@@ -480,11 +480,10 @@ def remaining_keys(spark, sf_dir):
 
 @query()
 def heat_distances(spark, sf_dir):
-    """Heat distances from each strip's vertex nearest to its centroid, with their metrics against paths along edges."""
+    """Heat distances from each strip's vertex nearest to its centroid, with their metrics against exact ones."""
     v, f = strip_vertices(spark, sf_dir), strip_faces(spark, sf_dir)
     sources = points.nearest_to_centroid(v)
-    computed, bound = geodesics.mesh_geodesics(f, v, sources), geodesics.edge_geodesics(f, v, sources)
-    return geodesics.geodesic_metrics(computed, bound)
+    return geodesics.geodesic_metrics(geodesics.mesh_geodesics(f, v, sources), geodesics.exact_geodesics(f, v, sources))
 
 
 @query()
@@ -492,7 +491,7 @@ def greens_checks(spark, sf_dir):
     v, f = strip_vertices(spark, sf_dir), strip_faces(spark, sf_dir)
     sources = points.nearest_to_centroid(v)
     g = geodesics.greens_functions(topology.cotangent_laplacian(f, v), topology.barycentric_mass(f, v), sources)
-    return geodesics.maximum_principle(g, geodesics.edge_geodesics(f, v, sources))
+    return geodesics.maximum_principle(g, geodesics.exact_geodesics(f, v, sources))
 
 
 @query()

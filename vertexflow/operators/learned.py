@@ -56,7 +56,7 @@ def basis(weights: dict[str, np.ndarray], neighbors_: int = 20, heads: int = 4,
 
 
 def validation(vertices: DataFrame, faces: DataFrame, weights: dict[str, np.ndarray], modes: int = 50, k: int = 20, heads: int = 4, gradient: bool = False, sources: int = 5) -> DataFrame:
-    """A row a mesh: spectra against the mesh's own operators, and in gradient mode distances against paths along edges."""
+    """A row a mesh: spectra against the mesh's own operators, and in gradient mode distances against exact ones."""
     own = operators(vertices, weights, k, heads, gradient)
     both = checkpointed(kernels.eigenpairs(own.stiffness, own.masses, modes))
     values, vectors, _ = spectral.mesh_basis(faces, vertices, modes)

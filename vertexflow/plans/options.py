@@ -31,7 +31,7 @@ def checked(**options: str) -> dict[str, str]:
 #: What a configuration may name.
 TARGETS: dict[str, Callable[..., Any]] = {
     "sampler.regular": surface_rows.regular_sampler, "sampler.random": surface_rows.random_sampler, "pose.random_rotation": patches.random_rotation, "pose.align_normal": lambda: patches.align_normal,
-    "loss.tangent_projector": lambda: losses.tangent_projector, "loss.gram_off_diagonal": lambda: losses.gram_off_diagonal, "distance.heat": lambda: geodesics.mesh_geodesics, "distance.edges": lambda: geodesics.edge_geodesics,
+    "loss.tangent_projector": lambda: losses.tangent_projector, "loss.gram_off_diagonal": lambda: losses.gram_off_diagonal, "distance.heat": lambda: geodesics.mesh_geodesics, "distance.edges": lambda: geodesics.edge_geodesics, "distance.exact": lambda: geodesics.exact_geodesics,
 }
 
 
