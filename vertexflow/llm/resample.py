@@ -31,8 +31,8 @@ from .pieces import sized_batches
 from .store import Store
 
 BUCKETS, MOST_WORDS, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
-#: Nodes of a trie that is added up and begun anew.
-NODES = 250_000
+#: Nodes of a trie that is added up and begun anew, and bytes of texts that are held as words at once (a text at least).
+NODES, HELD = 250_000, 2 << 20
 #: UTF-8 bytes: A-Z become lower case, ASCII characters that are neither letters nor digits end words.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -95,7 +95,7 @@ class Trie:
 def _parts(batches, column: int):
     """(rows, words of each text) of small slices of batches."""
     for batch in batches:
-        for part in sized_batches(batch, column):
+        for part in sized_batches(batch, column, HELD):
             yield part, [words_of(x) for x in part.column(column).to_pylist()]
 
 
