@@ -206,12 +206,12 @@ def mesh_basis(faces: DataFrame, vertices: DataFrame, k: int):
 
 @provider("points")
 def point_basis(faces: DataFrame | None, vertices: DataFrame, k: int, neighbors: int = 12):
-    """Heat-kernel weights over nearest neighbours, all masses equal; not the tufted Laplacian, which has no public numpy form."""
+    """Heat-kernel weights over nearest neighbours, all masses equal."""
     from ..plans.kernels import eigenpairs
-    from .neighbors import knn
+    from .neighbors import grid_knn
     from .sparse import stiffness
 
-    near = knn(vertices.select("mesh_id", "v", F.array("x", "y", "z").alias("p")), neighbors)
+    near = grid_knn(vertices, neighbors)
     width = near.groupBy("mesh_id").agg(F.avg(F.col("dist") * F.col("dist")).alias("t"))
     w = near.join(width, "mesh_id").withColumn("w", F.exp(-F.col("dist") * F.col("dist") / F.greatest("t", F.lit(1e-12))))
     sizes = vertices.groupBy("mesh_id").agg((1.0 / F.count("*")).alias("area"))
@@ -220,6 +220,28 @@ def point_basis(faces: DataFrame | None, vertices: DataFrame, k: int, neighbors:
     return both.select("mesh_id", "m", "lam").distinct(), both.select("mesh_id", "v", "m", "phi"), masses
 
 
+def _robust_basis(operators: tuple[DataFrame, DataFrame], k: int):
+    from ..plans.kernels import eigenpairs
+
+    both = eigenpairs(*operators, k)
+    return both.select("mesh_id", "m", "lam").distinct(), both.select("mesh_id", "v", "m", "phi"), operators[1]
+
+
+@provider("robust mesh")
+def robust_mesh_basis(faces: DataFrame, vertices: DataFrame, k: int):
+    """The ground truth of validations: mollified, tufted and flipped."""
+    from .robust import mesh_operators
+
+    return _robust_basis(mesh_operators(faces, vertices), k)
+
+
+@provider("robust points")
+def robust_point_basis(faces: DataFrame | None, vertices: DataFrame, k: int, neighbors: int = 30):
+    from .robust import cloud_operators
+
+    return _robust_basis(cloud_operators(vertices, neighbors), k)
+
+
 def evaluated_pairs(corr: DataFrame, basis_a: tuple, basis_b: tuple, vertices_b: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     """A row a pair: the quality of its functional map and of the pointwise map read off it."""
     to_pair = lambda d: d.withColumnRenamed("mesh_id", "pair_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .mesh_queries import rounded
-from .operators import geodesics, solves, sparse, topology
+from .operators import geodesics, robust, solves, sparse, topology
 from .plans import dissection
 from .queries import FACES, query, strip_faces, strip_vertices, table
 
@@ -76,3 +76,14 @@ def ribbon_distances(spark, sf_dir):
     v = ribbon_vertices(spark, sf_dir)
     sources = v.where("v % 150 = 0").select("mesh_id", F.col("v").alias("source"))
     return rounded(geodesics.mesh_distances(strip_faces(spark, sf_dir), v, sources), 8)
+
+
+@query("WITH p AS (SELECT vec_id // 300 AS mesh_id, count(*) AS n FROM embeddings GROUP BY 1) SELECT mesh_id, round((n - 2) / 2.0, 6) AS area, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS unbalanced FROM p")
+def sheared_ribbons(spark, sf_dir):
+    """Flat ribbons sheared so that every rung is flipped: the area of the masses, negative weights and rows that don't sum to zero."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 300).alias("mesh_id"), F.col("vec_id").alias("v"), (F.col("vec_id") % 2).cast("double").alias("y"), F.floor(F.col("vec_id") % 300 / 2).alias("s"))
+    v = e.select("mesh_id", "v", (F.col("s") + F.col("y") * (1.3 + F.col("mesh_id") % 5 / 4)).alias("x"), "y", F.lit(0.0).alias("z"))
+    stiff, masses = robust.mesh_operators(strip_faces(spark, sf_dir).where("f % 2 = 0"), v)
+    rows = stiff.groupBy("mesh_id", "i").agg(F.count(F.when((F.col("i") != F.col("j")) & (F.col("val") > 1e-9), 1)).alias("negative"), F.abs(F.sum("val")).alias("off"))
+    rows = rows.groupBy("mesh_id").agg(F.sum("negative").alias("negative"), F.count(F.when(F.col("off") > 1e-9, 1)).alias("unbalanced"))
+    return masses.groupBy("mesh_id").agg(F.round(F.sum("area"), 6).alias("area")).join(rows, "mesh_id").select("mesh_id", "area", "negative", "unbalanced")
