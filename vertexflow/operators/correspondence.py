@@ -47,9 +47,10 @@ def transfer(corr: DataFrame, field: DataFrame, targets: DataFrame, default: flo
 
 def functional_map(corr: DataFrame, phi_a: DataFrame, phi_b: DataFrame, mass_b: DataFrame) -> DataFrame:
     """(r, c, val): B's basis, weighted by mass, against A's basis carried over by ``corr(va, vb)``; bases are (v, m, phi)."""
-    weighted = phi_b.join(mass_b, "v").select(F.col("v").alias("vb"), F.col("m").alias("r"), (F.col("phi") * F.col("area")).alias("wb"))
-    carried = corr.select("va", "vb").join(phi_a.select(F.col("v").alias("va"), F.col("m").alias("c"), "phi"), "va")
-    return carried.join(weighted, "vb").groupBy("r", "c").agg(F.sum(F.col("wb") * F.col("phi")).alias("val"))
+    from .spectral import functional_maps
+
+    one = lambda d: d.withColumn("pair_id", F.lit(0))
+    return functional_maps(one(corr), one(phi_a), one(phi_b), one(mass_b)).select("r", "c", "val")
 
 
 def _from_identity(p: str, q: str, value: str):

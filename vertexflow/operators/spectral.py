@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +47,52 @@ def eigenvalue_report(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return v.groupBy("mesh_id").agg(F.avg(off).alias("mae"), F.max(off).alias("max_error"), pearson("gt", "pred").alias("correlation"), at(1).alias("fiedler"), (at(1) - at(0)).alias("gap"))
 
 
+def mode_products(one: DataFrame, two: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, i, j, n, a, b, aa, bb, ab): sums over vertices of all pairs of modes that both have a value.
+
+    A vertex's modes meet as two arrays, so rows stay as many as vertices; a batch's products are
+    matrices, and only they are added up. Without ``pairs(mesh_id, v, w)`` equal vertices meet.
+    Bases are (mesh_id, v, m, phi) with one row a vertex and mode.
+    """
+    listed = lambda d, v, out: d.where("phi is not null").groupBy("mesh_id", F.col("v").alias(v)).agg(F.collect_list(F.struct(F.col("m").cast("int").alias("m"), F.col("phi").cast("double").alias("phi"))).alias(out))
+    if pairs is None:
+        met = listed(one, "v", "left").join(listed(two, "v", "right"), ["mesh_id", "v"])
+    else:
+        met = pairs.select("mesh_id", "v", "w").join(listed(one, "v", "left"), ["mesh_id", "v"]).join(listed(two, "w", "right"), ["mesh_id", "w"])
+    kind = one.schema["mesh_id"].dataType
+
+    def matrices(column: pa.ListArray, rows: np.ndarray):
+        some = column.take(pa.array(rows))
+        flat, sizes = some.flatten(), np.asarray(some.value_lengths())
+        modes, place = np.unique(np.asarray(flat.field(0)), return_inverse=True)
+        value, there = np.zeros((len(rows), len(modes))), np.zeros((len(rows), len(modes)))
+        at = np.repeat(np.arange(len(rows)), sizes), place
+        value[at], there[at] = np.asarray(flat.field(1)), 1
+        return modes, value, there
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(0).dictionary_encode()
+            codes = np.asarray(keys.indices)
+            for code, key in enumerate(keys.dictionary):
+                i, x, in_x = matrices(batch.column(1), np.flatnonzero(codes == code))
+                j, y, in_y = matrices(batch.column(2), np.flatnonzero(codes == code))
+                sums = [in_x.T @ in_y, x.T @ in_y, in_x.T @ y, (x * x).T @ in_y, in_x.T @ (y * y), x.T @ y]
+                columns = [np.repeat(i, len(j)).astype(np.int32), np.tile(j, len(i)).astype(np.int32), *(s.ravel() for s in sums)]
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(columns[0]), batch.schema.field(0).type), *map(pa.array, columns)], ["mesh_id", "i", "j", *names])
+
+    names = ["n", "a", "b", "aa", "bb", "ab"]
+    parts = met.select("mesh_id", "left", "right").mapInArrow(run, f"mesh_id {kind.simpleString()}, i int, j int, " + ", ".join(f"{c} double" for c in names))
+    return parts.groupBy("mesh_id", "i", "j").agg(*(F.sum(c).alias(c) for c in names))
+
+
 def cross_correlation(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """(mesh_id, i, j, r): |Pearson correlation| of every mode of one basis with every mode of the other; 0 for a constant mode."""
-    one, two = gt.select("mesh_id", "v", F.col("m").alias("i"), F.col("phi").alias("a")), pred.select("mesh_id", "v", F.col("m").alias("j"), F.col("phi").alias("b"))
-    return one.join(two, ["mesh_id", "v"]).groupBy("mesh_id", "i", "j").agg(F.abs(pearson("a", "b")).alias("r"))
+    n, a, b, aa, bb, ab = map(F.col, ("n", "a", "b", "aa", "bb", "ab"))
+    spread = [F.greatest(n * q - s * s, F.lit(0.0)) for q, s in ((aa, a), (bb, b))]
+    constant = (spread[0] <= 1e-14 * n * aa) | (spread[1] <= 1e-14 * n * bb)
+    r = F.when(constant, 0.0).otherwise(F.abs(n * ab - a * b) / F.sqrt(spread[0] * spread[1]))
+    return mode_products(gt, pred).select("mesh_id", "i", "j", F.least(r, F.lit(1.0)).alias("r"))
 
 
 def best_matches(correlations: DataFrame) -> DataFrame:
@@ -84,8 +127,7 @@ def least_squares_coefficients(vectors: DataFrame, field: DataFrame) -> DataFram
     The products are grouped sums; only the k x k system of a mesh goes to a worker, which
     solves it, or takes the pseudo-inverse where it is singular.
     """
-    p, q = vectors.select("mesh_id", "v", F.col("m").alias("i"), F.col("phi").alias("a")), vectors.select("mesh_id", "v", F.col("m").alias("j"), F.col("phi").alias("b"))
-    gram = p.join(q, ["mesh_id", "v"]).groupBy("mesh_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+    gram = mode_products(vectors, vectors).select("mesh_id", "i", "j", F.col("ab").alias("g"))
     sides = vectors.join(field, ["mesh_id", "v"]).groupBy("mesh_id", "m", "axis").agg(F.sum(F.col("phi") * F.col("val")).alias("s"))
     kind = vectors.schema["mesh_id"].dataType.simpleString()
 
@@ -169,9 +211,10 @@ def map_quality(fmap: DataFrame) -> DataFrame:
 
 def functional_maps(corr: DataFrame, vectors_a: DataFrame, vectors_b: DataFrame, masses_b: DataFrame) -> DataFrame:
     """``fmap(pair_id, r, c, val)`` of every pair at once: B's mass-weighted modes against A's, carried by ``corr(pair_id, va, vb)``."""
-    w = vectors_b.join(masses_b, ["pair_id", "v"]).select("pair_id", F.col("v").alias("vb"), F.col("m").alias("r"), (F.col("phi") * F.col("area")).alias("b"))
-    carried = corr.select("pair_id", "va", "vb").join(vectors_a.select("pair_id", F.col("v").alias("va"), F.col("m").alias("c"), "phi"), ["pair_id", "va"])
-    return carried.join(w, ["pair_id", "vb"]).groupBy("pair_id", "r", "c").agg(F.sum(F.col("b") * F.col("phi")).alias("val"))
+    weighted = vectors_b.join(masses_b, ["pair_id", "v"]).select(F.col("pair_id").alias("mesh_id"), "v", "m", (F.col("phi") * F.col("area")).alias("phi"))
+    carried = corr.select(F.col("pair_id").alias("mesh_id"), F.col("va").alias("v"), F.col("vb").alias("w"))
+    met = mode_products(vectors_a.withColumnRenamed("pair_id", "mesh_id"), weighted, carried)
+    return met.select(F.col("mesh_id").alias("pair_id"), F.col("j").alias("r"), F.col("i").alias("c"), F.col("ab").alias("val"))
 
 
 def dense_truth(corr: DataFrame, points_a: DataFrame) -> DataFrame:

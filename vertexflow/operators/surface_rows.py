@@ -1,7 +1,7 @@
 """Families of polynomial surfaces as rows: ``surfaces(surface_id, terms array<struct<i, j, c>>, ox, oy)``.
 
-Every quantity is a column over a row's own terms, so a table of surfaces joined with a
-table of samplings is one projection and what isn't selected isn't computed.
+Derivatives are made batch by batch with numpy, all else is columns over a row's own
+derivatives, so a table of surfaces joined with a table of samplings is one pass.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .points import norm, unit
 from .surfaces import pairs
@@ -73,13 +75,40 @@ def derivative(dx: int = 0, dy: int = 0, terms: str = "terms", x: str = "x", y:
 _NEEDED = {"z": (0, 0), "zx": (1, 0), "zy": (0, 1), "zxx": (2, 0), "zxy": (1, 1), "zyy": (0, 2), "zxxx": (3, 0), "zxxy": (2, 1), "zxyy": (1, 2), "zyyy": (0, 3)}
 
 
+def with_derivatives(points: DataFrame, needed: dict[str, tuple[int, int]] = _NEEDED) -> DataFrame:
+    """``points`` with z and its derivatives at (x + ox, y + oy) by name; the powers of a batch's places are made once for all of them."""
+    names, given = list(needed), points.columns
+    at = {c: given.index(c) for c in ("terms", "x", "y", "ox", "oy")}
+
+    def run(batches):
+        for batch in batches:
+            col = {c: batch.column(i) for c, i in at.items()}
+            place = [np.nan_to_num(np.asarray(col[o].cast(pa.float64())), nan=0.0) + np.asarray(col[c].cast(pa.float64())) for c, o in (("x", "ox"), ("y", "oy"))]
+            flat = col["terms"].flatten()
+            i, j, c = (np.asarray(flat.field(k)) for k in range(3))
+            sizes = np.nan_to_num(np.asarray(col["terms"].value_lengths().cast(pa.float64())), nan=0.0).astype(int)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            px, py = (v[:, None] ** np.arange(max(int(e.max(initial=0)), 0) + 1) for v, e in zip(place, (i, j), strict=True))
+            out = []
+            for dx, dy in needed.values():
+                fine = np.flatnonzero((i >= dx) & (j >= dy))
+                value = c[fine] * px[row[fine], i[fine] - dx] * py[row[fine], j[fine] - dy]
+                for e, d in ((i[fine], dx), (j[fine], dy)):
+                    for k in range(d):
+                        value = value * (e - k)
+                out.append(pa.array(np.bincount(row[fine], value, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*given, *names])
+
+    return points.mapInArrow(run, StructType([*points.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
+
+
 def differential(points: DataFrame, flip_normals: bool = False) -> DataFrame:
     """``points(surface_id, p, x, y, terms, ox, oy)`` with derivatives, normal, shape operator, curvatures, directions, their gradients and signature.
 
     k1 >= k2; at an umbilic the directions are the x and y axes. ``flip_normals`` turns the
     normals of surfaces whose mean curvature at the origin is negative.
     """
-    d = points.withColumns({n: derivative(*o) for n, o in _NEEDED.items()})
+    d = with_derivatives(points)
     c = {n: F.col(n) for n in _NEEDED}
     w = 1 + c["zx"] * c["zx"] + c["zy"] * c["zy"]
     root = F.sqrt(w)
@@ -204,8 +233,8 @@ def areas(surfaces: DataFrame, points: int, radius: float) -> DataFrame:
     """(surface_id, area) by quadrature over the regular grid."""
     g = math.isqrt(points)
     step = 2 * radius / (g - 1)
-    slope = norm(F.lit(1.0), derivative(1, 0), derivative(0, 1))
-    return regular_sampler(points)(surfaces, radius).select("surface_id", slope.alias("s")).groupBy("surface_id").agg((F.sum("s") * step * step).alias("area"))
+    d = with_derivatives(regular_sampler(points)(surfaces, radius).select("surface_id", "terms", "x", "y", "ox", "oy"), {"zx": (1, 0), "zy": (0, 1)})
+    return d.select("surface_id", norm(F.lit(1.0), F.col("zx"), F.col("zy")).alias("s")).groupBy("surface_id").agg((F.sum("s") * step * step).alias("area"))
 
 
 def grid_faces(surfaces: DataFrame, side: int) -> DataFrame:
