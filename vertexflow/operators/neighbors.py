@@ -1,59 +1,155 @@
-"""Nearest neighbours by blocks: every task compares one bounded block with another."""
+"""Nearest neighbours by blocks: every task compares one bounded block with another, and only blocks that can matter to each other."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import checkpointed
+from ..plans.dissection import ranked
+from ..scratch import Scratch
+
+#: Points of a block, pivots of a mesh at most, bytes of all pivots that are sent to tasks, and points up to which every block of a mesh meets every other.
+BLOCK, PIVOTS, PIVOT_BYTES, SMALL = 512, 256, 32 << 20, 4 * 512
+
+
+def _best(left: pd.DataFrame, right: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
+    """The k nearest right rows of every left row. A product picks the candidates; their distances are made of differences, so equal points are at 0."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"mesh_id": [], "center": [], "block": [], "neighbor": [], "d2": []})
+    right = right.sort_values("v")
+    a, b = np.stack(left.p.to_list()).astype(float), np.stack(right.p.to_list()).astype(float)
+    ids, own = right.v.to_numpy(), left.v.to_numpy()
+    middle = b.mean(0)
+    x, y = a - middle, b - middle
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    rough = xx[:, None] + yy[None] - 2 * (x @ y.T)
+    if same:
+        rough[own[:, None] == ids[None]] = np.inf
+    few = min(k, len(b)) - 1
+    slack = 1e-12 * a.shape[1] * (xx + yy.max())
+    row, col = np.nonzero(rough <= (np.partition(rough, few, 1)[:, few] + slack)[:, None])
+    fine = np.isfinite(rough[row, col])
+    row, col = row[fine], col[fine]
+    d2 = np.zeros(len(row))
+    for c in range(a.shape[1]):
+        d2 += (a[row, c] - b[col, c]) ** 2
+    order = np.lexsort((ids[col], d2, row))
+    row, col, d2 = row[order], col[order], d2[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[kept], col[kept]
+    block = left.block.to_numpy()[row] if "block" in left else 0
+    return pd.DataFrame({"mesh_id": left.mesh_id.iloc[0], "center": own[row], "block": block, "neighbor": ids[col], "d2": d2[kept]})
+
+
+def _compared(asks: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, same: bool) -> DataFrame:
+    """(mesh_id, center, block, neighbor, d2): the best of each pair of blocks in ``pairs(mesh_id, block, other)``."""
+    kind = rows.schema["mesh_id"].dataType.simpleString()
+    left = asks.join(pairs, ["mesh_id", "block"])
+    right = rows.withColumnRenamed("block", "other").join(pairs, ["mesh_id", "other"]).select(F.col("mesh_id").alias("of"), F.col("block").alias("to"), F.col("other").alias("from"), F.col("v").alias("v"), F.col("p").alias("p"))
+    met = left.groupBy("mesh_id", "block", "other").cogroup(right.groupBy("of", "to", "from"))
+    return met.applyInPandas(lambda x, y: _best(x, y, k, same), f"mesh_id {kind}, center long, block long, neighbor long, d2 double")
+
+
+def _hashed(points: DataFrame, sizes: DataFrame) -> DataFrame:
+    return points.join(sizes, "mesh_id").select("mesh_id", "v", "p", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / BLOCK)).alias("block"))
+
+
+def _along_curve(points: DataFrame) -> DataFrame:
+    """Points of up to three dimensions in blocks of equal counts along a space-filling curve."""
+    at = [F.coalesce(F.get("p", F.lit(d)), F.lit(0.0)).alias(c) for d, c in enumerate("xyz")]
+    return points.join(ranked(points.select("mesh_id", "v", *at)), ["mesh_id", "v"]).select("mesh_id", "v", "p", F.floor(F.col("rank") / BLOCK).alias("block"))
+
+
+def _around_pivots(points: DataFrame, pivots: dict) -> DataFrame:
+    """Points in blocks of their nearest pivot; the blocks of a crowded pivot, and meshes without pivots, are dealt by a hash."""
+    sent = points.sparkSession.sparkContext.broadcast(pivots)
+    kind = points.schema["mesh_id"].dataType.simpleString()
+
+    def run(frames):
+        for f in frames:
+            for mesh, g in f.groupby("mesh_id"):
+                q = sent.value.get(mesh)
+                yield g.assign(cell=0 if q is None else ((q * q).sum(1)[None] - 2 * (np.stack(g.p.to_list()).astype(float) @ q.T)).argmin(1))
+
+    celled = points.select("mesh_id", "v", "p").mapInPandas(run, f"mesh_id {kind}, v long, p array<double>, cell long")
+    counts = celled.groupBy("mesh_id", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = celled.join(counts, ["mesh_id", "cell"])
+    return dealt.select("mesh_id", "v", "p", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("v"), F.col("parts"))).alias("block"))
 
-#: Rows of a block; a comparison holds BLOCK x BLOCK distances.
-BLOCK = 2048
 
+def _length(x: Column, y: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
 
-def _blocked(points: DataFrame, blocks: DataFrame) -> DataFrame:
-    return points.join(blocks, "mesh_id").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
 
+def _balls(rows: DataFrame, width: int, middle: str, radius: str) -> DataFrame:
+    """(mesh_id, block, middle, radius): a ball around the mean of each block's points."""
+    means = rows.groupBy("mesh_id", "block").agg(*(F.avg(F.get("p", F.lit(d))).alias(f"c{d}") for d in range(width)))
+    means = means.select("mesh_id", "block", F.array(*(f"c{d}" for d in range(width))).alias(middle))
+    return rows.join(means, ["mesh_id", "block"]).groupBy("mesh_id", "block").agg(F.first(middle).alias(middle), F.max(_length(F.col("p"), F.col(middle))).alias(radius))
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool) -> DataFrame:
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool, small: int = SMALL) -> DataFrame:
     """(mesh_id, center, rank, neighbor, dist): the k nearest ``points(mesh_id, v, p)`` of each query.
 
     ``p`` is an array of coordinates. ``same``: a point isn't its own neighbour; it is told by its
     id, so points at the same place stay neighbours. Ties go to the smaller id.
-    """
-    sizes = points.groupBy("mesh_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cuts = queries.groupBy("mesh_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = _blocked(points, sizes).join(cuts.withColumnRenamed("blocks", "cuts"), "mesh_id")
-    rows = rows.select("mesh_id", "v", "p", "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
-    asks = _blocked(queries, cuts).withColumnRenamed("block", "cut").join(sizes.withColumnRenamed("blocks", "n"), "mesh_id")
-    asks = asks.select("mesh_id", "v", "p", "cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"mesh_id": [], "center": [], "neighbor": [], "d2": []})
-        right = right.sort_values("v")
-        a, b = np.stack(left.p.to_list()).astype(float), np.stack(right.p.to_list()).astype(float)
-        ids, own = right.v.to_numpy(), left.v.to_numpy()
-        d2 = np.zeros((len(a), len(b)))
-        for i in range(a.shape[1]):  # differences, not a product: equal points are at distance 0
-            d2 += (a[:, i, None] - b[None, :, i]) ** 2
-        if same:
-            d2[own[:, None] == ids[None]] = np.inf
-        order = np.argsort(d2, 1, kind="stable")[:, :k]
-        near = np.take_along_axis(d2, order, 1)
-        fine = np.isfinite(near)
-        return pd.DataFrame({"mesh_id": left.mesh_id.iloc[0], "center": np.repeat(own, fine.sum(1)), "neighbor": ids[order][fine], "d2": near[fine]})
 
-    kind = points.schema["mesh_id"].dataType.simpleString()
-    keys = ("mesh_id", "cut", "block")
-    # other key names on one side: both may come from one table
-    rows = rows.select(*(F.col(c).alias(f"of_{c}") for c in keys), F.col("v").alias("v"), F.col("p").alias("p"))
-    found = asks.groupBy(*keys).cogroup(rows.groupBy(*(f"of_{c}" for c in keys))).applyInPandas(best, f"mesh_id {kind}, center long, neighbor long, d2 double")
+    Both sets are cut into blocks of near points: along a space-filling curve by equal counts in up
+    to three dimensions, around pivots drawn from the points in more. A block of queries first
+    meets the block whose middle is nearest; its k-th distances bound what it still needs, and
+    by the triangle inequality only blocks whose balls come that near are compared as well.
+    Work follows the points' own density; an outlier or a crowd of equal points makes no large block.
+    """
+    sizes = points.groupBy("mesh_id").agg(F.count("*").alias("n"))
+    about = points.agg(F.max(F.size("p")).alias("width")).first()
+    width = about["width"] or 1
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= small:
+        found = _every_pair(queries, points, sizes, k, same)
+    else:
+        found = _near_pairs(queries, points, k, same, width)
     order = Window.partitionBy("mesh_id", "center").orderBy("d2", "neighbor")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("mesh_id", "center", F.col("rank").cast("int").alias("rank"), "neighbor", F.sqrt("d2").alias("dist"))
+    ranked_ = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked_.select("mesh_id", "center", F.col("rank").cast("int").alias("rank"), "neighbor", F.sqrt("d2").alias("dist"))
+
+
+def _every_pair(queries: DataFrame, points: DataFrame, sizes: DataFrame, k: int, same: bool) -> DataFrame:
+    cuts = queries.groupBy("mesh_id").agg(F.count("*").alias("n"))
+    count = lambda d, n: d.select("mesh_id", F.ceil(F.col("n") / BLOCK).alias(n))
+    pairs = count(cuts, "m").join(count(sizes, "n"), "mesh_id").select("mesh_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("block"))
+    pairs = pairs.select("mesh_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    return _compared(_hashed(queries, cuts), _hashed(points, sizes), pairs, k, same)
+
+
+def _near_pairs(queries: DataFrame, points: DataFrame, k: int, same: bool, width: int) -> DataFrame:
+    scratch = Scratch(points.sparkSession, "neighbors")
+    if width <= 3:
+        cut = _along_curve
+    else:
+        large = points.groupBy("mesh_id").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        share = min(PIVOTS, PIVOT_BYTES // (8 * width * max(1, large.count())))
+        turn = F.row_number().over(Window.partitionBy("mesh_id").orderBy(F.xxhash64("v"), "v"))
+        drawn = points.join(large, "mesh_id").withColumn("turn", turn).where((F.col("turn") <= share) & (F.col("turn") * (BLOCK // 8) <= F.col("n")))
+        pivots: dict = {}
+        for r in drawn.select("mesh_id", "p").collect() if share else []:  # PIVOT_BYTES at most
+            pivots.setdefault(r["mesh_id"], []).append(r["p"])
+        pivots = {m: np.array(p, float) for m, p in pivots.items()}
+        cut = lambda d: _around_pivots(d, pivots)
+    rows = scratch.put(cut(points.select("mesh_id", F.col("v").cast("long").alias("v"), "p")))
+    asks = rows if queries is points else scratch.put(cut(queries.select("mesh_id", F.col("v").cast("long").alias("v"), "p").join(points.select("mesh_id").distinct(), "mesh_id", "left_semi")))
+    balls = scratch.put(_balls(asks, width, "middle", "radius"))
+    others = scratch.put(_balls(rows, width, "theirs", "reach").withColumnRenamed("block", "other"))
+    gap = balls.join(others, "mesh_id").select("mesh_id", "block", "other", _length(F.col("middle"), F.col("theirs")).alias("gap"), "radius", "reach")
+    first = scratch.put(gap.groupBy("mesh_id", "block").agg(F.min_by("other", F.struct("gap", "other")).alias("other")))
+    found = scratch.put(_compared(asks, rows, first, k, same))
+    # what each block of queries still needs: its largest k-th distance, without bound where a query has fewer
+    kth = found.groupBy("mesh_id", "block", "center").agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(float("inf")).alias("d2")).groupBy("mesh_id", "block").agg(F.sqrt(F.max("d2")).alias("need"), F.count("*").alias("got"))
+    needed = asks.groupBy("mesh_id", "block").agg(F.count("*").alias("n")).join(kth, ["mesh_id", "block"], "left").select("mesh_id", "block", F.when(F.col("got") == F.col("n"), F.col("need")).otherwise(float("inf")).alias("need"))
+    near = gap.join(needed, ["mesh_id", "block"]).where((F.col("gap") - F.col("radius") - F.col("reach")) * (1 - 1e-9) <= F.col("need") * (1 + 1e-9))
+    rest = scratch.put(near.select("mesh_id", "block", "other").join(first, ["mesh_id", "block", "other"], "left_anti"))
+    return found.unionByName(_compared(asks, rows, rest, k, same))
 
 
 def knn(points: DataFrame, k: int) -> DataFrame:
@@ -61,43 +157,10 @@ def knn(points: DataFrame, k: int) -> DataFrame:
     return nearest(points, points, k, True)
 
 
-def grid_knn(vertices: DataFrame, k: int, per_cell: int = 8) -> DataFrame:
-    """``knn`` of 3-D vertices (mesh_id, v, x, y, z) by equi-joins of grid cells.
-
-    A mesh's cells hold about ``per_cell`` points on average. A point's k nearest are known once k of
-    those in its 27 cells are no farther than a cell is wide; for the points that lack them
-    the cells double, until a cell spans the mesh. Every pass joins only the open points with
-    all points, so the work follows the points' local density and no block meets every other.
-    """
-    ends = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
-    span = F.greatest(*(F.col(f"hi{c}") - F.col(f"lo{c}") for c in "xyz"))
-    boxes = vertices.groupBy("mesh_id").agg(*ends, F.count("*").alias("n")).select("mesh_id", *(f"lo{c}" for c in "xyz"), "n", span.alias("span"))
-    boxes = boxes.withColumn("width", F.greatest(F.col("span") / F.greatest(F.lit(1.0), F.cbrt(F.col("n") / per_cell)), F.lit(1e-12)))
-    points = vertices.select("mesh_id", "v", "x", "y", "z")
-    rest, out, step = points, None, F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    order = Window.partitionBy("mesh_id", "center").orderBy("d2", "neighbor")
-    last = boxes.agg(F.max(F.ceil(F.log2(F.col("span") / F.col("width") + 1))).alias("n")).first()["n"] or 0
-    for level in range(int(last) + 1):
-
-        def celled(rows):
-            w = F.col("width") * 2.0**level
-            return rows.join(boxes, "mesh_id").select("mesh_id", "v", "x", "y", "z", w.alias("w"), (F.col("span") <= w).alias("whole"), "n", *(F.floor((F.col(c) - F.col(f"lo{c}")) / w).alias(f"c{c}") for c in "xyz"))
-
-        asks = celled(rest).withColumn("sx", step).withColumn("sy", step).withColumn("sz", step)
-        asks = asks.select("mesh_id", F.col("v").alias("center"), "w", "whole", F.least(F.col("n") - 1, F.lit(k)).alias("want"), *(F.col(c).alias(f"a{c}") for c in "xyz"), *((F.col(f"c{c}") + F.col(f"s{c}")).alias(f"c{c}") for c in "xyz"))
-        near = celled(points).select("mesh_id", F.col("v").alias("neighbor"), "x", "y", "z", "cx", "cy", "cz")
-        d2 = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in "yz"), (F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")))
-        met = asks.join(near, ["mesh_id", "cx", "cy", "cz"]).where("center <> neighbor").select("mesh_id", "center", "neighbor", "want", "w", "whole", d2.alias("d2"))
-        met = met.where((F.col("d2") <= F.col("w") * F.col("w")) | F.col("whole"))
-        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        full = ranked.groupBy("mesh_id", F.col("center").alias("v")).agg(F.count("*").alias("got"), F.first("want").alias("want")).where("got >= want").select("mesh_id", "v")
-        found = ranked.join(full.withColumnRenamed("v", "center"), ["mesh_id", "center"], "left_semi").select("mesh_id", "center", F.col("rank").cast("int").alias("rank"), "neighbor", F.sqrt("d2").alias("dist"))
-        found = checkpointed(found)
-        out = found if out is None else out.unionByName(found)
-        rest = checkpointed(rest.join(found.select("mesh_id", F.col("center").alias("v")).distinct(), ["mesh_id", "v"], "left_anti"))
-        if rest.isEmpty():
-            break
-    return out
+def grid_knn(vertices: DataFrame, k: int) -> DataFrame:
+    """``knn`` of 3-D vertices (mesh_id, v, x, y, z)."""
+    points = vertices.select("mesh_id", "v", F.array(*(F.col(c).cast("double") for c in "xyz")).alias("p"))
+    return knn(points, k)
 
 
 def chamfer(one: DataFrame, two: DataFrame) -> DataFrame:
