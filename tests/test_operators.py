@@ -228,6 +228,9 @@ def test_features(spark):
     patches.register_features("lengths", patches.vectorized(lambda p, n: np.linalg.norm(p, axis=1, keepdims=True)))
     patches.register_features("none", lambda rows: F.lit(None).cast("array<double>"))
     assert [r["features"] for r in patches.with_features(d, "lengths").orderBy("neighbor").collect()] == [[3.0], [5.0]]
+    patches.register_features("slopes", patches.vectorized(lambda p, n: (p * n).sum(1, keepdims=True)))
+    with_normals = d.withColumns({"nx": F.lit(0.0), "ny": F.lit(2.0), "nz": F.lit(1.0)})
+    assert [r["features"] for r in patches.with_features(with_normals, "slopes").orderBy("neighbor").collect()] == [[6.0], [10.0]]
     assert [r["features"] for r in patches.with_features(d, "none").orderBy("neighbor").collect()] == [[1.0, 2.0, 2.0], [0.0, 3.0, 4.0]]
     assert [r["features"] for r in patches.with_features(d).orderBy("neighbor").collect()] == [[1.0, 2.0, 2.0], [0.0, 3.0, 4.0]]
     top = patches.max_pooled(d, ["px", "pz"], ["patch"]).first()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_kernels import cotangent, grid, tables
 
-from vertexflow.operators import geodesics, robust, solves, spectral, topology
+from vertexflow.operators import geodesics, isospectral, robust, solves, spectral, topology
 from vertexflow.plans import dissection, exact, intrinsic, kernels
 
 
@@ -88,6 +88,50 @@ def test_heat_and_greens_are_those_of_one_worker(spark):
         assert both.filter(like="residual").iloc[:, 0].max() < 1e-7
 
 
+def test_deformation_by_one_factor_is_that_of_one_worker(spark):
+    p, f = grid(6)
+    v, t = tables(spark, p, f)
+    s, _ = cotangent(p, f)
+    i, j = np.nonzero(s - np.diag(np.diag(s)))
+    w = spark.createDataFrame([(0, int(a), int(b), float(-s[a, b])) for a, b in zip(i, j)], "mesh_id int, i long, j long, w double")
+    held = {k: p[k] + [0, 0, 0.3 * (k % 6)] for k in [*range(6), *range(30, 36)]}
+    targets = spark.createDataFrame([(0, k, *map(float, x)) for k, x in held.items()], "mesh_id int, v long, x double, y double, z double")
+    new, log = solves.deformed(v, w, targets, rounds=4, leaf=12)
+    want = kernels.arap(p, i, j, -s[i, j], held, 4)
+    assert np.allclose(new.orderBy("v").select("x", "y", "z").toPandas().to_numpy(), want, atol=1e-8)
+    steps = [r["step"] for r in log.orderBy("round").collect()]
+    assert len(steps) == 4 and steps[-1] < steps[0]
+
+
+def test_isospectral_gradient_and_descent(spark):
+    p, f = grid(5)
+    p[:, 2] *= 4
+    v, t = tables(spark, p, f)
+    rng = np.random.default_rng(0)
+    q = p + 0.02 * rng.normal(size=p.shape)
+    spectrum = lambda x: kernels.generalized_eigh(*cotangent(x, f), 6)[0]
+    want = spectrum(q)
+    targets = spark.createDataFrame([(0, m, float(x)) for m, x in enumerate(want)], "mesh_id int, m int, lam double")
+    first, _ = tables(spark, p + 0.01 * rng.normal(size=p.shape), f)
+    start = first.orderBy("v").select("x", "y", "z").toPandas().to_numpy()
+
+    def whole(x, alpha=0.0):
+        d = ((x[:, None] - start[None]) ** 2).sum(2)
+        return ((spectrum(x)[1:] - want[1:]) ** 2).mean() + alpha * (d.min(0).mean() + d.min(1).mean())
+
+    for alpha in (0.0, 50.0):
+        loss, gradient = isospectral.objective(t, v, targets, 6, first, alpha)
+        assert np.isclose(loss.first()["loss"], whole(p, alpha))
+        g = gradient.orderBy("v").select("gx", "gy", "gz").toPandas().to_numpy()
+        for k, c in ((0, 0), (7, 1), (12, 2), (18, 2)):
+            e = np.zeros_like(p)
+            e[k, c] = 1e-6
+            assert np.isclose(g[k, c], (whole(p + e, alpha) - whole(p - e, alpha)) / 2e-6, rtol=1e-4, atol=1e-4)
+    _, log = isospectral.descended(t, v, targets, 6, 3, rate=2e-3)
+    losses = [r["loss"] for r in log.orderBy("step").collect()]
+    assert losses[0] > losses[1] > losses[2]
+
+
 def flat(side):
     p, f = grid(side)
     p[:, 2] = 0

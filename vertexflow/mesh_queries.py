@@ -167,12 +167,15 @@ def mode_similarities(spark, sf_dir):
     return rounded(spectral.cosines(*modes(spark, sf_dir)))
 
 
-@query(f"WITH {VALUES} SELECT mesh_id, round(avg(((pred-gt)/(gt+1e-6))**2) FILTER (m > 0), 8) AS eigenvalue_rel_mse, round((max(pred) FILTER (m=1) - max(pred) FILTER (m=0)) / (max(gt) FILTER (m=1) - max(gt) FILTER (m=0) + 1e-6), 6) AS spectral_gap_ratio, round(corr(gt, pred), 7) AS eigenvalue_correlation, round(max(pred) FILTER (m=1) / (max(gt) FILTER (m=1) + 1e-6), 8) AS lambda1_ratio FROM z GROUP BY mesh_id")
+@query(f"""WITH {MODES}, z AS (SELECT mesh_id, m, m + sum(g.phi*g.phi) AS gt, m + sum(p.phi*p.phi) AS pred, abs(sum(g.phi*p.phi) / ((sqrt(sum(g.phi*g.phi))+1e-8)*(sqrt(sum(p.phi*p.phi))+1e-8))) AS s FROM g JOIN p USING (mesh_id, v, m) GROUP BY 1, 2)
+  SELECT mesh_id, round(avg(((pred-gt)/(gt+1e-6))**2) FILTER (m > 0), 8) AS eigenvalue_rel_mse, round((max(pred) FILTER (m=1) - max(pred) FILTER (m=0)) / (max(gt) FILTER (m=1) - max(gt) FILTER (m=0) + 1e-6), 6) AS spectral_gap_ratio, round(corr(gt, pred), 7) AS eigenvalue_correlation, round(max(pred) FILTER (m=1) / (max(gt) FILTER (m=1) + 1e-6), 8) AS lambda1_ratio,
+         round(avg(s), 8) AS eigenvector_similarity_mean, round(avg(s) FILTER (m > 0), 8) AS eigenvector_similarity_mean_skip0, round(avg(((pred-gt)/(gt+1e-6))**2) + 1 - avg(s), 8) AS spectral_distance FROM z GROUP BY mesh_id""")
 def spectral_comparison(spark, sf_dir):
-    gt, pred = eigenvalues(spark, sf_dir)
-    v = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("mesh_id"), F.col("l_orderkey").alias("v"), (F.col("l_linenumber") - 1).alias("m"), F.col("l_quantity").alias("phi"))
-    out = spectral.comparison(gt, pred, v, v)
-    return out.select("mesh_id", F.round("eigenvalue_rel_mse", 8).alias("eigenvalue_rel_mse"), F.round("spectral_gap_ratio", 6).alias("spectral_gap_ratio"), F.round("eigenvalue_correlation", 7).alias("eigenvalue_correlation"), F.round("lambda1_ratio", 8).alias("lambda1_ratio"))
+    """The embeddings' dimensions as modes; a mode's value is its number and its squared length."""
+    g, p = modes(spark, sf_dir)
+    gt, pred = (x.groupBy("mesh_id", "m").agg((F.col("m") + F.sum(F.col("phi") * F.col("phi"))).alias("lam")) for x in (g, p))
+    out = spectral.comparison(gt, pred, g, p)
+    return out.select("mesh_id", *(F.round(c, {"spectral_gap_ratio": 6, "eigenvalue_correlation": 7}.get(c, 8)).alias(c) for c in out.columns[1:]))
 
 
 @query(f"WITH {VALUES} SELECT mesh_id, round(avg(abs(pred-gt)), 7) AS mae, round(max(abs(pred-gt)), 7) AS max_error, round(corr(gt, pred), 7) AS correlation, round(max(pred) FILTER (m=1), 7) AS fiedler, round(max(pred) FILTER (m=1) - max(pred) FILTER (m=0), 6) AS gap FROM z GROUP BY mesh_id")
@@ -300,6 +303,17 @@ def boundary_loop_sizes(spark, sf_dir):
     return loops.groupBy("mesh_id").agg(F.sum("size").alias("vertices"))
 
 
+@query("WITH r AS (SELECT label AS mesh_id, vec_id AS v, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)) SELECT mesh_id, v AS component, CASE WHEN n % 2 = 0 THEN n // 2 ELSE n END AS size FROM r WHERE n > 4 AND (r = 0 OR r = 1 AND n % 2 = 0)")
+def band_loops(spark, sf_dir):
+    """Each label's embeddings as a closed band of triangles: an even number has two boundary loops, an odd one's band is twisted and has one."""
+    whole = Window.partitionBy("mesh_id")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("mesh_id"), F.col("vec_id").alias("v"))
+    e = e.select("mesh_id", "v", (F.row_number().over(whole.orderBy("v")) - 1).alias("r"), F.count("*").over(whole).alias("n")).where("n > 4")
+    ahead = lambda k: e.select("mesh_id", F.col("v").alias(f"v{k}"), F.pmod(F.col("r") - k, F.col("n")).alias("r"))
+    faces = e.select("mesh_id", F.col("v").alias("v0"), "r").join(ahead(1), ["mesh_id", "r"]).join(ahead(2), ["mesh_id", "r"]).select("mesh_id", F.col("r").alias("f"), "v0", "v1", "v2")
+    return graphs.component_sizes(graphs.boundary_loops(faces))
+
+
 @query(f"WITH {SPACE}, s AS (SELECT *, CASE WHEN v % 5 = 0 THEN 'nan'::DOUBLE WHEN v % 3 = 0 THEN NULL ELSE x END AS dist FROM space) SELECT mesh_id, v AS source, v, coalesce(CASE WHEN isnan(dist) THEN NULL ELSE dist END, y) AS dist, CASE WHEN dist IS NULL OR isnan(dist) THEN 1 ELSE 0 END AS method FROM s")
 def first_distances(spark, sf_dir):
     s = space(spark, sf_dir)
@@ -399,10 +413,10 @@ def bridged_matches(spark, sf_dir):
     return correspondence.in_range(correspondence.by_bridge(a, bridge, b), n, n)
 
 
-@query(f"WITH {SPACE}, c AS (SELECT v AS ref, v AS va, v * 3 % 211 AS vb FROM space), w AS (SELECT vb, arg_max(x, ref) AS val FROM c JOIN space ON va = v GROUP BY vb) SELECT v, round(coalesce(val, -1), 9) AS val FROM space LEFT JOIN w ON v = vb")
+@query(f"WITH {SPACE}, c AS (SELECT v AS ref, v AS va, v * 3 % ((SELECT count(*) FROM space) // 2 + 1) AS vb FROM space), w AS (SELECT vb, arg_max(x, ref) AS val FROM c JOIN space ON va = v GROUP BY vb) SELECT v, round(coalesce(val, -1), 9) AS val FROM space LEFT JOIN w ON v = vb")
 def transferred_values(spark, sf_dir):
     s = space(spark, sf_dir)
-    corr = s.select(F.col("v").alias("ref"), F.col("v").alias("va"), (F.col("v") * 3 % 211).alias("vb"))
+    corr = s.select(F.col("v").alias("ref"), F.col("v").alias("va"), (F.col("v") * 3 % (s.count() // 2 + 1)).alias("vb"))
     return rounded(correspondence.transfer(corr, s.select("v", F.col("x").alias("val")), s.select("v"), -1.0))
 
 
@@ -445,9 +459,9 @@ def places_in_patches(spark, sf_dir):
     return points.patch_positions(lines(spark, sf_dir)).select("patch", "rank", "pos")
 
 
-@query("SELECT p_partkey AS center, round(coalesce(avg(l_quantity), 1e-6), 9) AS area FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 45 GROUP BY 1")
+@query("SELECT p_partkey AS center, round(coalesce(avg(l_quantity), 1e-6), 9) AS area FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1")
 def mass_diagonal(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.lit(0).alias("mesh_id"), F.col("l_partkey").alias("center"), F.col("l_quantity").alias("area"))
+    rows = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("mesh_id"), F.col("l_partkey").alias("center"), F.col("l_quantity").alias("area"))
     every = table(spark, sf_dir, "part").select(F.lit(0).alias("mesh_id"), F.col("p_partkey").alias("v"))
     return rounded(sparse.mass(rows, every).select(F.col("i").alias("center"), "area"))
 
@@ -526,14 +540,14 @@ def fastest_runs(spark, sf_dir):
     return rounded(metrics.timings(runs))
 
 
-@query("SELECT event_id, round(abs(value - user_id), 9) AS abs_error, round(100 * abs(value - user_id) / (abs(user_id) + 1e-10), 6) AS percent_error FROM events WHERE user_id > 0")
+@query("SELECT event_id, round(abs(value - user_id), 9) AS abs_error, round(100 * abs(value - user_id) / (abs(user_id) + 1e-10), 6) AS percent_error FROM events")
 def estimate_errors(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id > 0")
+    e = table(spark, sf_dir, "events")
     return metrics.curvature_errors(e, "user_id", "value").select("event_id", F.round("abs_error", 9).alias("abs_error"), F.round("percent_error", 6).alias("percent_error"))
 
 
 @query()
 def distance_validation(spark, sf_dir):
-    """Every strip's heat distances from five farthest points, against paths along edges."""
+    """Every strip's heat distances from five farthest points, against exact ones."""
     v, f = strip_vertices(spark, sf_dir), strip_faces(spark, sf_dir)
     return geodesics.validated(topology.cotangent_laplacian(f, v), topology.barycentric_mass(f, v), None, f, v)

@@ -1,22 +1,16 @@
-"""Connected components of mesh graphs, as DataFrame rounds with checkpointed lineage."""
+"""Connected components of mesh graphs, as DataFrame rounds whose labels are written each round."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; a folder of this machine is set only for a local session without one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vertexflow-"))
-    return df.checkpoint()
+    """``df`` written to the shared folder, where it stays until the driver ends."""
+    return Scratch(df.sparkSession, "kept").put(df)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -26,16 +20,19 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     label, so paths shorten by halves. Every label is the id of a node of the same component.
     """
     both = edges.select("mesh_id", "a", "b").unionByName(edges.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both, labels = checkpointed(both), checkpointed(nodes.select("mesh_id", "v", F.col("v").alias("component")).distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    both, labels, held = scratch.put(both), scratch.put(nodes.select("mesh_id", "v", F.col("v").alias("component")).distinct()), None
     while True:
         seen = labels.select("mesh_id", F.col("v").alias("b"), "component")
         near = both.join(seen, ["mesh_id", "b"]).groupBy("mesh_id", F.col("a").alias("v")).agg(F.min("component").alias("near"))
         hooked = labels.join(near, ["mesh_id", "v"], "left").select("mesh_id", "v", F.least("component", "near").alias("hook"), F.col("component").alias("was"))
         of = hooked.select("mesh_id", F.col("v").alias("hook"), F.col("hook").alias("jump"))
-        moved = checkpointed(hooked.join(of, ["mesh_id", "hook"]).select("mesh_id", "v", F.col("jump").alias("component"), "was"))
+        moved = scratch.put(hooked.join(of, ["mesh_id", "hook"]).select("mesh_id", "v", F.col("jump").alias("component"), "was"))
         changed = not moved.where("component <> was").isEmpty()
-        labels = moved.select("mesh_id", "v", "component")
+        scratch.drop(held)
+        labels, held = moved.select("mesh_id", "v", "component"), moved
         if not changed:
+            scratch.drop(both)
             return labels
 
 

@@ -47,13 +47,6 @@ def vector_losses(rows: DataFrame, keys: list[str], eps: float = 1e-8) -> DataFr
     return rows.groupBy(*keys).agg(F.avg(square / 3).alias("vector_mse"), F.avg(1 - cos).alias("direction_cosine"), F.avg((lp - lt) * (lp - lt)).alias("magnitude_mse"), F.avg(relative * relative).alias("relative_magnitude"), F.avg(logs * logs).alias("log_magnitude"))
 
 
-def spectral_errors(values: DataFrame, keys: list[str]) -> DataFrame:
-    """``values(keys, m, gt, pred)``: mean and largest absolute error, squared relative error without mode 0, correlation."""
-    off = F.abs(F.col("gt") - F.col("pred"))
-    relative = (F.col("pred") - F.col("gt")) / (F.abs(F.col("gt")) + 1e-6)
-    return values.groupBy(*keys).agg(F.avg(off).alias("mae"), F.max(off).alias("max_error"), F.avg(F.when(F.col("m") > 0, relative * relative)).alias("relative_mse"), pearson("gt", "pred").alias("correlation"))
-
-
 def running_best(log: DataFrame, value: str, order: str, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumn("best", F.max(value).over(w)).withColumn("improved", F.col(value) >= F.col("best"))

@@ -131,7 +131,7 @@ def _near_pairs(queries: DataFrame, points: DataFrame, k: int, same: bool, width
         large = points.groupBy("mesh_id").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
         share = min(PIVOTS, PIVOT_BYTES // (8 * width * max(1, large.count())))
         turn = F.row_number().over(Window.partitionBy("mesh_id").orderBy(F.xxhash64("v"), "v"))
-        drawn = points.join(large, "mesh_id").withColumn("turn", turn).where((F.col("turn") <= share) & (F.col("turn") * (BLOCK // 8) <= F.col("n")))
+        drawn = points.join(large, "mesh_id").withColumn("turn", turn).where((F.col("turn") <= share) & (F.col("turn") * (BLOCK // 4) <= F.col("n")))
         pivots: dict = {}
         for r in drawn.select("mesh_id", "p").collect() if share else []:  # PIVOT_BYTES at most
             pivots.setdefault(r["mesh_id"], []).append(r["p"])

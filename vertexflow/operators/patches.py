@@ -16,11 +16,14 @@ PARTS = ("px", "py", "pz")
 
 
 def extract(near: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Positions of ``near(mesh_id, center, rank, neighbor)`` relative to their centre."""
+    """Positions of ``near(mesh_id, center, rank, neighbor)`` relative to their centre, with the neighbours' normals where vertices have any."""
+    normals = [c for c in ("nx", "ny", "nz") if c in vertices.columns]
     at = vertices.select("mesh_id", "v", "x", "y", "z")
+    if normals:
+        near = near.join(vertices.select("mesh_id", F.col("v").alias("neighbor"), *normals), ["mesh_id", "neighbor"])
     ends = near.join(at.withColumnRenamed("v", "neighbor"), ["mesh_id", "neighbor"])
     own = at.select("mesh_id", F.col("v").alias("center"), *(F.col(a).alias(f"c{a}") for a in "xyz"))
-    return ends.join(own, ["mesh_id", "center"]).select("mesh_id", F.col("center").alias("patch"), "rank", "neighbor", *((F.col(a) - F.col(f"c{a}")).alias(f"p{a}") for a in "xyz"))
+    return ends.join(own, ["mesh_id", "center"]).select("mesh_id", F.col("center").alias("patch"), "rank", "neighbor", *((F.col(a) - F.col(f"c{a}")).alias(f"p{a}") for a in "xyz"), *normals)
 
 
 def scaled(patches: DataFrame, features: list[str] = list(PARTS)) -> DataFrame:
@@ -42,14 +45,13 @@ def register_features(name: str, extractor: Callable[[DataFrame], Column]) -> No
 
 
 def vectorized(function: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[DataFrame], Column]:
-    """An extractor of a function of positions (n, 3) and normals (n, 3) to features (n, d), run on Arrow batches."""
+    """An extractor of a function of positions (n, 3) and normals (n, 3) to features (n, d), run on Arrow batches; rows without nx, ny and nz have zeros as normals."""
 
     @F.pandas_udf("array<double>")
-    def run(px: pd.Series, py: pd.Series, pz: pd.Series) -> pd.Series:
-        p = np.stack([px, py, pz], 1)
-        return pd.Series(list(np.asarray(function(p, np.zeros_like(p)), float)))
+    def run(px: pd.Series, py: pd.Series, pz: pd.Series, nx: pd.Series, ny: pd.Series, nz: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(function(np.stack([px, py, pz], 1), np.stack([nx, ny, nz], 1)), float)))
 
-    return lambda rows: run(*map(F.col, PARTS))
+    return lambda rows: run(*map(F.col, PARTS), *((F.col(c) if c in rows.columns else F.lit(0.0)).cast("double") for c in ("nx", "ny", "nz")))
 
 
 def with_features(patches: DataFrame, name: str = "xyz") -> DataFrame:

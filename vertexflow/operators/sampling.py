@@ -154,10 +154,9 @@ def val_draws(pairs: DataFrame, poses: DataFrame, count: int) -> DataFrame:
     return every.withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= count).select("a", "b", "pose_a", "pose_b")
 
 
-def largest(rows: DataFrame, value: str, count: int, keys: list[str]) -> DataFrame:
-    """The ``count`` largest rows by a column, a row's keys on ties."""
-    return rows.orderBy(F.desc(value), *keys).limit(count)
-
-
-def uniform(seed: int, *keys: Column) -> Column:
-    return _seeded(seed, *keys)
+def largest(rows: DataFrame, value: str, count: int, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """The ``count`` largest rows by a column, of each group ``by`` or of all; a row's keys on ties."""
+    if not by:
+        return rows.orderBy(F.desc(value), *keys).limit(count)
+    order = Window.partitionBy(*by).orderBy(F.desc(value), *keys)
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= count).drop("_rank")

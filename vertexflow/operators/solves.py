@@ -178,3 +178,65 @@ def _turned(width: int):
                 yield g[["mesh_id", "v", "area", "shift"]].assign(x=list(np.stack(g.y.to_list()) @ c), sx=list(np.stack(g.sy.to_list()) @ c))
 
     return run
+
+
+def deformed(vertices: DataFrame, weights: DataFrame, targets: DataFrame, rounds: int = 20, tol: float = 1e-6, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """((mesh_id, v, x, y, z), (mesh_id, round, step, change)): vertices as rigid as possible while ``targets(mesh_id, v, x, y, z)`` are met, and how far each round moved them.
+
+    ``weights(mesh_id, i, j, w)`` holds both directions of each edge. The reduced system of the
+    free vertices is factored once for all rounds and all three coordinates; a round sums up
+    each vertex's covariances, takes their rotations batch by batch and solves. A mesh stays as
+    it is once two rounds' steps differ by less than ``tol``.
+    """
+    scratch = Scratch(vertices.sparkSession, "deformed")
+    kind = vertices.schema["mesh_id"].dataType.simpleString()
+    rest = scratch.put(vertices.select("mesh_id", F.col("v").cast("long").alias("v"), *(F.col(a).cast("double").alias(a) for a in "xyz")))
+    held = scratch.put(targets.select("mesh_id", F.col("v").cast("long").alias("v"), *(F.col(a).cast("double").alias(f"t{a}") for a in "xyz")))
+    at = lambda d, n, p: d.select("mesh_id", F.col("v").alias(n), *(F.col(a).alias(f"{p}{a}") for a in "xyz"))
+    edges = weights.select("mesh_id", "i", "j", "w").join(at(rest, "i", "a"), ["mesh_id", "i"]).join(at(rest, "j", "b"), ["mesh_id", "j"])
+    edges = scratch.put(edges.select("mesh_id", "i", "j", "w", *((F.col(f"a{a}") - F.col(f"b{a}")).alias(f"e{a}") for a in "xyz")))
+    free = scratch.put(rest.join(held, ["mesh_id", "v"], "left_anti"))
+    ids = lambda n: free.select("mesh_id", F.col("v").alias(n))
+    inner = edges.join(ids("i"), ["mesh_id", "i"], "left_semi")
+    diagonal = inner.groupBy("mesh_id", "i").agg(F.sum("w").alias("val")).select("mesh_id", "i", F.col("i").alias("j"), "val")
+    off = inner.join(ids("j"), ["mesh_id", "j"], "left_semi").select("mesh_id", "i", "j", (-F.col("w")).alias("val"))
+    factor = Factor(off.unionByName(diagonal).groupBy("mesh_id", "i", "j").agg(F.sum("val").alias("val")), free, leaf)
+    pull = inner.join(held.withColumnRenamed("v", "j"), ["mesh_id", "j"]).select("mesh_id", F.col("i").alias("v"), *((F.col("w") * F.col(f"t{a}")).alias(f"s{a}") for a in "xyz"))
+    pull = scratch.put(pull)
+    p = rest.join(held, ["mesh_id", "v"], "left").select("mesh_id", "v", *(F.coalesce(f"t{a}", a).alias(a) for a in "xyz"))
+    p, log, last = scratch.put(p), None, None
+    for turn in range(rounds):
+        both = edges.join(at(p, "i", "p"), ["mesh_id", "i"]).join(at(p, "j", "q"), ["mesh_id", "j"])
+        sums = [F.sum(F.col("w") * F.col(f"e{a}") * (F.col(f"p{b}") - F.col(f"q{b}"))).alias(f"c{a}{b}") for a in "xyz" for b in "xyz"]
+        turns = both.groupBy("mesh_id", F.col("i").alias("v")).agg(*sums).mapInPandas(_rotations, f"mesh_id {kind}, v long, r array<double>")
+        turned = lambda n, c: turns.select("mesh_id", F.col("v").alias(n), F.col("r").alias(c))  # noqa: E731, B023
+        met = edges.join(ids("i"), ["mesh_id", "i"], "left_semi").join(turned("i", "ri"), ["mesh_id", "i"]).join(turned("j", "rj"), ["mesh_id", "j"])
+        side = [(0.5 * F.col("w") * sum((F.col("ri")[3 * a + b] + F.col("rj")[3 * a + b]) * F.col(f"e{c}") for b, c in enumerate("xyz"))).alias(f"s{n}") for a, n in enumerate("xyz")]
+        rhs = met.select("mesh_id", F.col("i").alias("v"), *side).unionByName(pull).groupBy("mesh_id", "v").agg(F.array(*(F.sum(f"s{a}") for a in "xyz")).alias("b"))
+        x = factor.solve(rhs, 3)
+        new = p.join(x.withColumnRenamed("x", "new"), ["mesh_id", "v"], "left")
+        moved = new.where("new is not null").groupBy("mesh_id").agg(F.sqrt(F.sum(sum((F.col("new")[i] - F.col(a)) * (F.col("new")[i] - F.col(a)) for i, a in enumerate("xyz")))).alias("step"))
+        if last is None:
+            state = moved.select("mesh_id", "step", F.lit(float("inf")).alias("change"), F.lit(False).alias("rested"))
+        else:
+            was = last.select("mesh_id", F.col("step").alias("before"), (F.col("rested") | (F.col("change") < tol)).alias("rested"))
+            state = moved.join(was, "mesh_id").select("mesh_id", "step", F.abs(F.col("step") - F.col("before")).alias("change"), "rested")
+        last = scratch.put(state)
+        go = last.where("not rested").select("mesh_id", F.lit(True).alias("go"))
+        old, p = p, scratch.put(new.join(go, "mesh_id", "left").select("mesh_id", "v", *(F.when(F.col("go") & F.col("new").isNotNull(), F.col("new")[i]).otherwise(F.col(a)).alias(a) for i, a in enumerate("xyz"))))
+        scratch.drop(old)
+        factor.scratch.drop(x)
+        one = last.where("not rested").select("mesh_id", F.lit(turn + 1).alias("round"), "step", "change")
+        log = one if log is None else log.unionByName(one)
+        if last.where(~F.col("rested") & (F.col("change") >= tol)).isEmpty():
+            break
+    factor.close()
+    return p, log
+
+
+def _rotations(frames):
+    from ..plans.kernels import rotations
+
+    for f in frames:
+        c = f[[f"c{a}{b}" for a in "xyz" for b in "xyz"]].to_numpy(float).reshape(-1, 3, 3)
+        yield pd.DataFrame({"mesh_id": f.mesh_id, "v": f.v, "r": list(rotations(c).reshape(-1, 9))})

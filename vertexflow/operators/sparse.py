@@ -13,10 +13,6 @@ def summed(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (p.select("mesh_id", "i", "j", "val") for p in parts)).groupBy("mesh_id", "i", "j").agg(F.sum("val").alias("val"))
 
 
-def scaled(coo: DataFrame, factor: float) -> DataFrame:
-    return coo.withColumn("val", F.col("val") * factor)
-
-
 def transposed(coo: DataFrame) -> DataFrame:
     return coo.select("mesh_id", F.col("j").alias("i"), F.col("i").alias("j"), "val")
 

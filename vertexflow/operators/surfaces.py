@@ -47,10 +47,6 @@ def grid(spark: SparkSession, points: int, radius: float) -> DataFrame:
     return spark.range(g * g).select(F.col("id").alias("p"), (i * step - radius).alias("x"), (j * step - radius).alias("y"))
 
 
-def random_grid(spark: SparkSession, points: int, radius: float, seed: int) -> DataFrame:
-    return spark.range(points).select(F.col("id").alias("p"), ((F.rand(seed) * 2 - 1) * radius).alias("x"), ((F.rand(seed + 1) * 2 - 1) * radius).alias("y"))
-
-
 def area(spark: SparkSession, terms, points: int, radius: float) -> DataFrame:
     """Quadrature of sqrt(1 + zx^2 + zy^2) on the grid."""
     g = math.isqrt(points)

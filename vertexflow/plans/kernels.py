@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Meshes of up to this many vertices get their spectrum from a dense solver.
 DENSE = 1500
+#: Relative residual beyond which a solve has failed.
+LOST = 0.5
 
 
 class Sparse:
@@ -63,7 +65,10 @@ def dense(coo: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
 
 
 def solve(a: Sparse, b: np.ndarray, tol: float = 1e-12, rounds: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
-    """a x = b for a symmetric positive (semi-)definite matrix, by conjugate gradients scaled by the diagonal; b may have columns."""
+    """a x = b for a symmetric positive (semi-)definite matrix, by conjugate gradients scaled by the diagonal; b may have columns.
+
+    Raises where a residual stays above ``LOST`` of its right-hand side, as it does for matrices that are not positive.
+    """
     flat = b.ndim == 1
     b = b[:, None] if flat else b
     d = a.diagonal()
@@ -82,6 +87,9 @@ def solve(a: Sparse, b: np.ndarray, tol: float = 1e-12, rounds: int | None = Non
         z = scale * r
         new = (r * z).sum(0)
         p, rz = z + new / np.where(rz > 0, rz, np.inf) * p, new
+    left = float((np.linalg.norm(b - a @ x, axis=0) / np.maximum(np.linalg.norm(b, axis=0), 1e-300)).max(initial=0))
+    if not left <= LOST:
+        raise ArithmeticError(f"conjugate gradients end with a relative residual of {left:.2g}")
     return x[:, 0] if flat else x
 
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import correspondence, metrics, neighbors, points, sparse, surfaces, topology
+from .operators import correspondence, metrics, neighbors, points, sparse, topology
 from .plans import kernels
 
-TERMS = [(1, 0, 0.3), (0, 1, -0.2), (2, 0, 0.7), (1, 1, 0.4), (0, 2, -0.5), (3, 0, 0.1)]
 QUERIES, ORACLE_SQL = {}, {}
 
 
@@ -143,23 +142,6 @@ def mesh_degrees(spark, sf_dir):
     return topology.one_ring(strip_faces(spark, sf_dir)).groupBy("v").agg(F.count("*").alias("degree"))
 
 
-Z = " + ".join(f"({c}) * x**{i} * y**{j}" for i, j, c in TERMS)
-GRID = "g AS (SELECT id AS p, (id // 12) * (2.0 / 11) - 1 AS x, (id % 12) * (2.0 / 11) - 1 AS y FROM (SELECT unnest(generate_series(0, 143)) AS id))"
-DERIVED = f"d AS (SELECT p, {Z} AS z, 0.3 + 1.4*x + 0.4*y + 0.3*x*x AS zx, -0.2 + 0.4*x - 1.0*y AS zy, 1.4 + 0.6*x AS zxx, 0.4 AS zxy, -1.0 AS zyy FROM (SELECT p, CAST(x AS DOUBLE) x, CAST(y AS DOUBLE) y FROM g))"
-
-
-@query(f"WITH {GRID}, {DERIVED}, e AS (SELECT *, 1 + zx*zx + zy*zy AS w FROM d), h AS (SELECT *, ((1+zy*zy)*zxx - 2*zx*zy*zxy + (1+zx*zx)*zyy) / (2*w*sqrt(w)) AS H, (zxx*zyy - zxy*zxy)/(w*w) AS K FROM e) SELECT p, round(z, 9) z, round(-zx/sqrt(w), 9) nx, round(-zy/sqrt(w), 9) ny, round(1/sqrt(w), 9) nz, round(H, 9) AS mean_curvature, round(K, 9) AS gauss_curvature, round(H + sqrt(greatest(H*H-K, 0)), 9) AS k1, round(H - sqrt(greatest(H*H-K, 0)), 9) AS k2 FROM h")
-def surface_geometry(spark, sf_dir):
-    q = surfaces.geometry(TERMS, F.col("x"), F.col("y"))
-    names = {"H": "mean_curvature", "K": "gauss_curvature"}
-    return surfaces.grid(spark, 144, 1.0).select("p", *(F.round(c, 9).alias(names.get(n, n)) for n, c in q.items()))
-
-
-@query(f"WITH {GRID}, {DERIVED} SELECT round(sum(sqrt(1 + zx*zx + zy*zy)) * (2.0/11) * (2.0/11), 9) AS area FROM d")
-def surface_area(spark, sf_dir):
-    return surfaces.area(spark, TERMS, 144, 1.0).select(F.round("area", 9).alias("area"))
-
-
 #: Folded embeddings against the next one; every seventh pair is parallel and tiny, which a product of lengths would floor wrongly.
 NEXT = f"f AS (SELECT vec_id, label, {FOLD} FROM embeddings), s AS (SELECT *, CASE WHEN vec_id % 7 = 0 THEN 1e-5 ELSE 1 END k FROM f), q AS (SELECT a.label, a.k*a.x px, a.k*a.y py, a.k*a.z pz, CASE WHEN a.vec_id % 7 = 0 THEN 10*a.k*a.x ELSE b.x END tx, CASE WHEN a.vec_id % 7 = 0 THEN 10*a.k*a.y ELSE b.y END ty, CASE WHEN a.vec_id % 7 = 0 THEN 10*a.k*a.z ELSE b.z END tz FROM s a JOIN s b ON b.vec_id = a.vec_id + 1), n AS (SELECT *, sqrt(px*px+py*py+pz*pz) lp, sqrt(tx*tx+ty*ty+tz*tz) lt FROM q), u AS (SELECT *, px/greatest(lp,1e-8) ux, py/greatest(lp,1e-8) uy, pz/greatest(lp,1e-8) uz, tx/greatest(lt,1e-8) wx, ty/greatest(lt,1e-8) wy, tz/greatest(lt,1e-8) wz FROM n)"
 
@@ -194,11 +176,12 @@ def bijective_matches(spark, sf_dir):
     return correspondence.bijective(correspondence.by_template(a, b)).select("ref", "va", "vb")
 
 
-@query("WITH f AS (SELECT vec_id ref_src, vec_id * 3 % 101 ref_dst FROM embeddings), i AS (SELECT ref_dst ref_src, max(ref_src) ref_dst FROM f GROUP BY ref_dst), h AS (SELECT vec_id ref_src, vec_id % 149 AS hub FROM embeddings) SELECT h.ref_src, i.ref_dst FROM h LEFT JOIN i ON h.hub = i.ref_src")
+@query("WITH f AS (SELECT vec_id ref_src, vec_id * 3 % ((SELECT count(*) FROM embeddings) // 5 * 2 + 1) ref_dst FROM embeddings), i AS (SELECT ref_dst ref_src, max(ref_src) ref_dst FROM f GROUP BY ref_dst), h AS (SELECT vec_id ref_src, vec_id % ((SELECT count(*) FROM embeddings) // 3 + 1) AS hub FROM embeddings) SELECT h.ref_src, i.ref_dst FROM h LEFT JOIN i ON h.hub = i.ref_src")
 def two_hop_bridge(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    f = e.select(F.col("vec_id").alias("ref_src"), (F.col("vec_id") * 3 % 101).alias("ref_dst"))
-    return correspondence.two_hops(e.select(F.col("vec_id").alias("ref_src"), (F.col("vec_id") % 149).alias("ref_dst")), correspondence.inverted(f))
+    n = e.count()
+    f = e.select(F.col("vec_id").alias("ref_src"), (F.col("vec_id") * 3 % (n // 5 * 2 + 1)).alias("ref_dst"))
+    return correspondence.two_hops(e.select(F.col("vec_id").alias("ref_src"), (F.col("vec_id") % (n // 3 + 1)).alias("ref_dst")), correspondence.inverted(f))
 
 
 BASIS = "b AS (SELECT vec_id v, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) m, embedding FROM embeddings), phi AS (SELECT v, m, CAST(embedding[m + 1] AS DOUBLE) phi FROM b)"
