@@ -388,3 +388,27 @@ def validated(stiff: DataFrame, masses: DataFrame, grad: DataFrame | None, faces
         computed = learned_geodesics(stiff, masses, grad, sources)
     known = computed.where(finite(F.col("dist")))
     return multi_source(geodesic_metrics(known, exact_geodesics(faces, vertices, sources), samples, seed), vertices)
+
+
+def mesh_diagnostics(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """A row a mesh: vertices, faces, edges by kind, components of its edges, boundary loops and Euler characteristic of what its faces use."""
+    from . import graphs
+    from .topology import corners, edges
+
+    e = edges(faces)
+    used = corners(faces).select("mesh_id", "v").distinct()
+    counted = lambda d, name: d.groupBy("mesh_id").agg(F.count("*").alias(name))
+    kinds = e.groupBy("mesh_id").agg(F.count("*").alias("edges"), *(F.count(F.when(F.col("kind") == k, 1)).alias(n) for k, n in (("boundary", "boundary_edges"), ("non-manifold", "non_manifold_edges"))))
+    parts = graphs.component_sizes(graphs.components(e.select("mesh_id", "a", "b"), used))
+    loops = graphs.component_sizes(graphs.boundary_loops(faces))
+    out = counted(vertices, "vertices")
+    for d in (counted(used, "used"), counted(faces, "faces"), kinds, counted(parts, "components"), counted(loops, "loops")):
+        out = out.join(d, "mesh_id", "left")
+    out = out.fillna(0)
+    return out.withColumn("euler", F.col("used") - F.col("edges") + F.col("faces")).drop("used")
+
+
+def greens_report(methods: dict[str, tuple[DataFrame, DataFrame]], faces: DataFrame, vertices: DataFrame, samples: int = 5000, seed: int = 0) -> DataFrame:
+    """One long table of methods' Green's functions on the same meshes: the maximum-principle checks of each (greens, distances) by ``method``, with the mesh's diagnostics in every row."""
+    rows = [maximum_principle(g, d, samples=samples, seed=seed).withColumn("method", F.lit(m)) for m, (g, d) in methods.items()]
+    return reduce(DataFrame.unionByName, rows).join(mesh_diagnostics(faces, vertices), "mesh_id", "left")
