@@ -26,6 +26,10 @@ from .pieces import encoder, sized_batches
 from .store import Store
 
 
+#: Bytes of texts whose pieces are held at once (a text at least).
+HELD = 4 << 20
+
+
 def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Placements (length, first rank, ranks, first sequence, offset) for ``counts`` pieces of each length.
 
@@ -78,7 +82,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, drops_spa
     def run(batches):
         own = encoder(path, drops_space, "<u4", query)
         for batch in batches:
-            for part in sized_batches(batch):
+            for part in sized_batches(batch, 1, HELD):
                 rows = []
                 for key, x in zip(part.column(0).to_pylist(), own.values(part.column(1))):
                     x += end
