@@ -245,6 +245,22 @@ def test_stars_are_the_delaunay_triangles_of_the_plane():
     assert intrinsic.stars(np.zeros((4, 2))).shape == (0, 2) and intrinsic.stars(np.array([[1.0, 0], [2.0, 0]])).shape == (0, 2)
 
 
+def test_plane_triangulations_of_many_and_of_awkward_points():
+    rng = np.random.default_rng(2)
+    p = rng.random((60, 2))
+    want = {tuple(sorted((a, x, y))) for a in range(60) for x, y in intrinsic.stars(p - p[a]).tolist()}
+    assert {tuple(sorted(t)) for t in intrinsic.delaunay(p).tolist()} == want
+    area = lambda q, t: ((q[t[:, 1]] - q[t[:, 0]]) * (q[t[:, 2]] - q[t[:, 0]])[:, ::-1] @ [1, -1]) / 2
+    i, j = np.divmod(np.arange(400), 20)
+    grid_ = np.stack([i, j], 1) / 19
+    many = rng.random((5000, 2))
+    for q, whole in ((grid_, 1.0), (np.concatenate([grid_, grid_[:7]]), 1.0), (np.array([[0, 0], [1, 0], [2, 0], [3, 0], [1.0, 1]]), 1.5), (many, None)):
+        t = intrinsic.delaunay(q)
+        assert (area(q, t) > 0).all() and (whole is None or np.isclose(area(q, t).sum(), whole))
+    assert len(t) > 9900 and len(np.unique(t)) == 5000
+    assert len(intrinsic.delaunay(np.array([[0, 0], [1, 1], [2, 2.0]]))) == 0
+
+
 def test_cloud_laplacian_has_a_spheres_spectrum(spark):
     n = 400
     z = 1 - (2 * np.arange(n) + 1) / n

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..plans import intrinsic
 from .points import norm, unit
 from .surfaces import pairs
 
@@ -246,36 +247,10 @@ def grid_faces(surfaces: DataFrame, side: int) -> DataFrame:
 
 
 def triangulate(xy: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of plane points, added one by one: each point replaces the triangles whose circle holds it by a fan over their outline."""
-    n = len(xy)
-    if n < 3:
+    """Delaunay triangles of plane points."""
+    if len(xy) < 3:
         raise ValueError("a triangulation needs three points or more")
-    centre, far = xy.mean(0), max(np.ptp(xy, 0).max(), 1e-12) * 1e4
-    p = np.vstack([xy, centre + far * np.array([[-2.0, -1.0], [2.0, -1.0], [0.0, 2.0]])])
-
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = p[list(t)]
-        bx, by, cx, cy = bx - ax, by - ay, cx - ax, cy - ay
-        d = 2 * (bx * cy - by * cx)
-        if abs(d) < 1e-300:
-            return np.inf, np.inf, np.inf
-        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        return ux + ax, uy + ay, ux * ux + uy * uy
-
-    triangles = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for i in np.argsort(xy[:, 0], kind="stable"):
-        x, y = p[i]
-        hit = [t for t, (cx, cy, r) in triangles.items() if (x - cx) ** 2 + (y - cy) ** 2 < r * (1 - 1e-12)]
-        sides: dict[frozenset, tuple[int, int]] = {}
-        for t in hit:
-            del triangles[t]
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                if sides.pop(frozenset(e), None) is None:
-                    sides[frozenset(e)] = e
-        for a, b in sides.values():
-            t = (a, b, int(i))
-            triangles[t] = circle(t)
-    return np.array(sorted(t for t in triangles if max(t) < n), np.int64).reshape(-1, 3)
+    return intrinsic.delaunay(xy)
 
 
 def delaunay(points: DataFrame) -> DataFrame:

@@ -43,12 +43,17 @@ class Cover:
         a, b, c = np.sort(self.length.reshape(-1, 3), 1)[:, ::-1].T  # stable for needles
         return 0.25 * np.sqrt(np.maximum((a + (b + c)) * (c - (a - b)) * (c + (a - b)) * (a + (b - c)), 1e-300))
 
-    def flip_to_delaunay(self, eps: float = 1e-10) -> int:
-        """Flips made; edges at boundaries and between a triangle and itself stay."""
+    def flip_to_delaunay(self, eps: float = 1e-10, plane: np.ndarray | None = None) -> int:
+        """Flips made; edges at boundaries and between a triangle and itself stay. Positions in the ``plane`` are used where they are known."""
         start, length, glue = self.start.tolist(), self.length.tolist(), self.glue.tolist()
+        place = None if plane is None else plane.tolist()
 
         def cot(h: int) -> float:
             t = h - h % 3
+            if place is not None:
+                (ix, iy), (jx, jy), (kx, ky) = place[start[h]], place[start[t + (h + 1) % 3]], place[start[t + (h + 2) % 3]]
+                ix, iy, jx, jy = ix - kx, iy - ky, jx - kx, jy - ky
+                return (ix * jx + iy * jy) / max(ix * jy - iy * jx, 1e-300)
             a, b, c = length[h], length[t + (h + 1) % 3], length[t + (h + 2) % 3]
             x, y, z = sorted((a, b, c), reverse=True)
             area = 0.25 * max((x + (y + z)) * (z - (x - y)) * (z + (x - y)) * (x + (y - z)), 1e-300) ** 0.5
@@ -160,6 +165,50 @@ def robust_laplacian(points: np.ndarray, faces: np.ndarray, slack: float = SLACK
     return i, j, w * share, mass * share
 
 
+def swept(xy: np.ndarray) -> np.ndarray:
+    """Some triangulation of plane points, taken from left to right: each sees a stretch of the outline so far, found by a walk from the point before it."""
+    order = np.lexsort((xy[:, 1], xy[:, 0])).tolist()
+    p = xy.tolist()
+
+    def turn(a: int, b: int, c: int) -> float:
+        return (p[b][0] - p[a][0]) * (p[c][1] - p[a][1]) - (p[b][1] - p[a][1]) * (p[c][0] - p[a][0])
+
+    apart = [order[0]] if order else []  # one of several points at one place
+    for i in order[1:]:
+        if p[i] != p[apart[-1]]:
+            apart.append(i)
+    m = next((m for m in range(2, len(apart)) if turn(apart[0], apart[m - 1], apart[m])), None)
+    if m is None:
+        return np.zeros((0, 3), np.int64)
+    c = apart[m]
+    line = apart[:m] if turn(apart[0], apart[m - 1], c) > 0 else apart[:m][::-1]
+    out = [(a, b, c) for a, b in zip(line, line[1:])]
+    ring = [*line, c]
+    after, before = dict(zip(ring, [*ring[1:], ring[0]])), dict(zip([*ring[1:], ring[0]], ring))
+    last = c
+    for q in apart[m + 1 :]:
+        hi = lo = last
+        while turn(hi, after[hi], q) < 0:
+            out.append((after[hi], hi, q))
+            hi = after[hi]
+        while turn(before[lo], lo, q) < 0:
+            out.append((lo, before[lo], q))
+            lo = before[lo]
+        after[lo], before[q], after[q], before[hi] = q, lo, hi, q
+        last = q
+    return np.array(out, np.int64)
+
+
+def delaunay(xy: np.ndarray) -> np.ndarray:
+    """(triangles, 3) of plane points: swept and flipped; points at one place are one."""
+    faces = swept(xy)
+    c = single_cover(faces, np.linalg.norm(xy[faces] - xy[np.roll(faces, -1, 1)], axis=2))
+    c.flip_to_delaunay(1e-9, xy - xy.mean(0))
+    t = c.start.reshape(-1, 3)
+    first = t.argmin(1)[:, None]
+    return np.take_along_axis(t, (first + np.arange(3)) % 3, 1)[np.lexsort(np.take_along_axis(t, (first + np.arange(3)) % 3, 1).T[::-1])]
+
+
 def stars(offsets: np.ndarray) -> np.ndarray:
     """(triangles, 2) places of the neighbours that a point at the origin shares Delaunay triangles with; ``offsets`` (k, 2) in its tangent plane.
 
