@@ -316,3 +316,15 @@ def test_learned_operators(spark):
         learned.operators(v, w, 6, 4, laplacian="anisotropic")
     one = learned.averaged(learned.validation(v, f, w, 5, 6, 4)).collect()
     assert {"spectral_distance", "eigenvalue_rel_mse", "eigenvector_similarity_mean"} <= {r["name"] for r in one}
+
+
+def test_best_and_last_checkpoints(spark, tmp_path):
+    from vertexflow.sources import mesh_files
+
+    for step, score in ((1, 0.2), (2, 0.9), (3, 0.9), (4, 0.1)):
+        mesh_files.write_step(spark, {"w": np.full((2, 3), float(step))}, str(tmp_path), step, score)
+    best, last = mesh_files.read_step(spark, str(tmp_path)), mesh_files.read_step(spark, str(tmp_path), "last")
+    assert best[0] == 3 and (best[1]["w"] == 3).all() and best[1]["w"].shape == (2, 3)
+    assert last[0] == 4 and (last[1]["w"] == 4).all()
+    with pytest.raises(ValueError, match="best or last"):
+        mesh_files.read_step(spark, str(tmp_path), "first")

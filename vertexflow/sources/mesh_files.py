@@ -235,3 +235,18 @@ def write_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str
 
 def read_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return {r["name"]: np.array(r["values"], float).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
+def write_step(spark: SparkSession, weights: dict[str, np.ndarray], path: str, step: int, score: float) -> None:
+    """A checkpoint of a step with its score, beside those of other steps."""
+    write_weights(spark, weights, f"{path}/weights/step={step}")
+    spark.createDataFrame([(step, float(score))], "step int, score double").coalesce(1).write.mode("overwrite").parquet(f"{path}/scores/step_={step}")
+
+
+def read_step(spark: SparkSession, path: str, which: str = "best") -> tuple[int, dict[str, np.ndarray]]:
+    """(step, weights) of the checkpoint with the highest score, the later one on ties, or of the last."""
+    if which not in ("best", "last"):
+        raise ValueError(f"a checkpoint is best or last, not {which}")
+    order = [F.desc("score"), F.desc("step")] if which == "best" else [F.desc("step")]
+    step = spark.read.parquet(f"{path}/scores").orderBy(*order).first()["step"]
+    return step, read_weights(spark, f"{path}/weights/step={step}")
