@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .mesh_queries import rounded
-from .operators import geodesics, robust, solves, sparse, topology
-from .plans import dissection
+from .operators import geodesics, isospectral, robust, solves, sparse, topology
+from .plans import dissection, kernels
 from .queries import FACES, query, strip_faces, strip_vertices, table
 
 
@@ -87,3 +87,22 @@ def sheared_ribbons(spark, sf_dir):
     rows = stiff.groupBy("mesh_id", "i").agg(F.count(F.when((F.col("i") != F.col("j")) & (F.col("val") > 1e-9), 1)).alias("negative"), F.abs(F.sum("val")).alias("off"))
     rows = rows.groupBy("mesh_id").agg(F.sum("negative").alias("negative"), F.count(F.when(F.col("off") > 1e-9, 1)).alias("unbalanced"))
     return masses.groupBy("mesh_id").agg(F.round(F.sum("area"), 6).alias("area")).join(rows, "mesh_id").select("mesh_id", "area", "negative", "unbalanced")
+
+
+@query("SELECT DISTINCT vec_id // 300 AS mesh_id, 1.0::DOUBLE AS loss, 0.0::DOUBLE AS fx, 0.0::DOUBLE AS fy, 0.0::DOUBLE AS fz FROM embeddings")
+def isospectral_forces(spark, sf_dir):
+    """Ribbons whose wanted eigenvalues all lie one above their own: the loss is one, and as moving a whole mesh changes nothing, its vertices' gradients cancel."""
+    v, f = ribbon_vertices(spark, sf_dir), strip_faces(spark, sf_dir).where("f % 2 = 0")
+    own = kernels.eigenpairs(topology.cotangent_laplacian(f, v), topology.barycentric_mass(f, v), 6)
+    loss, gradient = isospectral.objective(f, v, own.select("mesh_id", "m", (F.col("lam") + 1).alias("lam")).distinct(), 6)
+    forces = gradient.groupBy("mesh_id").agg(*(F.sum(f"g{a}").alias(f"f{a}") for a in "xyz"))
+    return rounded(loss.select("mesh_id", "loss").join(forces, "mesh_id"), 6)
+
+
+@query(f"WITH {FACES} SELECT mesh_id, v, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM places")
+def resting_strips(spark, sf_dir):
+    """Strips held where they are at every fifth vertex: a deformation leaves all others at rest too."""
+    v, f = strip_vertices(spark, sf_dir), strip_faces(spark, sf_dir)
+    weights = geodesics.edge_weights(topology.cotangent_laplacian(f, v)).withColumn("w", F.abs("w"))
+    out, _ = solves.deformed(v, weights, v.where("v % 5 = 0"), rounds=2)
+    return rounded(out, 6)
