@@ -165,3 +165,17 @@ def test_new_queries_on_the_small_tables(spark, small):
     assert queries.op11_hard_negatives(spark, small).count() > 0
     got = queries.op12_resample(spark, small).collect()
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 1 + sum(1 for r in got if r["n_features"] >= 20) * 10 // 100))
+
+
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_resample", "op13_html_text"])
+def test_queries_against_sql(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    found = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    got = queries.QUERIES[name](spark, small)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(map(tuple, found.fetchall())) == Counter(tuple(r) for r in got.select(columns).collect())

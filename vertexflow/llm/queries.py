@@ -135,4 +135,11 @@ ORACLE_SQL = {
                      CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d JOIN h USING (doc_id) LEFT JOIN w USING (doc_id)),
         r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM e)
         SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(place) FROM r) * 10 // 100 THEN place END AS rank FROM r""",
+    # the tables' pages hold their main text in one article of headings and paragraphs, with two named character references
+    "op13_html_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|\z)', 1) AS body FROM pages),
+        b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)(?:\s[^>]*)?>'), lambda x:
+                trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+        t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
 }
