@@ -271,3 +271,46 @@ def test_cloud_laplacian_has_a_spheres_spectrum(spark):
     got = [r["lam"] for r in values.orderBy("m").collect()]
     assert abs(masses.agg(F.sum("area")).first()[0] - 4 * np.pi) < 0.2
     assert np.allclose(got, [0, 2, 2, 2, 6, 6, 6, 6, 6], rtol=0.05, atol=1e-6)
+
+
+def test_plans_of_a_solve_stay_small_at_any_depth(spark, monkeypatch):
+    """No written table's plan holds the levels below and above it: the driver's memory doesn't grow with the depth's cube."""
+    from vertexflow.scratch import Scratch
+
+    lengths, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df: lengths.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or put(self, df))
+    n = 64
+    v = spark.range(n).select(F.lit(0).alias("mesh_id"), F.col("id").alias("v"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    coo = spark.createDataFrame([(0, i, j, 3.0 if i == j else -1.0) for i in range(n) for j in range(n) if abs(i - j) < 2], "mesh_id int, i long, j long, val double")
+    rhs = v.select("mesh_id", "v", F.array(F.col("x")).alias("b"))
+    most = []
+    for leaf in (16, 4):
+        factor = dissection.Factor(coo, v, leaf)
+        lengths.clear()
+        x = factor.solve(rhs, 1)
+        got = np.array([r["x"][0] for r in x.orderBy("v").collect()])
+        assert np.allclose(3 * got - np.r_[got[1:], 0] - np.r_[0, got[:-1]], np.arange(n))
+        most.append(max(lengths))
+        factor.close()
+    assert most[1] < 3 * most[0]
+
+
+def test_curve_is_a_short_expression(spark):
+    rows = [(0, k, float(x), float(y), float(z)) for k, (x, y, z) in enumerate(np.random.default_rng(2).integers(0, 1 << 20, (40, 3)))] + [(0, 98, 0.0, 0.0, 0.0), (0, 99, float(1 << 20), 0.0, 0.0)]
+    out = dissection.curve(spark.createDataFrame(rows, "mesh_id int, v long, x double, y double, z double"))
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 20_000
+    code = {r["v"]: r["code"] for r in out.collect()}
+    for _, v, *p in rows[:40]:
+        assert code[v] == sum(((int(c) >> b) & 1) << (3 * b + 2 - a) for a, c in enumerate(p) for b in range(20))
+
+
+def test_metrics_of_distances_solve_once(spark):
+    from vertexflow.queries import strip_faces, strip_vertices
+
+    v, f = strip_vertices(spark, "/root/testdata/sf0.001"), strip_faces(spark, "/root/testdata/sf0.001")
+    v, f = v.where("v < 60"), f.where("v2 < 60")
+    sources = v.where("v = 7").select("mesh_id", F.col("v").alias("source"))
+    d = geodesics.exact_geodesics(f, v, sources)
+    out = geodesics.geodesic_metrics(d, d)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().analyzed().toString()
+    assert out.first()["max_error"] == 0

@@ -28,10 +28,10 @@ LEAF, BITS, DEALT = 256, 20, 12
 
 
 def _spread(x: Column) -> Column:
-    """The bits of a number of ``BITS`` bits, two zeros after each."""
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
-    return x
+    """The bits of a number of ``BITS`` bits, two zeros after each. A fold: written out, each step would double the expression."""
+    steps = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+    steps = F.array(*(F.struct(F.lit(shift).alias("shift"), F.lit(mask).cast("long").alias("mask")) for shift, mask in steps))
+    return F.aggregate(steps, x, lambda x, s: x.bitwiseOR(F.call_function("shiftleft", x, s["shift"])).bitwiseAND(s["mask"]))
 
 
 def curve(vertices: DataFrame) -> DataFrame:
@@ -95,7 +95,12 @@ class Factor:
         self.scratch.drop(entries)
 
     def solve(self, rhs: DataFrame, width: int | None = None) -> DataFrame:
-        """(mesh_id, v, x) from ``rhs(mesh_id, v, b)``, array columns of one width; vertices without a row count as zeros. The result is written."""
+        """(mesh_id, v, x) from ``rhs(mesh_id, v, b)``, array columns of one width; vertices without a row count as zeros. The result is written.
+
+        Each level is written as well, so that no plan holds the levels below or above it: the
+        driver's plans would grow with the cube of the depth. The root's way up and the leaves'
+        way down, which one other step reads, go with that step.
+        """
         width = width or rhs.select(F.size("b").alias("n")).agg(F.max("n")).first()[0] or 1
         own = rhs.join(self.nodes, ["mesh_id", "v"]).select("mesh_id", "level", "prefix", "v", "b")
         handed, ups, asked = None, [None] * (self.depth + 1), ["own", "bnd", "inverse", "across"]
@@ -105,10 +110,10 @@ class Factor:
                 got = got.unionByName(handed)
             got = got.groupBy("mesh_id", "prefix").agg(F.collect_list("v").alias("vs"), F.flatten(F.collect_list("b")).alias("bs"))  # a front's vertices
             here = self.levels[level].select("mesh_id", "prefix", *asked).join(got, ["mesh_id", "prefix"], "left")
-            up = here.mapInPandas(_up(width), f"mesh_id {self.kind}, prefix long, y array<double>, ids array<long>, hand array<array<double>>").persist()
-            ups[level] = up
+            up = here.mapInPandas(_up(width), f"mesh_id {self.kind}, prefix long, y array<double>, ids array<long>, hand array<array<double>>")
+            ups[level] = up = self.scratch.put(up) if level else up
             handed = up.select("mesh_id", F.shiftright("prefix", 1).alias("prefix"), F.inline(F.arrays_zip(F.col("ids").alias("v"), F.col("hand").alias("b"))))
-        above, out = None, None
+        above, out, downs = None, None, []
         for level in range(self.depth + 1):
             here = self.levels[level].select("mesh_id", "prefix", *asked).join(ups[level].select("mesh_id", "prefix", "y"), ["mesh_id", "prefix"])
             if above is None:
@@ -116,14 +121,13 @@ class Factor:
             else:
                 here = here.withColumn("up", F.shiftright("prefix", 1)).join(above, ["mesh_id", "up"])
             down = here.mapInPandas(_down(width), f"mesh_id {self.kind}, prefix long, own array<long>, x array<array<double>>, known array<long>, values array<double>")
-            down = down.persist()
-            ups.append(down)
+            if level < self.depth:
+                downs.append(down := self.scratch.put(down))
             above = down.select("mesh_id", F.col("prefix").alias("up"), "known", "values")
             part = down.select("mesh_id", F.inline(F.arrays_zip(F.col("own").alias("v"), F.col("x").alias("x"))))
             out = part if out is None else out.unionByName(part)
         out = self.scratch.put(out)
-        for t in ups:
-            t.unpersist()
+        self.scratch.drop(*ups[1:], *downs)
         return out
 
     def residuals(self, x: DataFrame, rhs: DataFrame) -> DataFrame:
