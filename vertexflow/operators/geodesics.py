@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import exact, kernels
+from ..scratch import Scratch
 from .metrics import distance_metrics, finite, pearson
 from .points import centred, norm
 from .topology import face_areas, with_corners
@@ -209,9 +210,13 @@ def monotonicity(pairs: DataFrame, keys: list[str], samples: int = 5000, seed: i
 
 
 def geodesic_metrics(computed: DataFrame, exact: DataFrame, samples: int = 5000, seed: int = 0) -> DataFrame:
-    """(mesh_id, source, correlation, mean_error, max_error, monotonicity) of distances against exact ones."""
+    """(mesh_id, source, correlation, mean_error, max_error, monotonicity) of distances against exact ones.
+
+    The joined distances are written once: each of the metrics reads them, and their solves are neither planned nor run again.
+    """
     keys = ["mesh_id", "source"]
     both = computed.select(*keys, "v", F.col("dist").alias("a")).join(exact.select(*keys, "v", F.col("dist").alias("b")), [*keys, "v"])
+    both = Scratch(both.sparkSession, "distances").put(both)
     return distance_metrics(both, keys).join(monotonicity(both, keys, samples, seed), keys)
 
 
@@ -380,7 +385,7 @@ def validated(stiff: DataFrame, masses: DataFrame, grad: DataFrame | None, faces
 
     A mesh whose solves fail has the values of no sources; other errors are raised.
     """
-    sources = farthest_sources(vertices, count).select("mesh_id", "source")
+    sources = Scratch(vertices.sparkSession, "sources").put(farthest_sources(vertices, count).select("mesh_id", "source"))
     if grad is None:
         areas = face_areas(faces, vertices).select("mesh_id", F.col("f").alias("i"), "area")
         computed = heat_geodesics(stiff, masses, face_gradient(faces, vertices), areas, sources, "face")
