@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .points import norm
 
 KEYS = ["mesh_id", "patch"]
@@ -103,6 +104,7 @@ def contrastive(similarities: DataFrame, kind: str = "infonce", temperature: flo
     """
     if kind not in ("infonce", "dcl", "dclw"):
         raise ValueError(f"unknown loss: {kind}")
+    similarities = _once(similarities)
     s = similarities.withColumn("s", F.col("sim") / temperature)
 
     def direction(key: str) -> DataFrame:
@@ -128,11 +130,17 @@ def contrastive(similarities: DataFrame, kind: str = "infonce", temperature: flo
     return loss.crossJoin(hits)  # one row each
 
 
+def _once(similarities: DataFrame) -> DataFrame:
+    """The similarities written, unless they are: sums made anew for each reader differ in their last bits with the order of rows, so that a match could lie above itself."""
+    return similarities if hasattr(similarities, "_scratch") else Scratch(similarities.sparkSession, "similarities").put(similarities)
+
+
 def top_hits(similarities: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
     """One row (accuracy, top3, ...): share of the a whose match is among the k most similar b; ties go to the smaller b.
 
     The rank of a match is one more than the b above it, so nothing is sorted.
     """
+    similarities = _once(similarities)
     own = similarities.where("a = b").select("a", F.col("sim").alias("match"))
     above = (F.col("sim") > F.col("match")) | ((F.col("sim") == F.col("match")) & (F.col("b") < F.col("a")))
     rank = similarities.join(own, "a").groupBy("a").agg((F.count(F.when(above, 1)) + 1).alias("rank"))
