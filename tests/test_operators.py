@@ -367,3 +367,23 @@ def test_contrastive_reads_its_similarities_once(spark):
     for kind in ("infonce", "dclw"):
         assert losses.contrastive(sims, kind).first()["accuracy"] == 1
     assert losses.top_hits(sims).first()["accuracy"] == 1
+
+
+def test_gradients_are_shuffled_by_centre_alone(spark):
+    """A row for all axes goes to its centre; neither axes nor places are dealt one by one."""
+    rows = [(m, c, n, 1.0 + c, 2.0 * n, float(c * n)) for m in range(2) for c in range(4) for n in range(4) if c != n]
+    g = spark.createDataFrame([*rows, (0, 1, 2, 0.5, 0.0, 1.0)], "mesh_id int, center long, neighbor long, gx double, gy double, gz double")
+    areas = g.select("mesh_id", "center", (1.0 + F.col("center")).alias("area")).distinct()
+    made = {"gradient": sparse.gradient(g), "anisotropic": sparse.anisotropic(g, areas)}
+    for out in made.values():
+        dealt = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and not any(" d#" in line or " j#" in line for line in dealt)
+    for mesh in range(2):
+        whole = np.zeros((4, 3, 4))
+        for r in made["gradient"].where(f"mesh_id = {mesh}").collect():
+            whole[r["i"], r["d"], r["j"]] += r["val"]
+        want = sum((1.0 + i) * whole[i].T @ whole[i] for i in range(4))
+        got = np.zeros((4, 4))
+        for r in made["anisotropic"].where(f"mesh_id = {mesh}").collect():
+            got[r["i"], r["j"]] += r["val"]
+        assert np.allclose(got, want) and np.allclose(whole.sum(2), 0)

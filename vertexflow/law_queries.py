@@ -42,7 +42,7 @@ GRADIENT = f"{LINES}, gf AS (SELECT patch, sum(gx * (neighbor % 13 - patch % 13)
 def gradient_products(spark, sf_dir):
     g = sparse.gradient(_coefficients(spark, sf_dir)).withColumn("val", F.col("val") * (F.col("j") % 13))
     parts = [F.coalesce(F.sum(F.when(F.col("d") == d, F.col("val"))), F.lit(0.0)).alias(a) for d, a in enumerate("xyz")]
-    return rounded(g.groupBy(F.col("i").alias("center")).agg(*parts), 6)
+    return rounded(g.groupBy("mesh_id", F.col("i").alias("center")).agg(*parts).drop("mesh_id"), 6)
 
 
 @query(f"WITH {GRADIENT}, t AS (SELECT neighbor AS v, area * (gx*x + gy*y + gz*z) AS t FROM l JOIN gf USING (patch) JOIN area USING (patch) UNION ALL SELECT patch, -area * (gx*x + gy*y + gz*z) FROM l JOIN gf USING (patch) JOIN area USING (patch)) SELECT v, round(sum(t), 5) + 0.0 AS val FROM t GROUP BY v")
@@ -50,7 +50,7 @@ def anisotropic_products(spark, sf_dir):
     """The anisotropic Laplacian times the field, in SQL by the transposed gradient of its gradient."""
     areas = order_areas(spark, sf_dir).select("mesh_id", F.col("patch").alias("center"), "area")
     a = sparse.anisotropic(_coefficients(spark, sf_dir), areas)
-    return rounded(a.groupBy(F.col("i").alias("v")).agg(F.sum(F.col("val") * (F.col("j") % 13)).alias("val")), 5)
+    return rounded(a.groupBy("mesh_id", F.col("i").alias("v")).agg(F.sum(F.col("val") * (F.col("j") % 13)).alias("val")).drop("mesh_id"), 5)
 
 
 @query(f"WITH {LINES}, e AS (SELECT patch AS i, neighbor AS j FROM l UNION SELECT neighbor, patch FROM l) SELECT i AS v, count(*) FILTER (i <> j) AS neighbors, 0.0::DOUBLE AS row_sum FROM e GROUP BY i HAVING count(*) FILTER (i <> j) > 0")

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Coefficients of a gradient by axis.
+AXES = ("gx", "gy", "gz")
+
 
 def summed(*parts: DataFrame) -> DataFrame:
     """The sum of matrices: entries at one place add up."""
@@ -45,21 +48,48 @@ def matvec(coo: DataFrame, field: DataFrame) -> DataFrame:
     return coo.join(x, ["mesh_id", "j"]).groupBy("mesh_id", F.col("i").alias("v")).agg(F.sum(F.col("val") * F.col("x")).alias("val"))
 
 
+def _by_center(coefficients: DataFrame) -> DataFrame:
+    """(mesh_id, i, j, gx, gy, gz): coefficients summed by place, dealt by centre, so that a centre's sums need no second shuffle."""
+    dealt = coefficients.select("mesh_id", F.col("center").alias("i"), F.col("neighbor").alias("j"), "gx", "gy", "gz").repartition("mesh_id", "i")
+    return dealt.groupBy("mesh_id", "i", "j").agg(*(F.sum(c).alias(c) for c in AXES))
+
+
+def _own(placed: DataFrame) -> DataFrame:
+    """The centre's row (i, i) that makes each axis sum to zero."""
+    return placed.groupBy("mesh_id", "i").agg(*((-F.sum(c)).alias(c) for c in AXES)).select("mesh_id", "i", F.col("i").alias("j"), *AXES)
+
+
 def gradient(coefficients: DataFrame) -> DataFrame:
-    """G of ``coefficients(mesh_id, center, neighbor, gx, gy, gz)``: rows (i, d) with a centre entry that makes them sum to zero."""
-    axes = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(c).alias("val")) for d, c in enumerate(("gx", "gy", "gz"))))).alias("e")
-    long = coefficients.select("mesh_id", F.col("center").alias("i"), F.col("neighbor").alias("j"), axes).select("mesh_id", "i", "e.d", "j", "e.val")
-    off = long.groupBy("mesh_id", "i", "d", "j").agg(F.sum("val").alias("val"))
-    own = long.groupBy("mesh_id", "i", "d").agg((-F.sum("val")).alias("val")).where("val <> 0").select("mesh_id", "i", "d", F.col("i").alias("j"), "val")
-    return off.unionByName(own)
+    """G of ``coefficients(mesh_id, center, neighbor, gx, gy, gz)``: rows (i, d) with a centre entry that makes them sum to zero.
+
+    Coefficients are shuffled once, a row for all three axes; both parts read that shuffle.
+    """
+    placed = _by_center(coefficients)
+    axes = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(c).alias("val")) for d, c in enumerate(AXES)))).alias("e")
+    long = lambda d: d.select("mesh_id", "i", "j", axes).select("mesh_id", "i", "e.d", "j", "e.val")
+    return long(placed).unionByName(long(_own(placed)).where("val <> 0"))
 
 
 def anisotropic(coefficients: DataFrame, areas: DataFrame) -> DataFrame:
-    """Transposed G times the areas times G: each patch's Gram products, scattered by vertex pairs."""
-    g = gradient(coefficients).join(areas.select("mesh_id", F.col("center").alias("i"), "area"), ["mesh_id", "i"])
-    p = g.select("mesh_id", "i", "d", F.col("j").alias("a"), F.col("val").alias("ga"), "area")
-    q = g.select("mesh_id", "i", "d", F.col("j").alias("b"), F.col("val").alias("gb"))
-    return p.join(q, ["mesh_id", "i", "d"]).groupBy("mesh_id", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum(F.col("area") * F.col("ga") * F.col("gb")).alias("val"))
+    """Transposed G times the areas times G: each patch's Gram products over all axes, scattered by vertex pairs, dealt by row.
+
+    A pair's sum needs one shuffle, by its row, and so do sums over a row.
+    """
+    placed = _by_center(coefficients)
+    sums = [(-F.sum(c)).alias(f"s{c}") for c in AXES]
+    area = areas.select("mesh_id", F.col("center").alias("i"), "area")
+    scaled = placed.groupBy("mesh_id", "i").agg(*sums).join(area, ["mesh_id", "i"])
+    own = scaled.select("mesh_id", "i", F.col("i").alias("a"), *(F.col(f"s{c}").alias(f"p{c}") for c in AXES), "area", *(F.col(f"s{c}") for c in AXES))
+    near = placed.join(scaled, ["mesh_id", "i"]).select("mesh_id", "i", F.col("j").alias("a"), *(F.col(c).alias(f"p{c}") for c in AXES), "area", *(f"s{c}" for c in AXES))
+    dot = lambda left, right: sum((F.coalesce(F.col(f"{left}{c}") * F.col(f"{right}{c}"), F.lit(0.0)) for c in AXES), F.lit(0.0))
+    met = near.join(placed.select("mesh_id", "i", F.col("j").alias("b"), *(F.col(c).alias(f"q{c}") for c in AXES)), ["mesh_id", "i"])
+    pairs = met.select("mesh_id", F.col("a").alias("i"), F.col("b").alias("j"), (F.col("area") * dot("p", "q")).alias("val"))
+    # a neighbour with its centre goes both ways
+    product = (F.col("area") * dot("p", "s")).alias("val")
+    ways = F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("i").alias("j")), F.struct(F.col("i").alias("i"), F.col("a").alias("j")))).alias("e")
+    cross = near.select("mesh_id", product, ways).select("mesh_id", "e.i", "e.j", "val")
+    parts = pairs.unionByName(cross).unionByName(own.select("mesh_id", "i", F.col("a").alias("j"), product))
+    return parts.repartition("mesh_id", "i").groupBy("mesh_id", "i", "j").agg(F.sum("val").alias("val"))
 
 
 def one_hop(coo: DataFrame, graph: DataFrame) -> DataFrame:
