@@ -387,3 +387,15 @@ def test_gradients_are_shuffled_by_centre_alone(spark):
         for r in made["anisotropic"].where(f"mesh_id = {mesh}").collect():
             got[r["i"], r["j"]] += r["val"]
         assert np.allclose(got, want) and np.allclose(whole.sum(2), 0)
+
+
+def test_medians_hold_ranges_of_values_alone(spark):
+    from vertexflow.operators import spectral
+
+    rng = np.random.default_rng(8)
+    groups = {"odd": rng.normal(size=501).tolist(), "even": rng.normal(size=400).tolist(), "equal": [2.5] * 300, "two": [1.0, 4.0], "one": [-3.0, None], "dense": rng.integers(0, 9, 1000).astype(float).tolist()}
+    rows = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k string, value double").repartition(7)
+    got = {r["k"]: r["median"] for r in metrics.medians(rows, ["k"]).collect()}
+    assert got == {k: float(np.median([x for x in xs if x is not None])) for k, xs in groups.items()}
+    out = spectral.experiment({"m": rows.withColumnRenamed("value", "x")}, ["x"])
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .points import norm
 
 
@@ -68,3 +69,24 @@ def timings(runs: DataFrame) -> DataFrame:
     best = runs.groupBy("method", "phase").agg(F.min("seconds").alias("best"))
     total = best.groupBy("method").agg(F.sum("best").alias("total"))
     return best.join(total, "method").select("method", "phase", "best", F.try_divide("best", "total").alias("share"))
+
+
+def medians(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, median) of each group's values that aren't null, exact, in tasks that hold a range of different values.
+
+    Equal values are counted first. Ranges of (keys, value) follow each other over the partitions, so the counts of
+    the ranges tell where the middle ranks lie, and only those ranges are numbered.
+    """
+    scratch = Scratch(rows.sparkSession, "medians")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    dealt = scratch.put(counts.repartitionByRange(*keys, "_x").withColumn("_part", F.spark_partition_id()))
+    ranges = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_size"))
+    whole = Window.partitionBy(*keys)
+    ranges = ranges.select(*keys, "_part", F.sum("_size").over(whole).alias("_n"), (F.sum("_size").over(whole.orderBy("_part")) - F.col("_size")).alias("_before"), "_size")  # a row for each partition
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = ranges.where((F.col("_before") <= high) & (F.col("_before") + F.col("_size") > low))
+    met = dealt.join(F.broadcast(middle), [*keys, "_part"])
+    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_x"))
+    placed = met.select(*keys, "_x", "_n", "_c", last.alias("_last"))
+    at = lambda r: F.max(F.when((F.col("_last") > r) & (F.col("_last") - F.col("_c") <= r), F.col("_x")))
+    return placed.groupBy(*keys).agg(at(low).alias("_low"), at(high).alias("_high")).select(*keys, F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(0.5 * F.col("_low") + 0.5 * F.col("_high")).alias("median"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import pearson
+from .metrics import medians, pearson
 from .neighbors import nearest
 
 
@@ -303,7 +303,8 @@ def experiment(results: dict[str, DataFrame], metric_columns: list[str]) -> Data
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("method", "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
+    keys = ["method", "metric"]
+    return out.groupBy(*keys).agg(F.avg("value").alias("mean")).join(medians(out, keys), keys, "left")
 
 
 def epoch_summary(log: DataFrame, columns: list[str]) -> DataFrame:
