@@ -43,3 +43,16 @@ def test_product_and_differences_agree_on_ties(spark):
     df = spark.createDataFrame([(m, i, x.tolist()) for m, i, x in rows], "mesh_id int, v long, p array<double>")
     got = {(r["mesh_id"], r["center"], r["rank"], r["neighbor"]) for r in neighbors.knn(df, 7).collect()}
     assert got == brute(rows, rows, 7, True)
+
+
+def test_groups_of_wide_blocks_return_only_the_best_and_are_written_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    put = []
+    whole = neighbors.Scratch.put
+    monkeypatch.setattr(neighbors.Scratch, "put", lambda self, df: put.append(whole(self, df)) or put[-1])
+    p = np.random.default_rng(5).normal(size=(320, 12))  # nothing to rule out: every block meets every other
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(p)], "mesh_id int, v long, p array<double>")
+    got = {(r["mesh_id"], r["center"], r["rank"], r["neighbor"]) for r in neighbors.nearest(df, df, 5, True, small=50).collect()}
+    assert got == brute([(0, i, x) for i, x in enumerate(p)], [(0, i, x) for i, x in enumerate(p)], 5, True)
+    assert set(put[-1].columns) == {"mesh_id", "center", "block", "neighbor", "d2"}  # pairs of blocks before
+    assert put[-1].count() <= 8 * 5 * len(p)  # k a query and group at most, not k a query and block

@@ -12,6 +12,8 @@ from ..scratch import Scratch
 
 #: Points of a block, pivots of a mesh at most, bytes of all pivots that are sent to tasks, and points up to which every block of a mesh meets every other.
 BLOCK, PIVOTS, PIVOT_BYTES, SMALL = 512, 256, 32 << 20, 4 * 512
+#: Blocks of queries in a group, and of the points that a group meets, in more than three dimensions (an eighth of a smaller mesh's blocks), and queries compared at once.
+SIDE, PART, AT_ONCE = 32, 64, 4096
 
 
 def _best(left: pd.DataFrame, right: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
@@ -52,6 +54,70 @@ def _compared(asks: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, same:
     return met.applyInPandas(lambda x, y: _best(x, y, k, same), f"mesh_id {kind}, center long, block long, neighbor long, d2 double")
 
 
+def _best_within(left: pd.DataFrame, right: pd.DataFrame, k: int, same: bool) -> pd.DataFrame:
+    """The k nearest of all blocks in ``right`` for every query of the blocks in ``left``, none beyond its bound; a block in ``right`` meets those that it names in ``wants``."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"mesh_id": [], "center": [], "block": [], "neighbor": [], "d2": []})
+    own, bound = np.concatenate(left.vs.to_list()), np.concatenate(left.bounds.to_list())
+    block = np.repeat(left.block.to_numpy(), left.vs.map(len))
+    a = np.concatenate(left.ps.to_list()).reshape(len(own), -1)
+    top, slack = np.full((len(own), k), np.inf), np.zeros(len(own))
+    found = []
+    for ids, b, wants in zip(right.vs, right.ps, right.wants):
+        b, wanting = b.reshape(len(ids), -1), np.flatnonzero(np.isin(block, wants))
+        middle = b.mean(0)
+        y = b - middle
+        yy = (y * y).sum(1)
+        for at in range(0, len(wanting), AT_ONCE):
+            take = wanting[at : at + AT_ONCE]
+            x = a[take] - middle
+            xx = (x * x).sum(1)
+            rough = xx[:, None] + yy[None] - 2 * (x @ y.T)
+            if same:
+                rough[own[take][:, None] == ids[None]] = np.inf
+            slack[take] = np.maximum(slack[take], 1e-12 * a.shape[1] * (xx + yy.max()))
+            nearer = np.flatnonzero(rough.min(1) <= np.minimum(bound, top[:, -1])[take] + slack[take])
+            take, rough = take[nearer], rough[nearer]
+            # the k least so far bound what the next blocks may add
+            top[take] = np.sort(np.partition(np.concatenate([top[take], rough], 1), k - 1, 1)[:, :k], 1)
+            row, col = np.nonzero((rough <= (np.minimum(bound, top[:, -1])[take] + slack[take])[:, None]) & np.isfinite(rough))
+            row = take[row]
+            d2 = np.zeros(len(row))
+            for c in range(a.shape[1]):
+                d2 += (a[row, c] - b[col, c]) ** 2
+            found.append((row, ids[col], d2))
+    row, neighbor, d2 = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((neighbor, d2, row))
+    row, neighbor, d2 = row[order], neighbor[order], d2[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row = row[kept]
+    return pd.DataFrame({"mesh_id": left.mesh_id.iloc[0], "center": own[row], "block": block[row], "neighbor": neighbor[kept], "d2": d2[kept]})
+
+
+def _grouped(balls: DataFrame, block: str, most: int, name: str) -> DataFrame:
+    """(mesh_id, block, name): a mesh's blocks in groups of ``most``, in eight groups if they are few."""
+    mesh = Window.partitionBy("mesh_id")
+    size = F.least(F.lit(most), F.ceil(F.count("*").over(mesh) / 8))
+    return balls.select("mesh_id", block, F.floor((F.row_number().over(mesh.orderBy(block)) - 1) / size).alias(name))
+
+
+def _packed(rows: DataFrame, *more: str) -> DataFrame:
+    """(mesh_id, block, vs, ps and the columns ``more`` as arrays): a row for each block."""
+    held = rows.groupBy("mesh_id", "block").agg(F.collect_list(F.struct("v", "p", *more)).alias("held"))
+    return held.select("mesh_id", "block", F.col("held.v").alias("vs"), F.flatten("held.p").alias("ps"), *(F.col(f"held.{c}").alias(f"{c}s") for c in more))
+
+
+def _compared_in_groups(asks: DataFrame, rows: DataFrame, near: DataFrame, sides: DataFrame, parts: DataFrame, k: int, same: bool) -> DataFrame:
+    """As ``_compared`` for asks with a ``bound`` on d2: a group of query blocks meets a group of other blocks, so a point is sent once a group and only the best of a group come back."""
+    kind = rows.schema["mesh_id"].dataType.simpleString()
+    met = near.join(sides, ["mesh_id", "block"]).join(parts, ["mesh_id", "other"])
+    left = _packed(asks, "bound").join(met.select("mesh_id", "block", "side", "part").distinct(), ["mesh_id", "block"])
+    wanted = met.groupBy("mesh_id", "side", "part", "other").agg(F.collect_list("block").alias("wants"))
+    right = _packed(rows).withColumnRenamed("block", "other").join(wanted, ["mesh_id", "other"]).select(F.col("mesh_id").alias("of"), F.col("side").alias("to"), F.col("part").alias("from"), "vs", "ps", "wants")
+    both = left.groupBy("mesh_id", "side", "part").cogroup(right.groupBy("of", "to", "from"))
+    return both.applyInPandas(lambda x, y: _best_within(x, y, k, same), f"mesh_id {kind}, center long, block long, neighbor long, d2 double")
+
+
 def _hashed(points: DataFrame, sizes: DataFrame) -> DataFrame:
     return points.join(sizes, "mesh_id").select("mesh_id", "v", "p", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / BLOCK)).alias("block"))
 
@@ -99,8 +165,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool, small: in
     Both sets are cut into blocks of near points: along a space-filling curve by equal counts in up
     to three dimensions, around pivots drawn from the points in more. A block of queries first
     meets the block whose middle is nearest; its k-th distances bound what it still needs, and
-    by the triangle inequality only blocks whose balls come that near are compared as well.
+    by the triangle inequality only blocks whose balls come that near are compared as well,
+    in more than three dimensions groups of blocks with groups.
     Work follows the points' own density; an outlier or a crowd of equal points makes no large block.
+    What is found is written, so callers that read it several times don't make it anew.
     """
     sizes = points.groupBy("mesh_id").agg(F.count("*").alias("n"))
     about = points.agg(F.max(F.size("p")).alias("width")).first()
@@ -148,8 +216,14 @@ def _near_pairs(queries: DataFrame, points: DataFrame, k: int, same: bool, width
     kth = found.groupBy("mesh_id", "block", "center").agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(float("inf")).alias("d2")).groupBy("mesh_id", "block").agg(F.sqrt(F.max("d2")).alias("need"), F.count("*").alias("got"))
     needed = asks.groupBy("mesh_id", "block").agg(F.count("*").alias("n")).join(kth, ["mesh_id", "block"], "left").select("mesh_id", "block", F.when(F.col("got") == F.col("n"), F.col("need")).otherwise(float("inf")).alias("need"))
     near = gap.join(needed, ["mesh_id", "block"]).where((F.col("gap") - F.col("radius") - F.col("reach")) * (1 - 1e-9) <= F.col("need") * (1 + 1e-9))
-    rest = scratch.put(near.select("mesh_id", "block", "other").join(first, ["mesh_id", "block", "other"], "left_anti"))
-    return found.unionByName(_compared(asks, rows, rest, k, same))
+    near = near.select("mesh_id", "block", "other")
+    if width <= 3:
+        rest = scratch.put(near.join(first, ["mesh_id", "block", "other"], "left_anti"))
+        return scratch.put(found.unionByName(_compared(asks, rows, rest, k, same)))
+    # what was found is a bound of each query's own; its block is met again
+    own = found.groupBy("mesh_id", "block", F.col("center").alias("v")).agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(float("inf")).alias("bound"))
+    bounded = asks.join(own, ["mesh_id", "block", "v"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    return scratch.put(_compared_in_groups(bounded, rows, scratch.put(near), _grouped(balls, "block", SIDE, "side"), _grouped(others, "other", PART, "part"), k, same))
 
 
 def knn(points: DataFrame, k: int) -> DataFrame:
