@@ -162,6 +162,17 @@ def test_surface_quantities(spark):
             assert np.isclose(r["signature"][1 + k], g @ lift / np.linalg.norm(lift), atol=1e-3)
 
 
+def test_flipped_normals_need_no_join(spark, capsys):
+    """Rows of one surface_id with different terms turn by their own mean curvature; one surface's row was taken for all before."""
+    up, down = ([(2, 0, c), (0, 2, c), (1, 0, 0.3)] for c in (1.0, -1.0))
+    s = spark.createDataFrame([(1, up, 0.1, 0.0), (1, down, 0.1, 0.0), (None, down, None, None)], f"surface_id long, terms {surface_rows.TERMS_TYPE}, ox double, oy double")
+    d = surface_rows.differential(surface_rows.regular_sampler(9)(s, 0.5), flip_normals=True)
+    assert {(r["terms"][0]["c"], r["nz"] > 0) for r in d.select("terms", "nz").collect()} == {(1.0, True), (-1.0, False)}
+    d.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Join" not in plan and "Exchange" not in plan
+
+
 def test_surface_samplings(spark):
     s = surface_rows.sampled_surfaces(spark, 4, (3, 3), 0.5, 9, kind="normal")
     assert sorted(map(str, s.collect())) == sorted(map(str, surface_rows.sampled_surfaces(spark, 4, (3, 3), 0.5, 9, kind="normal").repartition(3).collect()))

@@ -76,28 +76,36 @@ def derivative(dx: int = 0, dy: int = 0, terms: str = "terms", x: str = "x", y:
 _NEEDED = {"z": (0, 0), "zx": (1, 0), "zy": (0, 1), "zxx": (2, 0), "zxy": (1, 1), "zyy": (0, 2), "zxxx": (3, 0), "zxxy": (2, 1), "zxyy": (1, 2), "zyyy": (0, 3)}
 
 
-def with_derivatives(points: DataFrame, needed: dict[str, tuple[int, int]] = _NEEDED) -> DataFrame:
-    """``points`` with z and its derivatives at (x + ox, y + oy) by name; the powers of a batch's places are made once for all of them."""
-    names, given = list(needed), points.columns
+#: The derivatives at the surface's origin that tell the sign of its mean curvature.
+_AT_ORIGIN = {"ozx": (1, 0), "ozy": (0, 1), "ozxx": (2, 0), "ozxy": (1, 1), "ozyy": (0, 2)}
+
+
+def with_derivatives(points: DataFrame, needed: dict[str, tuple[int, int]] = _NEEDED, at_origin: dict[str, tuple[int, int]] = {}) -> DataFrame:
+    """``points`` with z and its derivatives at (x + ox, y + oy) by name, and those of ``at_origin`` at (ox, oy); the powers of a batch's places are made once for all of them."""
+    names, given = [*needed, *at_origin], points.columns
     at = {c: given.index(c) for c in ("terms", "x", "y", "ox", "oy")}
 
     def run(batches):
         for batch in batches:
             col = {c: batch.column(i) for c, i in at.items()}
-            place = [np.nan_to_num(np.asarray(col[o].cast(pa.float64())), nan=0.0) + np.asarray(col[c].cast(pa.float64())) for c, o in (("x", "ox"), ("y", "oy"))]
+            shift = [np.nan_to_num(np.asarray(col[o].cast(pa.float64())), nan=0.0) for o in ("ox", "oy")]
+            place = [s + np.asarray(col[c].cast(pa.float64())) for s, c in zip(shift, "xy")]
             flat = col["terms"].flatten()
             i, j, c = (np.asarray(flat.field(k)) for k in range(3))
             sizes = np.nan_to_num(np.asarray(col["terms"].value_lengths().cast(pa.float64())), nan=0.0).astype(int)
             row = np.repeat(np.arange(batch.num_rows), sizes)
-            px, py = (v[:, None] ** np.arange(max(int(e.max(initial=0)), 0) + 1) for v, e in zip(place, (i, j), strict=True))
             out = []
-            for dx, dy in needed.values():
-                fine = np.flatnonzero((i >= dx) & (j >= dy))
-                value = c[fine] * px[row[fine], i[fine] - dx] * py[row[fine], j[fine] - dy]
-                for e, d in ((i[fine], dx), (j[fine], dy)):
-                    for k in range(d):
-                        value = value * (e - k)
-                out.append(pa.array(np.bincount(row[fine], value, batch.num_rows)))
+            for where, wanted in ((place, needed), (shift, at_origin)):
+                if not wanted:
+                    continue
+                px, py = (v[:, None] ** np.arange(max(int(e.max(initial=0)), 0) + 1) for v, e in zip(where, (i, j), strict=True))
+                for dx, dy in wanted.values():
+                    fine = np.flatnonzero((i >= dx) & (j >= dy))
+                    value = c[fine] * px[row[fine], i[fine] - dx] * py[row[fine], j[fine] - dy]
+                    for e, d in ((i[fine], dx), (j[fine], dy)):
+                        for k in range(d):
+                            value = value * (e - k)
+                    out.append(pa.array(np.bincount(row[fine], value, batch.num_rows).astype(float)))  # counts of no terms are integers
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*given, *names])
 
     return points.mapInArrow(run, StructType([*points.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
@@ -109,7 +117,7 @@ def differential(points: DataFrame, flip_normals: bool = False) -> DataFrame:
     k1 >= k2; at an umbilic the directions are the x and y axes. ``flip_normals`` turns the
     normals of surfaces whose mean curvature at the origin is negative.
     """
-    d = with_derivatives(points)
+    d = with_derivatives(points, at_origin=_AT_ORIGIN if flip_normals else {})
     c = {n: F.col(n) for n in _NEEDED}
     w = 1 + c["zx"] * c["zx"] + c["zy"] * c["zy"]
     root = F.sqrt(w)
@@ -160,9 +168,11 @@ def differential(points: DataFrame, flip_normals: bool = False) -> DataFrame:
     d = d.withColumns({"signature": signature, **{f"n{axis}": e for axis, e in zip("xyz", normal)}})
     if not flip_normals:
         return d
-    at = origin_rows(points.select("surface_id", "terms", "ox", "oy").dropDuplicates(["surface_id"])).select(F.col("surface_id").alias("of"), (F.col("H") < 0).alias("flip"))
-    turned = d.join(at, F.col("surface_id") == F.col("of"), "left").drop("of")
-    return turned.withColumns({f"n{axis}": F.when(F.col("flip"), -F.col(f"n{axis}")).otherwise(F.col(f"n{axis}")) for axis in "xyz"}).drop("flip")
+    # each row holds its surface's terms, so the origin is a place more in its own row and needs no join
+    zx, zy, zxx, zxy, zyy = map(F.col, _AT_ORIGIN)
+    w0 = 1 + zx * zx + zy * zy
+    t11, t22 = ((1 + zy * zy) * zxx - zx * zy * zxy) / (w0 * F.sqrt(w0)), ((1 + zx * zx) * zyy - zx * zy * zxy) / (w0 * F.sqrt(w0))
+    return d.withColumns({f"n{axis}": F.when((t11 + t22) / 2 < 0, -F.col(f"n{axis}")).otherwise(F.col(f"n{axis}")) for axis in "xyz"}).drop(*_AT_ORIGIN)
 
 
 def origin_rows(surfaces: DataFrame) -> DataFrame:
