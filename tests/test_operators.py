@@ -410,3 +410,15 @@ def test_medians_hold_ranges_of_values_alone(spark):
     assert got == {k: float(np.median([x for x in xs if x is not None])) for k, xs in groups.items()}
     out = spectral.experiment({"m": rows.withColumnRenamed("value", "x")}, ["x"])
     assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resized_weights_share_one_shuffle(spark, small):
+    """Ranks, cut and padding meet in one shuffle and nothing is sorted before it; tied ranks pad a centre once."""
+    from vertexflow import registry
+
+    plan = registry.QUERIES["resized_patch_weights"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" not in plan, plan
+    w = spark.createDataFrame([(0, 1, 1, 10, 2.0), (0, 1, 1, 11, 4.0), (0, 2, 1, 12, 1.0), (0, 2, 2, 13, None), (0, 2, 9, 14, 8.0), (1, 2, 1, 15, 5.0), (0, 3, 7, 16, 5.0)], "mesh_id int, center long, rank int, neighbor long, w double")
+    got = {(r[0], r[1]): r[2] for r in patches.resized_weights(w, 4).groupBy("mesh_id", "center").agg(F.collect_list(F.struct("rank", "neighbor", "w"))).collect()}
+    want = {(0, 1): [(1, 10, 2.0), (1, 11, 4.0), (3, None, 3.0), (4, None, 3.0)], (0, 2): [(1, 12, 1.0), (2, 13, None), (3, None, 1.0), (4, None, 1.0)], (1, 2): [(1, 15, 5.0), *((i, None, 5.0) for i in (2, 3, 4))]}
+    assert {k: sorted(map(tuple, v), key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}

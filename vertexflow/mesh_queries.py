@@ -70,8 +70,9 @@ def pooled_patches(spark, sf_dir):
 @query(f"WITH {LINES}, r AS (SELECT patch, gx, row_number() OVER (PARTITION BY patch ORDER BY rank, neighbor, gx) AS i FROM l), k AS (SELECT patch, count(*) n, sum(gx) s, avg(gx) m FROM r WHERE i <= 5 GROUP BY patch) SELECT patch, CAST(5 AS BIGINT) AS rows, round((s + (5 - n) * m) / (5::DOUBLE / 7), 9) AS total FROM k")
 def resized_patch_weights(spark, sf_dir):
     """Weights cut or padded to five neighbours and corrected for seven."""
-    order = Window.partitionBy("patch").orderBy("rank", "neighbor", "gx")
-    w = lines(spark, sf_dir).select("mesh_id", F.col("patch").alias("center"), F.row_number().over(order).alias("rank"), "neighbor", F.col("gx").alias("w"))
+    # named before the window, so that ranks, counts and sums share one shuffle and one sort
+    rows = lines(spark, sf_dir).select("mesh_id", F.col("patch").alias("center"), "rank", "neighbor", F.col("gx").alias("w"))
+    w = rows.withColumn("rank", F.row_number().over(Window.partitionBy("mesh_id", "center").orderBy("rank", "neighbor", "w")))
     out = patches.resized_weights(w, 5, 7)
     return out.groupBy(F.col("center").alias("patch")).agg(F.count("*").alias("rows"), F.round(F.sum("w"), 9).alias("total"))
 

@@ -103,10 +103,16 @@ def resized_weights(weights: DataFrame, k: int, k_train: int | None = None) -> D
 
     Padding rows have a null neighbour. ``k_train`` divides by the ratio of k to it.
     """
-    cut = weights.where(F.col("rank") <= k)
-    rows = cut.groupBy("mesh_id", "center").agg(F.count("*").cast("int").alias("n"), F.avg("w").alias("mean"))
-    missing = rows.where(F.col("n") < k).select("mesh_id", "center", F.explode(F.sequence(F.col("n") + 1, F.lit(k))).alias("rank"), F.lit(None).cast("long").alias("neighbor"), F.col("mean").alias("w"))
-    out = cut.select("mesh_id", "center", "rank", "neighbor", "w").unionByName(missing)
+    whole, inside = Window.partitionBy("mesh_id", "center"), F.col("rank") <= k
+    kinds = {c: weights.schema[c].dataType for c in ("rank", "neighbor")}
+    # a filter right over the ranks would sort each input task's rows before the shuffle as well; counts of all of a centre's rows come first
+    count = F.count(F.when(inside, 1))
+    n, nth, mean = count.over(whole), count.over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.avg(F.when(inside, F.col("w"))).over(whole)
+    cut = weights.select("mesh_id", "center", "rank", "neighbor", F.col("w").cast("double").alias("w"), n.cast("int").alias("n"), nth.alias("nth"), mean.alias("mean")).where(inside)
+    own = F.array(F.struct("rank", "neighbor", "w"))
+    missing = F.transform(F.sequence(F.col("n") + 1, F.lit(k)), lambda r: F.struct(r.cast(kinds["rank"]).alias("rank"), F.lit(None).cast(kinds["neighbor"]).alias("neighbor"), F.col("mean").alias("w")))
+    rows = F.when((F.col("nth") == F.col("n")) & (F.col("n") < k), F.concat(own, missing)).otherwise(own)
+    out = cut.select("mesh_id", "center", F.explode(rows).alias("row")).select("mesh_id", "center", "row.*")
     return out if k_train is None else out.withColumn("w", F.col("w") / (k / k_train))
 
 
