@@ -370,6 +370,26 @@ def test_line_dedup_recall_by_length(spark):
         assert len(keys) >= 20 and (share == 1 if n <= line_dedup.FEW else share >= 0.95), (n, share, len(keys))
 
 
+def test_lines_are_signed_again_once(spark, monkeypatch):
+    """Of equal lines that the cut leaves without a signature one is signed again; characters of two UTF-16 units count as one in a shingle."""
+    signed, slots = [], line_dedup._slots
+    monkeypatch.setattr(line_dedup, "_slots", lambda lines, cut: (signed.append((cut, lines.count())), slots(lines, cut))[1])
+    docs = [(k, "ab" * 300) for k in range(1, 21)] + [(30, "ab" * 301)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_repeated_lines(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: int(k != 1) for k, _ in docs} and [n for cut, n in signed if not cut] == [2], (got, signed)
+    rng = np.random.default_rng(5)
+    wide = ["".join(rng.choice(list("abcdefgh\U0001f600\U00010437é漢"), n)) for n in (1, 8, 9, 10, 71, 72, 73, 200)] + ["plain text", "é" * 12]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(wide)], "id long, norm string").select("id", line_dedup._shingles("norm").alias("e")).collect()
+    hashes = {}
+    for r in rows:
+        x = wide[r["id"]]
+        pieces = [x[i : i + 9] for i in range(max(len(x) - 8, 1))]
+        assert len(r["e"]) == len(pieces), x
+        for piece, e in zip(pieces, r["e"]):
+            assert hashes.setdefault(piece, e) == e
+    assert len(set(hashes.values())) == len(hashes)
+
+
 def brute_lines_of_pairs(docs):
     """Whether the second of two documents, of one line each, is similar to the first."""
     sets = [{x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in (" ".join(t.lower().split()) for _, t in docs)]

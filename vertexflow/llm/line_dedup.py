@@ -69,11 +69,17 @@ def _position(doc: str, place: str) -> Column:
 
 
 def _shingles(norm: str) -> Column:
-    """The hashes of all character shingles; a shorter line is one shingle."""
-    more = SHINGLE - 1
+    """The hashes of all character shingles; a shorter line is one shingle.
+
+    Lines whose characters all take one UTF-16 unit are cut from their bytes in fixed width; others
+    by characters. Both hash the same bytes of a shingle.
+    """
+    more, wide = SHINGLE - 1, SHINGLE * _UNIT
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - more, F.lit(1)), F.lit(_PIECE)), lambda i: F.substring(F.col(norm), i, F.lit(_PIECE + more)))
-    hashes = F.transform(pieces, lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - more), lambda i: F.xxhash64(F.substring(c, i, F.lit(SHINGLE)))))
-    return F.when(F.length(norm) < SHINGLE, F.array(F.xxhash64(norm))).otherwise(F.flatten(hashes))
+    hashes = F.transform(pieces, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - more, F.lit(1))), lambda i: F.xxhash64(F.encode(F.substring(c, i, F.lit(SHINGLE)), "UTF-16BE"))))
+    # an array of one row's bytes: a lambda would encode the line for every shingle
+    even = F.transform(F.array(F.encode(norm, "UTF-16BE")), lambda u: F.when(F.length(u) == F.length(norm) * _UNIT, F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - wide + 1, F.lit(1)), F.lit(_UNIT)), lambda i: F.xxhash64(F.substring(u, i, F.lit(wide))))))
+    return F.coalesce(F.get(even, F.lit(0)), F.flatten(hashes))
 
 
 def _elements(norm: str) -> Column:
@@ -91,7 +97,10 @@ def _slots(lines: DataFrame, cut: bool) -> DataFrame:
     # substring, hash, filter and aggregate are one generated loop: no array of a line's hashes is made
     hashed = shingles.select("id", "below", F.xxhash64(F.substring("units", F.col("i"), F.lit(wide))).alias("e"))
     kept = hashed.select("id", "below", F.shiftrightunsigned("e", 33).alias("v"), F.shiftright(F.col("e").bitwiseAND(F.lit(0xFFFF)) * slots, 16).alias("slot")).where("v < below")
-    return kept.groupBy("id").agg(*(F.min(F.when(F.col("slot") == k, F.col("v"))).alias(f"v{k}") for k in range(slots)))
+    # least values that are never null are cheaper to keep
+    none = F.lit(1 << 31)
+    least = kept.groupBy("id").agg(*(F.min(F.when(F.col("slot") == k, F.col("v")).otherwise(none)).alias(f"v{k}") for k in range(slots)))
+    return least.select("id", *(F.nullif(f"v{k}", none).alias(f"v{k}") for k in range(slots)))
 
 
 def _bands() -> Column:
@@ -109,11 +118,11 @@ def _classes(store: Store, lines: DataFrame) -> DataFrame:
     signed = _slots(lines, True).select("id", filled.alias("filled"), _bands().alias("bands"))
     weak = (F.col("length") - SHINGLE + 1 > LEFT * BANDS * ROWS) & (F.coalesce("filled", F.lit(0)) < FILLED)
     classes = store.put(found.join(signed, "id", "left").select("id", "position", "n", (F.col("lo") == F.col("hi")).alias("same"), weak.alias("weak"), "bands"), "classes")
-    again = classes.where("weak").select("id")
+    again = classes.where("weak").select("id", F.col("position").alias("first"))
     few = again.count()
     if not few:
         return classes
-    bare = lines.join(broadcast_if_small(again, few, BROADCAST_ROWS), "id")
+    bare = lines.join(broadcast_if_small(again, few, BROADCAST_ROWS), "id").where(_position("doc", "place") == F.col("first"))
     anew = store.put(_slots(bare, False).select(F.col("id").alias("of"), _bands().alias("anew")), "again")
     return classes.join(broadcast_if_small(anew, few, BROADCAST_ROWS), F.col("id") == F.col("of"), "left").select("id", "position", "n", "same", "weak", F.coalesce("anew", "bands").alias("bands"))
 
@@ -144,7 +153,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     classes = _classes(store, lines)
 
     short = lines.where(F.col("length") < SHINGLE + FEW * 100 // percent).groupBy("id").agg(F.min("norm").alias("norm"))
-    prefixes = _prefix_buckets(store, short.select("id", _elements("norm").alias("few")), percent)
+    prefixes = store.put(_prefix_buckets(store, short.select("id", _elements("norm").alias("few")), percent), "prefixes")
     banded = classes.where("same").select("id", F.explode(F.array_distinct("bands")).alias("bucket")).unionByName(prefixes.join(classes.where("not same").select("id"), "id", "left_anti"))
     full = store.put(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "full")
     buckets = store.put(banded.join(broadcast_if_small(full.select("bucket"), full.count(), BROADCAST_ROWS), "bucket"), "buckets")
@@ -179,7 +188,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     some = F.when(F.col("drop").isNotNull(), F.split(text, "\n"))
     done = joined.select("row", some.alias("some"), F.array_except(F.sequence(F.lit(0), F.size(some) - 1), "drop").alias("stay"), F.coalesce(F.size("drop"), F.lit(0)).alias("gone"))
     left = F.array_join(F.transform("stay", lambda i: F.get("some", i)), "\n")
-    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return done.select(
         *(F.when(F.col("some").isNotNull(), left).otherwise(text).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns),
