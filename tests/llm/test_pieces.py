@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from vertexflow.llm import pieces
+from vertexflow.llm import packing, pieces
 
 TEXTS = [
     "", " ", " a", "a ", "\n", "the quick brown fox jumps over the lazy dog", "The Quick. BROWN, fox!\nnew line; last",
@@ -42,3 +42,19 @@ def test_every_letter_before_every_mark(name, drops_space):
 def test_batches_by_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 3, "c" * 30, "", "é"])], ["id", "text"])
     assert [b.num_rows for b in pieces.sized_batches(batch, 1, 13)] == [3, 1, 2] and [b.num_rows for b in pieces.sized_batches(batch)] == [6]
+
+
+def test_an_encoder_keeps_its_own_number_of_words(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(packing, "encoder", lambda *args: made.append(args) or (_ for _ in ()).throw(RuntimeError))
+    frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    run = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: run.append(f) or self)
+    packing.cut_pieces(frame, public_tokenizers.path("word_bpe_49k.json"), 2048, 0, True, True)
+    with pytest.raises(RuntimeError):
+        next(run[0](iter([])))
+    assert made[0][4] == packing.WORDS < pieces.CACHE
+    few = pieces.encoder(public_tokenizers.path("word_bpe_49k.json"), True, "<u4", "few", 5)
+    texts = ["ab cd ef gh ij kl", "mn op", "ab qr"] * 3
+    assert few.values(pa.array(texts)) == [np.array(few.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts] and few.values(pa.array(texts[:1]))
+    assert len(few.known) <= 5

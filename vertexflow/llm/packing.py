@@ -28,6 +28,8 @@ from .store import Store
 
 #: Bytes of texts whose pieces are held at once (a text at least).
 HELD = 4 << 20
+#: Words that a worker keeps: fewer than ``pieces.CACHE``, as workers outlive the query by a minute and the next one's memory adds to theirs.
+WORDS = 200_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -80,7 +82,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, drops_spa
     end, query = np.uint32(end_id).tobytes(), uuid.uuid4().hex
 
     def run(batches):
-        own = encoder(path, drops_space, "<u4", query)
+        own = encoder(path, drops_space, "<u4", query, WORDS)
         for batch in batches:
             for part in sized_batches(batch, 1, HELD):
                 rows = []
@@ -93,6 +95,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, drops_spa
                 types = [part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = [id_col, "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+            part = rows = columns = None
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, ids binary")

@@ -51,8 +51,9 @@ def sized_batches(batch, column: int = 1, most: int | None = None):
 class PieceEncoder:
     """Encode whole texts as ids, the bytes of an array of ``kind``."""
 
-    def __init__(self, path: str, drops_space: bool, kind: str):
+    def __init__(self, path: str, drops_space: bool, kind: str, most: int | None = None):
         self.tokenizer = load(path)
+        self.most = CACHE if most is None else most
         self.drops_space, self.kind = drops_space, kind
         self.known: dict[str, bytes] = {}
         self.missed = 0
@@ -110,11 +111,11 @@ class PieceEncoder:
             values = self._encode(words)
             for i, x in zip(new, values):
                 out[i] = x
-            if len(self.known) + len(new) <= CACHE:
+            if len(self.known) + len(new) <= self.most:
                 self.known.update(zip(words, values))
             else:
                 self.missed += len(new)
-                if self.missed > CACHE:
+                if self.missed > self.most:
                     self.known, self.missed = {}, 0
         return out
 
@@ -191,6 +192,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, drops_space: bool, kind: str, query: str) -> PieceEncoder:
-    """The Python worker's encoder, which keeps its pieces between tasks of one query."""
-    return PieceEncoder(path, drops_space, kind)
+def encoder(path: str, drops_space: bool, kind: str, query: str, most: int | None = None) -> PieceEncoder:
+    """The Python worker's encoder, which keeps its pieces between tasks of one query, ``most`` of them (``CACHE``)."""
+    return PieceEncoder(path, drops_space, kind, most)
