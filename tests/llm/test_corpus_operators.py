@@ -370,6 +370,36 @@ def test_line_dedup_recall_by_length(spark):
         assert len(keys) >= 20 and (share == 1 if n <= line_dedup.FEW else share >= 0.95), (n, share, len(keys))
 
 
+def test_bands_borrow_the_next_slot_in_compiled_code(spark, capsys):
+    """Java only interprets methods of more than 8,000 bytes."""
+    n, rows_of, rng = line_dedup.BANDS * line_dedup.ROWS, line_dedup.ROWS, np.random.default_rng(3)
+    rows = [[None if rng.random() < share else int(rng.integers(1 << 31)) for _ in range(n)] for share in (0, 0.1, 0.5, 0.9) * 5] + [[None] * n]
+    whole = [[next((r[(k + i) % n] for i in range(n) if r[(k + i) % n] is not None), None) for k in range(n)] for r in rows]
+    names = ", ".join(f"v{k} long" for k in range(n))
+    got = {r["id"]: (r["filled"], r["bands"]) for r in line_dedup._bands(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id long, {names}")).collect()}
+    bands = F.array(*(F.xxhash64(F.lit(b), *(f"v{k}" for k in range(b * rows_of, (b + 1) * rows_of))) for b in range(line_dedup.BANDS)))
+    want = {r["id"]: r["bands"] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(whole)], f"id long, {names}").select("id", bands.alias("bands")).collect()}
+    assert got == {i: (sum(x is not None for x in r), want[i]) for i, r in enumerate(rows)}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        line_dedup._bands(line_dedup._slots(spark.createDataFrame([(1, "abc")], "id long, norm string"), True)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
+def test_positions_are_64_bit_numbers_where_they_fit(spark):
+    top = line_dedup._PLACES - 1
+    for docs, narrow in (((-(1 << 32), -1, 0, 7, (1 << 32) - 1), True), ((0, 1 << 32), False), ((-(1 << 32) - 1, 0), False), ((5, (1 << 63) - 1), False)):
+        lines = spark.createDataFrame([(d, p) for d in docs for p in (0, 1, top)], "doc long, place int")
+        assert line_dedup._narrow(lines) == narrow
+        rows = lines.select("doc", "place", line_dedup._position("doc", "place", narrow).alias("position")).collect()
+        assert all(int(r["position"]) == r["doc"] * line_dedup._PLACES + r["place"] for r in rows)
+    assert line_dedup._narrow(lines.limit(0))
+
+
 def test_lines_are_signed_again_once(spark, monkeypatch):
     """Of equal lines that the cut leaves without a signature one is signed again; characters of two UTF-16 units count as one in a shingle."""
     signed, slots = [], line_dedup._slots

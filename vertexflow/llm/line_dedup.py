@@ -43,6 +43,8 @@ LONGS, SKETCHED = 8, 4
 BROADCAST_ROWS = 400_000
 #: Places in a document count below 2 ** 31, so (doc_id, place) is one number.
 _PLACES = 1 << 31
+#: Ids from -_DOCS and below _DOCS leave room for places in 64 bits.
+_DOCS = 1 << 32
 #: Bytes of a character in the fixed-width form that shingles are cut from.
 _UNIT = 2
 
@@ -64,7 +66,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc", "t", "place", F.length("norm").alias("length"), F.xxhash64("norm").alias("id"), F.xxhash64(F.lit("line"), "norm").alias("other"), "norm")
 
 
-def _position(doc: str, place: str) -> Column:
+def _narrow(lines: DataFrame) -> bool:
+    """Whether all (doc, place) fit a 64-bit number."""
+    lo, hi = lines.agg(F.min("doc"), F.max("doc")).first()
+    return lo is None or (lo >= -_DOCS and hi < _DOCS)
+
+
+def _position(doc: str, place: str, narrow: bool) -> Column:
+    """(doc, place) as one number, in the order of both; a decimal costs several times as much."""
+    if narrow:
+        return F.col(doc) * F.lit(_PLACES).cast("long") + F.col(place)
     return F.col(doc).cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col(place).cast("decimal(10,0)")
 
 
@@ -103,27 +114,36 @@ def _slots(lines: DataFrame, cut: bool) -> DataFrame:
     return least.select("id", *(F.nullif(f"v{k}", none).alias(f"v{k}") for k in range(slots)))
 
 
-def _bands() -> Column:
-    """A class's band hashes from its slots."""
-    slots = BANDS * ROWS
-    filled = [F.coalesce(*(f"v{(k + i) % slots}" for i in range(slots))) for k in range(slots)]
-    return F.array(*(F.xxhash64(F.lit(b), *filled[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)))
-
+def _bands(signed: DataFrame) -> DataFrame:
+    """(id, filled, bands): how many slots have a value, and the band hashes, for which an empty slot borrows the next one's.
 
-def _classes(store: Store, lines: DataFrame) -> DataFrame:
+    From the last band to the first, each a projection that hands on its first value. All slots
+    behind each slot in one projection are a method of more than 8,000 bytes, which Java only interprets.
+    """
+    values = [f"v{k}" for k in range(BANDS * ROWS)]
+    filled = sum((F.col(v).isNotNull().cast("int") for v in values[1:]), F.col(values[0]).isNotNull().cast("int"))
+    out, made = signed.select("id", filled.alias("filled"), *values, F.coalesce(*values).alias("next")), []
+    for b in reversed(range(BANDS)):
+        own = values[b * ROWS : (b + 1) * ROWS]
+        band = F.xxhash64(F.lit(b), *(F.coalesce(*own[i:], "next") for i in range(ROWS)))
+        out = out.select("id", "filled", *values[: b * ROWS], *made, band.alias(f"b{b}"), F.coalesce(*own, "next").alias("next"))
+        made.insert(0, f"b{b}")
+    return out.select("id", "filled", F.array(*made).alias("bands"))
+
+
+def _classes(store: Store, lines: DataFrame, narrow: bool) -> DataFrame:
     """(id, position, n, same, weak, bands) of equal lines; position is the first one's, same is false where the key stands for several lines."""
-    found = lines.select("id", "other", "length", _position("doc", "place").alias("position"))
+    found = lines.select("id", "other", "length", _position("doc", "place", narrow).alias("position"))
     found = found.groupBy("id").agg(F.min("position").alias("position"), F.count("*").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"), F.max("length").alias("length"))
-    filled = sum((F.col(f"v{k}").isNotNull().cast("int") for k in range(1, BANDS * ROWS)), F.col("v0").isNotNull().cast("int"))
-    signed = _slots(lines, True).select("id", filled.alias("filled"), _bands().alias("bands"))
+    signed = _bands(_slots(lines, True))
     weak = (F.col("length") - SHINGLE + 1 > LEFT * BANDS * ROWS) & (F.coalesce("filled", F.lit(0)) < FILLED)
     classes = store.put(found.join(signed, "id", "left").select("id", "position", "n", (F.col("lo") == F.col("hi")).alias("same"), weak.alias("weak"), "bands"), "classes")
     again = classes.where("weak").select("id", F.col("position").alias("first"))
     few = again.count()
     if not few:
         return classes
-    bare = lines.join(broadcast_if_small(again, few, BROADCAST_ROWS), "id").where(_position("doc", "place") == F.col("first"))
-    anew = store.put(_slots(bare, False).select(F.col("id").alias("of"), _bands().alias("anew")), "again")
+    bare = lines.join(broadcast_if_small(again, few, BROADCAST_ROWS), "id").where(_position("doc", "place", narrow) == F.col("first"))
+    anew = store.put(_bands(_slots(bare, False)).select(F.col("id").alias("of"), F.col("bands").alias("anew")), "again")
     return classes.join(broadcast_if_small(anew, few, BROADCAST_ROWS), F.col("id") == F.col("of"), "left").select("id", "position", "n", "same", "weak", F.coalesce("anew", "bands").alias("bands"))
 
 
@@ -150,7 +170,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     """``docs`` with later near-copies of lines dropped from their texts, and n_lines and n_dropped."""
     store = Store(spark, "line-dedup")
     lines = store.put(_lines(docs, id_col, text_col), "lines")
-    classes = _classes(store, lines)
+    narrow = _narrow(lines)
+    classes = _classes(store, lines, narrow)
 
     short = lines.where(F.col("length") < SHINGLE + FEW * 100 // percent).groupBy("id").agg(F.min("norm").alias("norm"))
     prefixes = store.put(_prefix_buckets(store, short.select("id", _elements("norm").alias("few")), percent), "prefixes")
@@ -159,7 +180,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     buckets = store.put(banded.join(broadcast_if_small(full.select("bucket"), full.count(), BROADCAST_ROWS), "bucket"), "buckets")
 
     wanted = store.put(buckets.select("id").distinct().join(classes.select("id", "position"), "id"), "wanted")
-    found = lines.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "id").where(_position("doc", "place") == F.col("position"))
+    found = lines.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS), "id").where(_position("doc", "place", narrow) == F.col("position"))
     texts = store.put(found.select("id", "norm").dropDuplicates(["id"]), "texts")
     crowded = buckets.join(full.where(F.col("members") > SKETCHED).select("bucket"), "bucket", "left_semi").select("id").distinct()
     sketches = store.put(_sketches(texts.join(crowded, "id", "left_semi")), "sketches")
@@ -169,7 +190,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     store.drop(sketches)
 
     def similarity(pairs: DataFrame) -> DataFrame:
-        one, two = texts.select(F.col("id").alias("a"), F.col("norm").alias("ta")), texts.select(F.col("id").alias("b"), F.col("norm").alias("tb"))
+        def of(side: str) -> DataFrame:
+            """The texts that a side of the pairs names: later rounds name few of them, and the others needn't be shuffled and sorted."""
+            named = pairs.select(side).distinct()
+            return texts.select(F.col("id").alias(side), F.col("norm").alias(f"t{side}")).join(broadcast_if_small(named, named.count(), BROADCAST_ROWS), side, "left_semi")
+
+        one, two = of("a"), of("b")
         met = pairs.join(one, "a").join(two, "b").select("a", "b", _shingles("ta").alias("sa"), _shingles("tb").alias("sb"))
         return met.select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))).alias("j"))
 
@@ -178,7 +204,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = PER
     first = linked.groupBy("component").agg(F.min("position").alias("keep"))
     kept = classes.where("same and n > 1").select("id", "position").join(linked.select("id"), "id", "left_anti").unionByName(linked.join(first, "component").select("id", F.col("keep").alias("position")))
     kept = store.put(kept, "kept")
-    drops = lines.select("doc", "t", "place", "id").join(broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), "id").where(_position("doc", "place") != F.col("position"))
+    drops = lines.select("doc", "t", "place", "id").join(broadcast_if_small(kept, kept.count(), BROADCAST_ROWS), "id").where(_position("doc", "place", narrow) != F.col("position"))
     per_text = store.put(drops.groupBy("doc", "t").agg(F.collect_set("place").alias("drop")), "drops")
     for old in (lines, buckets, texts, sizes, linked, kept):
         store.drop(old)
