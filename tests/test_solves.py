@@ -314,3 +314,20 @@ def test_metrics_of_distances_solve_once(spark):
     out = geodesics.geodesic_metrics(d, d)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().analyzed().toString()
     assert out.first()["max_error"] == 0
+
+
+def test_operators_of_placed_faces_and_metrics_broadcast_no_vertices(spark):
+    from vertexflow.queries import strip_faces, strip_vertices
+
+    v, f = strip_vertices(spark, "/root/testdata/sf0.001").where("v < 60"), strip_faces(spark, "/root/testdata/sf0.001").where("v2 < 60")
+    placed = topology.with_corners(f, v).localCheckpoint()
+    for op in (topology.cotangent_laplacian, topology.barycentric_mass, topology.face_areas, geodesics.face_gradient):
+        out, plain = op(placed, v), op(f, v)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.columns == plain.columns and out.count() == plain.count()
+        value = out.columns[-1]
+        assert abs(out.agg(F.sum(F.abs(value))).first()[0] / plain.agg(F.sum(F.abs(value))).first()[0] - 1) < 1e-9
+    pairs = v.select("mesh_id", F.lit(0).alias("source"), "v", F.col("x").alias("a"), F.col("x").alias("b"))
+    order = geodesics.monotonicity(pairs, ["mesh_id", "source"])
+    assert order._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 2
+    assert [r["monotonicity"] for r in order.collect()] == [1.0]

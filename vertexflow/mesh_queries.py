@@ -9,6 +9,7 @@ from .functions import scalars
 from .operators import correspondence, geodesics, graphs, learned, losses, metrics, patches, points, sampling, sparse, spectral, surface_rows, topology
 from .plans import transformer
 from .queries import FACES, FOLD, NEXT, SPACE, folded, next_vectors, query, space, strip_faces, strip_vertices, table
+from .scratch import Scratch
 
 
 def rounded(df, digits=9, *, keep=()):
@@ -549,6 +550,12 @@ def estimate_errors(spark, sf_dir):
 
 @query()
 def distance_validation(spark, sf_dir):
-    """Every strip's heat distances from five farthest points, against exact ones."""
-    v, f = strip_vertices(spark, sf_dir), strip_faces(spark, sf_dir)
+    """Every strip's heat distances from five farthest points, against exact ones.
+
+    Faces are written with their corners' places: four operators and the exact distances read them, and one plan
+    with all of their joins would broadcast the vertices thirty times.
+    """
+    scratch = Scratch(spark, "strips")
+    v = scratch.put(strip_vertices(spark, sf_dir))
+    f = scratch.put(topology.with_corners(strip_faces(spark, sf_dir), v.hint("merge")))
     return geodesics.validated(topology.cotangent_laplacian(f, v), topology.barycentric_mass(f, v), None, f, v)

@@ -193,7 +193,8 @@ def monotonicity(pairs: DataFrame, keys: list[str], samples: int = 5000, seed: i
     """(keys, monotonicity): share of drawn vertex pairs, without ties in ``b``, that ``a`` puts in the same order.
 
     ``pairs(keys, v, a, b)``, whose vertices are numbered in order of v. Pairs are drawn by a hash of group, draw and
-    seed, ``samples`` or all n (n - 1) / 2 if fewer; 0 where that is 100 or less.
+    seed, ``samples`` or all n (n - 1) / 2 if fewer; 0 where that is 100 or less. A side has a row for each vertex of
+    each group, so it is merged and never broadcast through the driver.
     """
     pairs = pairs.withColumn("v", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1)
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("draws", F.least(F.lit(samples), F.floor(F.col("n") * (F.col("n") - 1) / 2)).cast("int"))
@@ -201,7 +202,7 @@ def monotonicity(pairs: DataFrame, keys: list[str], samples: int = 5000, seed: i
     ends = [F.pmod(F.xxhash64(F.lit(seed), F.lit(s), *keys, "i"), F.col("n")).alias(s) for s in ("p", "q")]
     drawn = draws.select(*keys, *ends).where("p <> q")
     side = lambda n: pairs.select(*keys, F.col("v").alias(n), F.col("a").alias(f"a{n}"), F.col("b").alias(f"b{n}"))
-    met = drawn.join(side("p"), [*keys, "p"]).join(side("q"), [*keys, "q"])
+    met = drawn.join(side("p").hint("merge"), [*keys, "p"]).join(side("q").hint("merge"), [*keys, "q"])
     for c in ("ap", "aq", "bp", "bq"):
         met = met.where(finite(F.col(c)))
     same = ((F.col("bp") > F.col("bq")) & (F.col("ap") > F.col("aq"))) | ((F.col("bq") > F.col("bp")) & (F.col("aq") > F.col("ap")))
@@ -213,9 +214,10 @@ def geodesic_metrics(computed: DataFrame, exact: DataFrame, samples: int = 5000,
     """(mesh_id, source, correlation, mean_error, max_error, monotonicity) of distances against exact ones.
 
     The joined distances are written once: each of the metrics reads them, and their solves are neither planned nor run again.
+    They are merged: AQE would broadcast them, packed they are small, and the driver would hold them unpacked.
     """
     keys = ["mesh_id", "source"]
-    both = computed.select(*keys, "v", F.col("dist").alias("a")).join(exact.select(*keys, "v", F.col("dist").alias("b")), [*keys, "v"])
+    both = computed.select(*keys, "v", F.col("dist").alias("a")).join(exact.select(*keys, "v", F.col("dist").alias("b")).hint("merge"), [*keys, "v"])
     both = Scratch(both.sparkSession, "distances").put(both)
     return distance_metrics(both, keys).join(monotonicity(both, keys, samples, seed), keys)
 
