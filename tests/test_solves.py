@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_kernels import cotangent, grid, tables
 
-from vertexflow.operators import geodesics, isospectral, robust, solves, spectral, topology
+from vertexflow.operators import geodesics, isospectral, robust, solves, sparse, spectral, topology
 from vertexflow.plans import dissection, exact, intrinsic, kernels
 
 
@@ -331,3 +331,15 @@ def test_operators_of_placed_faces_and_metrics_broadcast_no_vertices(spark):
     order = geodesics.monotonicity(pairs, ["mesh_id", "source"])
     assert order._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 2
     assert [r["monotonicity"] for r in order.collect()] == [1.0]
+
+
+def test_eigenpairs_of_a_long_ring_need_few_rounds(spark):
+    n = 6000
+    e = spark.range(n).select(F.lit(0).alias("mesh_id"), F.col("id").alias("v"))
+    turn = 2 * np.pi * F.col("v") / n
+    v = e.select("mesh_id", "v", F.cos(turn).alias("x"), F.sin(turn).alias("y"), F.lit(0.0).alias("z"))
+    s = sparse.stiffness(e.select("mesh_id", F.col("v").alias("center"), ((F.col("v") + 1) % n).alias("neighbor"), F.lit(1.0).alias("w")))
+    values, _ = solves.eigenpairs(s, e.select("mesh_id", F.col("v").alias("i"), F.lit(1.0).alias("area")), v, 6, rounds=7, leaf=1024)
+    for r in values.collect():
+        assert abs(r["lam"] - 4 * np.sin(np.pi * ((r["m"] + 1) // 2) / n) ** 2) < 1e-12
+        assert r["residual"] < 1e-5

@@ -106,7 +106,9 @@ def eigenpairs(stiff: DataFrame, masses: DataFrame, vertices: DataFrame, k: int,
     """((mesh_id, m, lam, residual), (mesh_id, v, m, phi)): the k smallest pairs of S v = l M v with their relative residuals.
 
     Inverse iteration on a subspace of more than k vectors, by a factor of S plus a little M
-    that is made once. A vertex's row holds its part of all vectors; Gram matrices are summed
+    that is made once. It gets on by how much the wanted values plus the shift differ from the
+    others, so the shift falls with the square of a mesh's size, as the least values of a
+    curve do; those of surfaces fall more slowly. A vertex's row holds its part of all vectors; Gram matrices are summed
     up from rows, and one small problem a mesh gives the combinations for the next round.
     Rounds end when no mesh's values move by ``tol`` of the k-th; an error is raised where
     they still do after ``rounds``.
@@ -114,7 +116,9 @@ def eigenpairs(stiff: DataFrame, masses: DataFrame, vertices: DataFrame, k: int,
     width = k + max(8, k // 2)
     scratch = Scratch(stiff.sparkSession, "spectrum")
     kind = stiff.schema["mesh_id"].dataType.simpleString()
-    d = scratch.put(_diagonals(stiff, masses).select("mesh_id", (1e-5 * F.greatest(F.col("stiff") / F.col("mass"), F.lit(1e-12))).alias("shift")))
+    sizes = masses.groupBy("mesh_id").agg(F.count("*").alias("n"))
+    part = F.greatest(F.least(F.lit(1e-5), 1 / (F.col("n").cast("double") * F.col("n"))), F.lit(1e-12))
+    d = scratch.put(_diagonals(stiff, masses).join(sizes, "mesh_id").select("mesh_id", (part * F.greatest(F.col("stiff") / F.col("mass"), F.lit(1e-12))).alias("shift")))
     factor = Factor(shifted(stiff, masses, d.select("mesh_id", F.lit(1.0).alias("s"), F.col("shift").alias("m"), F.lit(0.0).alias("c"))), vertices, leaf)
     start = F.array(F.lit(1.0), *(F.hash(F.lit(c), "i") / float(1 << 31) for c in range(1, width)))
     state = scratch.put(masses.join(d, "mesh_id").select("mesh_id", F.col("i").cast("long").alias("v"), "area", "shift", start.alias("x"), F.array().cast("array<double>").alias("sx")))
@@ -136,7 +140,6 @@ def eigenpairs(stiff: DataFrame, masses: DataFrame, vertices: DataFrame, k: int,
     else:
         raise ValueError(f"spectra still move after {rounds} rounds")
     factor.close()
-    sizes = masses.groupBy("mesh_id").agg(F.count("*").alias("n"))
     values = theta.join(sizes, "mesh_id").select("mesh_id", "n", F.posexplode("theta").alias("m", "lam")).where((F.col("m") < k) & (F.col("m") < F.col("n"))).drop("n")
     parts = state.join(theta.select("mesh_id", "theta"), "mesh_id").select("mesh_id", "area", F.posexplode(F.arrays_zip("x", "sx", "theta")).alias("m", "e")).where(F.col("m") < k)
     off = F.col("e.sx") - F.col("e.theta") * F.col("area") * F.col("e.x")
