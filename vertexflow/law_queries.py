@@ -58,7 +58,7 @@ def one_hop_rows(spark, sf_dir):
     """Entries of the anisotropic Laplacian between neighbours alone, whose rows still sum to zero."""
     areas = order_areas(spark, sf_dir).select("mesh_id", F.col("patch").alias("center"), "area")
     c = _coefficients(spark, sf_dir)
-    rows = sparse.one_hop(sparse.anisotropic(c, areas), c).groupBy(F.col("i").alias("v")).agg(F.count(F.when(F.col("i") != F.col("j"), 1)).alias("neighbors"), F.sum("val").alias("row_sum"))
+    rows = sparse.anisotropic_one_hop(c, areas).groupBy(F.col("i").alias("v")).agg(F.count(F.when(F.col("i") != F.col("j"), 1)).alias("neighbors"), F.sum("val").alias("row_sum"))
     return rounded(rows, 5)
 
 

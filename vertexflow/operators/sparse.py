@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Coefficients of a gradient by axis.
 AXES = ("gx", "gy", "gz")
+#: What a pair of vertices is: an entry of the product, an edge of the graph.
+_ENTRY, _EDGE = 1, 2
 
 
 def summed(*parts: DataFrame) -> DataFrame:
@@ -99,6 +101,35 @@ def one_hop(coo: DataFrame, graph: DataFrame) -> DataFrame:
     return with_zero_rows(coo.where("i <> j").join(both, ["mesh_id", "i", "j"], "left_semi"))
 
 
+def anisotropic_one_hop(coefficients: DataFrame, areas: DataFrame) -> DataFrame:
+    """``one_hop`` of ``anisotropic`` over the coefficients' own graph, without the products that it drops.
+
+    Coefficients and areas are dealt by centre in one shuffle, and a centre's row holds its neighbours. The matrix is
+    symmetric: a pair of vertices is shuffled once, with its lesser vertex first, and a centre's product with a
+    neighbour marks the edge, so pairs need neither a second shuffle nor a join to be told apart.
+    """
+    none = F.lit(None).cast("double")
+    near = coefficients.select("mesh_id", F.col("center").cast("long").alias("i"), F.col("neighbor").cast("long").alias("j"), *(F.col(c).cast("double").alias(c) for c in AXES), none.alias("area"), F.lit(0).alias("there"))
+    own = areas.select("mesh_id", F.col("center").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), *(none.alias(c) for c in AXES), F.col("area").cast("double").alias("area"), F.lit(_ENTRY).alias("there"))
+    placed = near.unionByName(own).repartition("mesh_id", "i").groupBy("mesh_id", "i", "j").agg(*(F.sum(c).alias(c) for c in (*AXES, "area")), F.max("there").alias("there"))
+    row = F.struct("j", *AXES)
+    rows = placed.groupBy("mesh_id", "i").agg(*((-F.sum(c)).alias(f"s{c}") for c in AXES), F.sum("area").alias("area"), F.max("there").alias("there"), F.collect_list(F.when(F.col("j").isNotNull(), row)).alias("js"))
+    centre = F.struct(F.col("i").alias("j"), *(F.col(f"s{c}").alias(c) for c in AXES))
+    met = rows.select("mesh_id", "i", "area", "there", "js", centre.alias("own"), F.explode("js").alias("a"))
+    met = met.select("mesh_id", "i", "area", "there", "a", F.posexplode(F.concat(F.array("own"), "js")).alias("at", "b"))
+    # the first is the centre, whose product goes both ways; one without an area has edges and no entries
+    edge = F.col("at") == 0
+    met = met.where((edge & (F.col("a.j") != F.col("i"))) | (~edge & (F.col("there") == _ENTRY) & (F.col("a.j") < F.col("b.j"))))
+    dot = sum((F.coalesce(F.col(f"a.{c}") * F.col(f"b.{c}"), F.lit(0.0)) for c in AXES), F.lit(0.0))
+    pairs = met.select("mesh_id", F.least("a.j", "b.j").alias("lo"), F.greatest("a.j", "b.j").alias("hi"), (F.col("area") * dot).alias("val"), F.when(edge, F.col("there").bitwiseOR(F.lit(_EDGE))).otherwise(F.col("there")).alias("kind"))
+    sums = pairs.repartition("mesh_id", "lo").groupBy("mesh_id", "lo", "hi").agg(F.sum("val").alias("val"), F.bit_or("kind").alias("kind"))
+    ways = F.explode(F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j")), F.struct(F.col("hi").alias("i"), F.col("lo").alias("j")))).alias("e")
+    both = sums.where(F.col("kind") == (_EDGE | _ENTRY)).select("mesh_id", "val", ways).select("mesh_id", "e.i", "e.j", "val").repartition("mesh_id", "i")
+    # the diagonal comes from the same shuffle
+    parts = F.explode(F.array(F.struct("j", "val"), F.struct(F.col("i").alias("j"), (-F.col("val")).alias("val")))).alias("e")
+    return both.select("mesh_id", "i", parts).groupBy("mesh_id", "i", "e.j").agg(F.sum("e.val").alias("val"))
+
+
 def sparsity(coo: DataFrame, every: DataFrame) -> DataFrame:
     """(mesh_id, nnz, rows, avg_row, max_row, min_row, density %) of the stored entries; ``every(mesh_id, v)`` names all rows, also those without entries."""
     row = coo.groupBy("mesh_id", F.col("i").alias("v")).agg(F.count("*").alias("n"))
